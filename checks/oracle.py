@@ -147,7 +147,7 @@ def half_up(sql: str) -> str:
             comma = end if sql[end] == "," and depth == 1 else comma
             end += 1
         value, digits = half_up(sql[start + 6:comma]), sql[comma + 1:end - 1].strip()
-        out.append(f"CAST(round(TRY_CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 14)), {digits}) AS DOUBLE)")
+        out.append(f"CAST(round(TRY_CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)")
         at = end
     return "".join(out) + sql[at:]
 
