@@ -601,4 +601,37 @@ SELECT asset_id, calculated_at, risk_level, previous_risk FROM (
 WHERE risk_level IN ('CRITICAL', 'HIGH') AND previous_risk IS DISTINCT FROM risk_level"""),
 }
 
+_SQL |= {
+    # sources
+    "src_sensor_stream": _sql("readings", """
+SELECT timestamp, asset_id, vibration_mm_s, temp_c, data_source FROM readings"""),
+    "src_logs_stream": _sql("logs_raw", "SELECT * EXCLUDE (o_orderkey) FROM logs_raw"),
+    "src_asset_metadata": _sql("assets_raw", "SELECT * FROM assets_raw"),
+    "src_production_output": _sql("production", "SELECT * FROM production"),
+    # streams and written tables
+    "stream_bronze_silver": _SQL["silver_sensor"],
+    "sink_stream_append": _sql("readings", "SELECT * FROM readings"),
+    "stream_watermark_dedup": _sql("readings", "SELECT * FROM readings"),
+    "stream_hourly": _sql("silver", """
+SELECT date_trunc('hour', timestamp) AS hour_window, asset_id, count(*) AS reading_count,
+  max(vibration_mm_s) AS vibration_max,
+  CAST(sum(CASE WHEN vibration_anomaly_flag THEN 1 ELSE 0 END) AS BIGINT) AS anomaly_count FROM silver
+WHERE date_trunc('hour', timestamp) + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM silver)
+GROUP BY ALL"""),
+    "stream_rolling5": _SQL["rolling_vibration"],
+    "stream_sync": _sql("health", f"""
+SELECT asset_id, health_score, risk_level, estimated_rul_hours, TIMESTAMP '2024-02-01 00:00:00' AS last_updated,
+  CASE WHEN {_AT_RISK} THEN 'ACTIVE' END AS status, {_AT_RISK} AS alerted FROM health"""),
+    "sink_materialize": _SQL["hourly_trends"],
+    # SQL functions
+    "fn_get_asset_health": _SQL["point_health"],
+    "fn_calculate_cost_impact": _SQL["planned_vs_unplanned"],
+    "fn_get_maintenance_history": _SQL["maintenance_history"],
+    "fn_search_failure_patterns": _sql("logs", f"""
+SELECT {_PATTERN} FROM logs WHERE {_FAULT_MATCH.replace("?", "'%overheat%'")}
+ORDER BY cost_to_fix DESC, work_order_id LIMIT 5"""),
+    "fn_search_manuals": _sql("chunks", f"""
+SELECT * FROM chunks WHERE {_CHUNK_MATCH.replace("?", "'%license%'")} ORDER BY score DESC, chunk_id LIMIT 5"""),
+}
+
 ORACLE_SQL = {key: half_up(sql) for key, sql in _SQL.items()}

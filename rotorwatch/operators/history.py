@@ -20,14 +20,13 @@ def with_days_since_prev(logs: DataFrame, order: list[str] = ORDER, **options) -
 
 def _recent(logs: DataFrame, n: int, asset_ids, order) -> DataFrame:
     chosen = logs if asset_ids is None else logs.filter(F.col("asset_id").isin(*asset_ids))
-    newest_first = Window.partitionBy("asset_id").orderBy(*[F.desc(c) for c in order])
     # a rank filter: Spark cuts each asset to n rows per task before it shuffles them
-    return chosen.withColumn("_rank", F.row_number().over(newest_first)).filter(F.col("_rank") <= n)
+    return with_recency(chosen, order).filter(F.col("recency") <= n)
 
 
 def recent_n(logs: DataFrame, n: int = 5, asset_ids=None, order: list[str] = ORDER) -> DataFrame:
     """The n newest work orders of each asset (of all assets, or of those named)."""
-    return _recent(logs, n, asset_ids, order).drop("_rank")
+    return _recent(logs, n, asset_ids, order).drop("recency")
 
 
 def maintenance_history(
@@ -43,7 +42,7 @@ def maintenance_history(
     return (
         _recent(logs, n + 1, asset_ids, order)
         .withColumn("days_since_prev_failure", gap)
-        .filter(F.col("_rank") <= n)
+        .filter(F.col("recency") <= n)
         .select(
             "asset_id", "work_order_id", "timestamp", "fault_type", "part_replaced", "cost_to_fix",
             "first_time_fix", "downtime_hours", "days_since_prev_failure",
@@ -51,6 +50,12 @@ def maintenance_history(
     )
 
 
+def with_recency(logs: DataFrame, order: list[str] = ORDER) -> DataFrame:
+    """Every order with its place from the newest (1); meant to be filtered to the first few."""
+    newest_first = Window.partitionBy("asset_id").orderBy(*[F.desc(c) for c in order])
+    return logs.withColumn("recency", F.row_number().over(newest_first))
+
+
 def repair_averages(logs: DataFrame) -> DataFrame:
     return logs.groupBy("asset_id").agg(
         F.avg("cost_to_fix").alias("avg_cost_to_fix"),

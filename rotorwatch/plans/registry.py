@@ -9,8 +9,13 @@ from rotorwatch.functions import costs, scores
 from rotorwatch.operators import (
     enrich, history, ingest, maintenance, quality, runs, search, serving, smoothing, trends,
 )
+from rotorwatch.functions.catalog import register_functions
 from rotorwatch.plans import dossier, gold, reports
-from rotorwatch.sources.bindings import LOG_ORDER, READING_ORDER, Tables
+from rotorwatch.session import scratch_dir
+from rotorwatch.sources import files
+from rotorwatch.sources.bindings import LOG_ORDER, READING_ORDER, Tables, bind_readings
+from rotorwatch.sources.snapshots import ServingTables, materialize
+from rotorwatch.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -679,3 +684,171 @@ def stream_transitions(t):
         "asset_id", F.col("hour_window").alias("calculated_at"), scores.risk_level(score).alias("risk_level")
     )
     return serving.risk_changes(past)
+
+
+# -- sources: the bound tables written as CSV, then read back --------------------------------
+
+
+def _landed(t: Tables, name: str, df: DataFrame, schema) -> str:
+    """The table as CSV files in a new folder, with the columns a landed file has."""
+    folder = scratch_dir(t.spark, name)
+    columns = [
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema
+    ]
+    writer = df.select(*columns).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    writer.option("header", True).csv(f"{folder}/in")
+    return folder
+
+
+def _drained(t: Tables, query, path: str) -> DataFrame:
+    query.awaitTermination()
+    return t.spark.read.parquet(path)
+
+
+@query
+def src_sensor_stream(t):
+    folder = _landed(t, "sensors", t.readings(), S.SENSOR_READINGS)
+    stream = files.stream_sensor_readings(t.spark, f"{folder}/in")
+    run = jobs.write_stream(stream, f"{folder}/bronze", f"{folder}/checkpoint")
+    return _drained(t, run, f"{folder}/bronze").select(
+        "timestamp", "asset_id", "vibration_mm_s", "temp_c", "data_source"
+    )
+
+
+@query
+def src_logs_stream(t):
+    folder = _landed(t, "orders", t.logs_raw(), S.MAINTENANCE_LOGS)
+    stream = files.stream_maintenance_logs(t.spark, f"{folder}/in")
+    run = jobs.write_stream(stream, f"{folder}/bronze", f"{folder}/checkpoint")
+    return _drained(t, run, f"{folder}/bronze").select(*S.MAINTENANCE_LOGS.names)
+
+
+@query
+def src_asset_metadata(t):
+    folder = _landed(t, "assets", t.assets_raw(), S.ASSET_METADATA)
+    return files.read_asset_metadata(t.spark, f"{folder}/in").select(*t.assets_raw().columns)
+
+
+@query
+def src_production_output(t):
+    folder = _landed(t, "production", t.production(), S.PRODUCTION_OUTPUT)
+    return files.read_production_output(t.spark, f"{folder}/in")
+
+
+@query
+def landing_manifest(t):
+    return files.landing_manifest(t.spark, t.folder)
+
+
+# -- streams and written tables ---------------------------------------------------------------
+
+
+def _event_stream(t: Tables) -> DataFrame:
+    schema = t.raw("events").schema
+    files_ = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return bind_readings(files_.parquet(t.folder))
+
+
+@query
+def stream_bronze_silver(t):
+    folder = scratch_dir(t.spark, "silver")
+    run = jobs.run_silver_stream(_event_stream(t), t.assets(), f"{folder}/silver", f"{folder}/checkpoint")
+    return _drained(t, run, f"{folder}/silver")
+
+
+@query
+def sink_stream_append(t):
+    folder = scratch_dir(t.spark, "append")
+    run = jobs.write_stream(_event_stream(t), f"{folder}/bronze", f"{folder}/checkpoint")
+    return _drained(t, run, f"{folder}/bronze")
+
+
+@query
+def stream_watermark_dedup(t):
+    """Every event delivered twice comes out once."""
+    folder = scratch_dir(t.spark, "dedup")
+    twice = _event_stream(t).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    run = jobs.write_stream(
+        jobs.dedup(twice, ["event_id"], "2 hours"), f"{folder}/out", f"{folder}/checkpoint"
+    )
+    return _drained(t, run, f"{folder}/out")
+
+
+@query
+def stream_hourly(t):
+    folder = scratch_dir(t.spark, "hourly")
+    silver = enrich.silver_sensor_readings(_event_stream(t), t.assets())
+    run = jobs.write_stream(jobs.hourly_stream(silver, "1 hour"), f"{folder}/out", f"{folder}/checkpoint")
+    return _drained(t, run, f"{folder}/out")
+
+
+@query
+def stream_rolling5(t):
+    folder = scratch_dir(t.spark, "rolling")
+    run = jobs.run_rolling_stream(
+        _event_stream(t), folder, f"{folder}/checkpoint", {"vibration_mm_s": "vibration_smoothed"},
+        order=tuple(READING_ORDER),
+    )
+    smoothed = _drained(t, run, f"{folder}/smoothed")
+    return smoothed.select("event_id", F.round("vibration_smoothed", 6).alias("vibration_smoothed"))
+
+
+@query
+def stream_sync(t):
+    """Gold records as a file stream into the serving tables; the live table that results."""
+    folder = scratch_dir(t.spark, "sync")
+    records = gold.health_with_cost(t.health(), t.cost())
+    records.write.parquet(f"{folder}/gold")
+    stream = t.spark.readStream.schema(records.schema).parquet(f"{folder}/gold")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    jobs.run_sync_stream(stream, f"{folder}/serving", f"{folder}/checkpoint", now=now).awaitTermination()
+    tables = ServingTables(t.spark, f"{folder}/serving")
+    raised = tables.alerts.read().select("asset_id", "disruption_id", "status")
+    return tables.live.read().join(raised, "asset_id", "left").select(
+        "asset_id", "health_score", "risk_level", "estimated_rul_hours", "last_updated", "status",
+        F.col("disruption_id").isNotNull().alias("alerted"),
+    )
+
+
+@query
+def sink_materialize(t):
+    return materialize(t.trends(), scratch_dir(t.spark, "trends")).read()
+
+
+# -- SQL functions ----------------------------------------------------------------------------
+
+
+def _with_functions(t: Tables) -> SparkSession:
+    register_functions(t.spark, t.live(), t.chunks(), t.logs(), t.cost(), LOG_ORDER)
+    t.assets_raw().select("asset_id").createOrReplaceTempView("rw_asset_ids")
+    return t.spark
+
+
+@query
+def fn_get_asset_health(t):
+    return _with_functions(t).sql("SELECT asset_id, get_asset_health(asset_id) AS health FROM rw_asset_ids")
+
+
+@query
+def fn_calculate_cost_impact(t):
+    return _with_functions(t).sql(
+        "SELECT c.* FROM rw_asset_ids a, LATERAL calculate_cost_impact(a.asset_id, 4.0D) c"
+    )
+
+
+@query
+def fn_get_maintenance_history(t):
+    return _with_functions(t).sql(
+        "SELECT a.asset_id, h.* FROM rw_asset_ids a, LATERAL get_maintenance_history(a.asset_id, 5) h"
+    )
+
+
+@query
+def fn_search_failure_patterns(t):
+    return _with_functions(t).sql("SELECT * FROM search_failure_patterns('overheat')")
+
+
+@query
+def fn_search_manuals(t):
+    return _with_functions(t).sql("SELECT * FROM search_manuals('license')")
