@@ -239,7 +239,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity D
 SELECT vec_id, query, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5"""
 
 
-_MONTH_LOGS = "row_number() OVER (ORDER BY timestamp, o_orderkey)"
+_SERIAL = "row_number() OVER (ORDER BY o_orderkey % 1024, timestamp, o_orderkey)"
 
 _SQL = {
     # quality gates
@@ -361,9 +361,7 @@ SELECT count(*) AS total_assets, count(*) FILTER (WHERE risk_level = 'CRITICAL')
 SELECT production_line_id, count(*) AS assets_at_risk, round(sum(cost_of_unplanned_failure), 2) AS exposure_usd,
   min(estimated_rul_hours) AS shortest_rul_hours FROM cost WHERE {_AT_RISK} GROUP BY production_line_id"""),
     "floor_map": _sql("health", """
-SELECT production_line_id, CAST(row_number() OVER (PARTITION BY production_line_id
-    ORDER BY health_score NULLS FIRST, asset_id) AS INT) AS place,
-  asset_id, round(health_score, 0) AS health_score, risk_level, estimated_rul_hours FROM health"""),
+SELECT production_line_id, asset_id, round(health_score, 0) AS health_score, risk_level, estimated_rul_hours FROM health"""),
     "cost_by_asset_avg": _sql("logs", """
 SELECT asset_id, round(avg(cost_to_fix), 2) AS avg_repair_cost, count(*) AS work_orders FROM logs GROUP BY asset_id"""),
     "fleet_compare": _sql("gaps repairs", """
@@ -585,7 +583,7 @@ SELECT disruption_id, a.asset_id,
   CASE WHEN status = 'ACTIVE' AND h.risk_level NOT IN ('CRITICAL', 'HIGH') THEN 'auto' ELSE resolved_by END AS resolved_by
 FROM alerts a JOIN health h ON a.asset_id = h.asset_id, now_hour"""),
     "serial_ids": _sql("logs_raw", f"""
-SELECT {_MONTH_LOGS} AS rec_id, work_order_id, printf('REC-%05d', {_MONTH_LOGS}) AS label FROM logs_raw"""),
+SELECT {_SERIAL} AS rec_id, work_order_id, printf('REC-%05d', {_SERIAL}) AS label FROM logs_raw"""),
     "sink_recommendation": _sql("recs health", """
 SELECT count(*) AS appended, 1::BIGINT AS first_id, count(*) AS last_id, count(*) AS distinct_ids,
   round(sum(health_score), 2) AS score_sum

@@ -73,14 +73,13 @@ def consecutive_over(
 
 def rising_pct(
     trends: DataFrame, pct: float = 5.0, hours: int = 8, max_gap_hours: int | None = 1,
-    column: str = "vibration_avg", min_hot_rows: int | None = None,
+    column: str = "vibration_avg", **options,
 ) -> DataFrame:
     """Runs of at least ``hours`` hourly rows that each grew by more than ``pct`` percent.
 
     By default the row before must be the hour before; ``max_gap_hours=None`` takes the last
     known hour instead.
     """
-    options = {} if min_hot_rows is None else {"min_hot_rows": min_hot_rows}
 
     def growth(w) -> Column:
         before = F.lag(column).over(w)

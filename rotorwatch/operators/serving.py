@@ -124,9 +124,9 @@ def with_serial_id(
 
     Rows are numbered inside buckets and each bucket starts where the one before ended; only
     the bucket counts are summed up in one place. By default rows are spread over a fixed number
-    of hash buckets, so ids rise but follow no column. Pass a ``bucket`` that rises with
-    ``order_by`` (the month of a leading time column, say) to number in that order. The order
-    must be unique, so that a lost task computes the same ids again.
+    of hash buckets, so ids rise but follow no column. Any other ``bucket`` that spreads the
+    rows evenly will do: ids follow the bucket first, then the order. The order must be unique,
+    so that a lost task computes the same ids again.
     """
     spread = F.pmod(F.xxhash64(*order_by), F.lit(ID_BUCKETS)) if bucket is None else bucket
     rows = df.withColumn("_bucket", spread)
@@ -199,12 +199,11 @@ def recent_recs(recs: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def risk_changes(history: DataFrame, min_hot_rows: int | None = None) -> DataFrame:
+def risk_changes(history: DataFrame, **options) -> DataFrame:
     """Rows of a health history where an asset enters an at-risk level from another level.
 
     An asset's first row counts as entering. History columns: asset_id, calculated_at, risk_level.
     """
-    options = {} if min_hot_rows is None else {"min_hot_rows": min_hot_rows}
     before = {"previous_risk": lambda w: F.lag("risk_level").over(w)}
     with_before = trailing(
         history, "asset_id", ["calculated_at"], ["calculated_at", "risk_level"], 2, before, **options

@@ -404,7 +404,8 @@ def consecutive_over(t):
 
 @query
 def rising_pct(t):
-    return _rounded(runs.rising_pct(t.trends(), 5.0, 3, None), 6, "peak_value")
+    hours = t.readings().withColumnRenamed("timestamp", "hour_window")
+    return _rounded(runs.rising_pct(t.trends(), 5.0, 3, None, rows=hours), 6, "peak_value")
 
 
 @query
@@ -655,8 +656,8 @@ def alert_status(t):
 
 @query
 def serial_ids(t):
-    month = F.date_trunc("month", "timestamp")
-    numbered = serving.with_serial_id(t.logs_raw(), LOG_ORDER, 1, "rec_id", month)
+    spread = F.col("o_orderkey") % serving.ID_BUCKETS
+    numbered = serving.with_serial_id(t.logs_raw(), LOG_ORDER, 1, "rec_id", spread)
     return numbered.select("rec_id", "work_order_id", F.format_string("REC-%05d", "rec_id").alias("label"))
 
 
@@ -683,7 +684,7 @@ def stream_transitions(t):
     past = rated.select(
         "asset_id", F.col("hour_window").alias("calculated_at"), scores.risk_level(score).alias("risk_level")
     )
-    return serving.risk_changes(past)
+    return serving.risk_changes(past, rows=t.readings().withColumnRenamed("timestamp", "calculated_at"))
 
 
 # -- sources: the bound tables written as CSV, then read back --------------------------------

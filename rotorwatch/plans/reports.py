@@ -1,6 +1,6 @@
 """Named business queries over the gold and serving tables."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rotorwatch import schemas as S
 from rotorwatch.functions import costs, scores
@@ -90,12 +90,12 @@ def fleet_counts(health: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def floor_map(health: DataFrame) -> DataFrame:
-    """Every asset with its place on its line, worst first; no line is gathered in one row."""
-    worst_first = Window.partitionBy("production_line_id").orderBy("health_score", "asset_id")
+    """All assets line by line, worst first on each. A line may be of any size: it is a sort
+    over line and score, never one group."""
     return health.select(
-        "production_line_id", F.row_number().over(worst_first).alias("place"), "asset_id",
-        F.round("health_score", 0).alias("health_score"), "risk_level", "estimated_rul_hours",
-    )
+        "production_line_id", "asset_id", F.round("health_score", 0).alias("health_score"),
+        "risk_level", "estimated_rul_hours", F.col("health_score").alias("_exact"),
+    ).orderBy("production_line_id", "_exact", "asset_id").drop("_exact")
 
 
 def floor_map_lines(health: DataFrame) -> DataFrame:
