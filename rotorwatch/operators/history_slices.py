@@ -24,18 +24,19 @@ CUTS_PER_SHARE = 8
 def hot_keys(
     rows: DataFrame, key: str, ts: str, min_hot_rows: int = MIN_HOT_ROWS, grain: int = 1
 ) -> DataFrame:
-    """Fewer than MAX_HOT_KEYS rows: key, first time, and slice length in seconds."""
-    share = F.greatest(
-        F.lit(min_hot_rows), rows.agg(F.count(F.lit(1))).scalar() / F.lit(MAX_HOT_KEYS)
+    """Fewer than MAX_HOT_KEYS rows: key, first hour, and slice length in seconds."""
+    per_key = (
+        rows.selectExpr(f"{key} AS _hot_key", f"unix_timestamp(date_trunc('hour', {ts})) AS _s")
+        .groupBy("_hot_key")
+        .agg(F.expr("count(1) AS _n"), F.expr("min(_s) AS _from"), F.expr("max(_s) AS _to"))
     )
-    seconds = F.unix_timestamp(F.date_trunc("hour", F.col(ts).cast("timestamp")))
-    per_key = rows.groupBy(F.col(key).alias("_hot_key")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(seconds).alias("_from"), F.max(seconds).alias("_to")
-    )
-    cuts = F.col("_n") / share * CUTS_PER_SHARE
-    grains = F.floor((F.col("_to") + 3600 - F.col("_from")) / cuts / grain)
-    return per_key.filter(F.col("_n") > share).select(
-        "_hot_key", "_from", (F.greatest(grains, F.lit(1)) * grain).alias("_length")
+    total = rows.agg(F.expr("count(1)")).scalar()
+    return (
+        per_key.withColumn("_total", total)
+        .selectExpr("*", f"greatest({min_hot_rows}, _total / {MAX_HOT_KEYS}) AS _share")
+        .filter("_n > _share")
+        .selectExpr("*", f"floor((_to + 3600 - _from) / (_n / _share * {CUTS_PER_SHARE}) / {grain}) AS _grains")
+        .selectExpr("_hot_key", "_from", f"greatest(_grains, 1) * {grain} AS _length")
     )
 
 
@@ -46,18 +47,45 @@ def with_slices(
     """Add the slice number: 0 for an ordinary key, 1 and up by time for a hot one.
 
     With ``grain=3600`` an hour of a key never spans two slices. ``rows`` may name a cheaper
-    frame with the same keys and times to take the counts from.
+    frame with the same keys and times to take the counts from. Rows that have a slice keep it.
     """
-    base = (df if rows is None else rows).select(key, ts)
-    hot = hot_keys(base, key, ts, min_hot_rows, grain)
-    seconds = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    if SLICE in df.columns:
+        return df
+    hot = hot_keys(df if rows is None else rows, key, ts, min_hot_rows, grain)
     # rows of a hot key without a time sort first: slice 1
-    number = F.coalesce(F.floor((seconds - F.col("_from")) / F.col("_length")) + 2, F.lit(1))
-    number = F.when(F.col("_length").isNull(), 0).otherwise(number)
+    number = f"coalesce(floor((unix_timestamp({ts}) - _from) / _length) + 2, 1)"
     return (
-        df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
-        .withColumn(SLICE, number.cast("bigint"))
-        .drop("_hot_key", "_from", "_length")
+        df.join(F.broadcast(hot), F.expr(f"{key} <=> _hot_key"), "left")
+        .selectExpr(*df.columns, f"CAST(if(_length IS NULL, 0, {number}) AS BIGINT) AS {SLICE}")
+    )
+
+
+def carried_rows(
+    sliced: DataFrame, key: str, order: list[str], values: list[str], depth: int
+) -> DataFrame:
+    """For each slice of a hot key the ``depth`` rows just before it, marked as carried."""
+    fields = list(dict.fromkeys([*order, *values]))
+    # the last rows of every slice; the rank filter cuts each group before the shuffle
+    newest_first = ", ".join(f"{c} DESC" for c in order)
+    tails = (
+        sliced.filter(f"{SLICE} > 0")
+        .selectExpr(
+            key, SLICE, *fields,
+            f"row_number() OVER (PARTITION BY {key}, {SLICE} ORDER BY {newest_first}) AS _back",
+        )
+        .filter(f"_back <= {depth}")
+        .groupBy(key, SLICE)
+        .agg(F.expr(f"sort_array(collect_list(struct({', '.join(fields)}))) AS _tail"))
+    )
+    # a slice may hold fewer than `depth` rows, so look back over that many slices
+    earlier = f"PARTITION BY {key} ORDER BY {SLICE} ROWS BETWEEN {depth} PRECEDING AND 1 PRECEDING"
+    return (
+        tails.selectExpr(key, SLICE, f"flatten(collect_list(_tail) OVER ({earlier})) AS _before")
+        .selectExpr(
+            key, SLICE,
+            f"inline(slice(_before, greatest(size(_before) - {depth}, 0) + 1, {depth}))",
+        )
+        .selectExpr("*", f"true AS {CARRIED}")
     )
 
 
@@ -70,29 +98,8 @@ def with_lookback(
     ``order[0]`` is the time column. Carried rows hold only key, order and ``values``.
     """
     sliced = with_slices(df, key, order[0], rows, min_hot_rows, grain)
-    hot_part = sliced.filter(F.col(SLICE) > 0)
-
-    # the last rows of every slice; the rank filter cuts each group before the shuffle
-    newest_first = Window.partitionBy(key, SLICE).orderBy(*[F.desc(c) for c in order])
-    packed = F.struct(*order, *[c for c in values if c not in order])
-    tails = (
-        hot_part.select(key, SLICE, *dict.fromkeys([*order, *values]))
-        .withColumn("_back", F.row_number().over(newest_first))
-        .filter(F.col("_back") <= depth)
-        .groupBy(key, SLICE)
-        .agg(F.sort_array(F.collect_list(packed)).alias("_tail"))
-    )
-    # a slice may hold fewer than `depth` rows, so look back over that many slices
-    earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(-depth, -1)
-    before = F.flatten(F.collect_list("_tail").over(earlier))
-    carried = (
-        tails.withColumn("_before", before)
-        .withColumn("_skip", F.greatest(F.size("_before") - depth, F.lit(0)))
-        .select(key, SLICE, F.explode(F.expr("slice(_before, _skip + 1, %d)" % depth)).alias("_r"))
-        .select(key, SLICE, "_r.*")
-        .withColumn(CARRIED, F.lit(True))
-    )
-    return sliced.withColumn(CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    carried = carried_rows(sliced, key, order, values, depth)
+    return sliced.selectExpr("*", f"false AS {CARRIED}").unionByName(carried, allowMissingColumns=True)
 
 
 def by_slice(key: str, order: list[str]) -> WindowSpec:
@@ -101,8 +108,7 @@ def by_slice(key: str, order: list[str]) -> WindowSpec:
 
 def own_rows(df: DataFrame, keep_slice: bool = False) -> DataFrame:
     """Drop the carried rows again."""
-    kept = df.filter(~F.col(CARRIED)).drop(CARRIED)
-    return kept if keep_slice else kept.drop(SLICE)
+    return df.filter(f"NOT {CARRIED}").drop(*([CARRIED] if keep_slice else [CARRIED, SLICE]))
 
 
 def trailing(

@@ -48,7 +48,7 @@ def stop_conditions(
 
 def restart_gate(health: DataFrame, alerts: DataFrame, min_score: float = 50.0) -> DataFrame:
     """Assets that may be restarted: score above the minimum and no active alert."""
-    active = alerts.filter(F.col("status") == S.ALERT_ACTIVE).select("asset_id")
+    active = alerts.filter(F.col("status") == S.ALERT_ACTIVE).select("asset_id").distinct()
     return health.filter(F.col("health_score") > min_score).join(active, "asset_id", "left_anti")
 
 

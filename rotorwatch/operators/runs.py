@@ -1,57 +1,69 @@
 """Persistence rules: how long or how often in a row a condition holds."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from rotorwatch.operators.history_slices import CARRIED, SLICE, by_slice, trailing, with_lookback
+from rotorwatch.operators.history_slices import CARRIED, SLICE, carried_rows, trailing, with_slices
+
+
+_RUN = ["run_start", "run_end", "run_length", "peak_value"]
+
+
+def _pieces(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Runs inside each slice; ``_continues`` marks one that goes on from the slice before."""
+    in_order = f"PARTITION BY {key}, {SLICE} ORDER BY {', '.join(order)}"
+    own = f"NOT {CARRIED}"
+    # all hits between two misses share the count of misses before them
+    return (
+        rows.selectExpr("*", f"count_if(NOT _hit) OVER ({in_order}) AS _island")
+        .filter("_hit")
+        .groupBy(key, SLICE, "_island")
+        .agg(
+            F.expr(f"min({order[0]}) FILTER (WHERE {own}) AS run_start"),
+            F.expr(f"max({order[0]}) FILTER (WHERE {own}) AS run_end"),
+            F.expr(f"count_if({own}) AS run_length"),
+            F.expr(f"max(_value) FILTER (WHERE {own}) AS peak_value"),
+            F.expr(f"bool_or({CARRIED}) AS _continues"),
+        )
+        .filter("run_length > 0")
+    )
 
 
 def runs(
-    df: DataFrame, condition: Column, value: str, key: str = "asset_id",
-    order: tuple[str, ...] = ("timestamp",), **options,
+    df: DataFrame, condition: Column | str, value: str, key: str = "asset_id",
+    order: tuple[str, ...] = ("timestamp",), rows: DataFrame | None = None, **options,
 ) -> DataFrame:
     """One row per unbroken run of consecutive rows that meet the condition.
 
-    Gives the first and last time, the number of rows and the greatest value. Rows of a hot key
-    are handled slice by slice; only runs that touch the edge of a slice are then joined up,
-    at most two per slice.
+    Gives the first and last time, the number of rows and the greatest value. Ordinary keys
+    take the plain way. Rows of hot keys are handled slice by slice; of their runs only those
+    that touch the edge of a slice are then joined up, at most two per slice.
     """
-    ts, order = order[0], list(order)
+    order = list(order)
+    hit = F.expr(condition) if isinstance(condition, str) else condition
+    present = [SLICE] if SLICE in df.columns else []
     lean = df.select(
-        key, *order, F.col(value).alias("_value"), F.coalesce(condition, F.lit(False)).alias("_hit")
+        key, *order, *present, F.col(value).alias("_value"), F.coalesce(hit, F.lit(False)).alias("_hit")
     )
-    history = with_lookback(lean, key, order, ["_hit"], 1, **options)
-    # all hits between two misses share the count of misses before them
-    island = F.count_if(~F.col("_hit")).over(by_slice(key, order))
-    own = ~F.col(CARRIED)
-    pieces = (
-        history.withColumn("_island", island)
-        .filter("_hit")
-        .groupBy(key, SLICE, "_island")
-        .agg(
-            F.min(F.when(own, F.col(ts))).alias("run_start"),
-            F.max(F.when(own, F.col(ts))).alias("run_end"),
-            F.count_if(own).alias("run_length"),
-            F.max(F.when(own, F.col("_value"))).alias("peak_value"),
-            F.bool_or(CARRIED).alias("_continues"),
-        )
-        .filter(F.col("run_length") > 0)
-        .withColumn("_last", F.max("_island").over(Window.partitionBy(key, SLICE)))
+    sliced = with_slices(lean, key, order[0], rows, **options).selectExpr("*", f"false AS {CARRIED}")
+    ordinary = _pieces(sliced.filter(f"{SLICE} = 0"), key, order).select(key, *_RUN)
+
+    carried = carried_rows(sliced, key, order, ["_hit"], 1)
+    hot = sliced.filter(f"{SLICE} > 0").unionByName(carried, allowMissingColumns=True)
+    pieces = _pieces(hot, key, order).selectExpr(
+        "*", f"_continues OR _island = max(_island) OVER (PARTITION BY {key}, {SLICE}) AS _at_edge"
     )
-    result = ["run_start", "run_end", "run_length", "peak_value"]
-    at_edge = (F.col(SLICE) > 0) & (F.col("_continues") | (F.col("_island") == F.col("_last")))
-    inside = pieces.filter(~at_edge).select(key, *result)
-    in_time = Window.partitionBy(key).orderBy(SLICE, "_island")
+    inside = pieces.filter("NOT _at_edge").select(key, *_RUN)
     joined = (
-        pieces.filter(at_edge)
-        .withColumn("_run", F.count_if(~F.col("_continues")).over(in_time))
+        pieces.filter("_at_edge")
+        .selectExpr("*", f"count_if(NOT _continues) OVER (PARTITION BY {key} ORDER BY {SLICE}, _island) AS _run")
         .groupBy(key, "_run")
         .agg(
-            F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"),
-            F.sum("run_length").alias("run_length"), F.max("peak_value").alias("peak_value"),
+            F.expr("min(run_start) AS run_start"), F.expr("max(run_end) AS run_end"),
+            F.expr("sum(run_length) AS run_length"), F.expr("max(peak_value) AS peak_value"),
         )
-        .select(key, *result)
+        .select(key, *_RUN)
     )
-    return inside.unionByName(joined)
+    return ordinary.union(inside).union(joined)
 
 
 def sustained_over(
@@ -59,8 +71,7 @@ def sustained_over(
 ) -> DataFrame:
     """Runs above the limit that last longer than ``minutes``."""
     found = runs(readings, F.col(column) > limit, column, **options)
-    seconds = F.unix_timestamp(F.col("run_end")) - F.unix_timestamp(F.col("run_start"))
-    return found.filter(seconds > minutes * 60)
+    return found.filter(f"unix_timestamp(run_end) - unix_timestamp(run_start) > {minutes} * 60")
 
 
 def consecutive_over(
@@ -91,9 +102,10 @@ def rising_pct(
 
     lean = trends.select("asset_id", "hour_window", column)
     grown = trailing(
-        lean, "asset_id", ["hour_window"], ["hour_window", column], 2, {"growth_pct": growth}, **options
+        lean, "asset_id", ["hour_window"], ["hour_window", column], 2, {"growth_pct": growth},
+        keep_slice=True, **options,
     )
-    found = runs(grown, F.col("growth_pct") > pct, "growth_pct", order=("hour_window",), **options)
+    found = runs(grown, F.col("growth_pct") > pct, "growth_pct", order=("hour_window",))
     return found.filter(F.col("run_length") >= hours)
 
 
@@ -114,12 +126,15 @@ def thermal_spikes(
         seconds = F.unix_timestamp("timestamp") - F.unix_timestamp(F.lag("timestamp").over(w))
         return F.try_divide((F.col("temp_c") - F.lag("temp_c").over(w)) * 3600, seconds)
 
-    outputs = {"_baseline": baseline, "_rate": rate}
+    outputs = {"_baseline": baseline}
+    if rate_per_hour is not None:
+        outputs["_rate"] = rate
     with_base = trailing(
-        silver, "asset_id", list(order), ["timestamp", "temp_c"], baseline_points + 1, outputs, **options
+        silver, "asset_id", list(order), ["timestamp", "temp_c"], baseline_points + 1, outputs,
+        keep_slice=True, **options,
     )
     hot = (F.col("temp_c") - F.col("_baseline") > delta) & ~F.col("vibration_anomaly_flag")
     if rate_per_hour is not None:
         hot &= F.col("_rate") > rate_per_hour
-    found = runs(with_base, hot, "temp_c", order=order, **options)
+    found = runs(with_base, hot, "temp_c", order=order)
     return found.filter(F.col("run_length") <= max_len)

@@ -52,9 +52,17 @@ def _top_per_query(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
 
 
 def search_manuals(chunks: DataFrame, queries: list[str], k: int = 5) -> DataFrame:
-    """For each query the k best chunks that hold it in their text or section name."""
-    matches = {q: contains(F.col("content"), q) | contains(F.col("section"), q) for q in queries}
-    return _top_per_query(_per_query(chunks, matches), k, F.desc("score"), "chunk_id")
+    """For each query the k best chunks that hold it in their text or section name.
+
+    The text is put into lower case once, not once per query.
+    """
+    lowered = chunks.withColumns({"_content": F.lower("content"), "_section": F.lower("section")})
+    matches = {}
+    for q in queries:
+        pattern = F.lower(F.lit(f"%{q}%"))
+        matches[q] = F.like(F.col("_content"), pattern) | F.like(F.col("_section"), pattern)
+    hits = _per_query(lowered, matches).drop("_content", "_section")
+    return _top_per_query(hits, k, F.desc("score"), "chunk_id")
 
 
 def top_chunks(chunks: DataFrame, k: int = 5) -> DataFrame:

@@ -12,8 +12,14 @@ from rotorwatch.operators.history_slices import trailing
 ID_BUCKETS = 1024
 
 
-def newest_by_key(updates: DataFrame, keys: list[str], version: str) -> DataFrame:
-    newest = F.max_by(F.struct(*updates.columns), F.col(version)).alias("_row")
+def newest_by_key(updates: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
+    """One row per key: the one of the newest version.
+
+    Equal versions are settled by a hash of the row, so that a repeated task picks the same one.
+    """
+    row = F.struct(*updates.columns)
+    rank = F.struct(*([version] if version else []), F.xxhash64(*updates.columns).alias("_hash"))
+    newest = F.max_by(row, rank).alias("_row")
     return updates.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(newest).select("_row.*")
 
 
@@ -26,7 +32,7 @@ def upsert(
     The target is only anti-joined, so with few updates Spark broadcasts their keys and the
     target is not shuffled. ``version`` picks the newest of several updates of one key.
     """
-    fresh = newest_by_key(updates, keys, version) if version else updates.dropDuplicates(keys)
+    fresh = newest_by_key(updates, keys, version)
     if stamp in target.columns:
         fresh = fresh.withColumn(stamp, F.current_timestamp() if now is None else now)
     kept = target.join(fresh.select(*keys), keys, "left_anti")
@@ -47,7 +53,8 @@ def without_recent_alert(
     recent = existing.filter(
         (F.col("status") == S.ALERT_ACTIVE) & (F.col("detection_timestamp") > since)
     )
-    return alarms.join(recent.select("asset_id"), "asset_id", "left_anti")
+    # distinct first: an asset with very many alerts becomes one row per task before the shuffle
+    return alarms.join(recent.select("asset_id").distinct(), "asset_id", "left_anti")
 
 
 def new_disruptions(
@@ -72,12 +79,17 @@ def new_disruptions(
     )
 
 
-def update_alerts(target: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+def update_alerts(
+    target: DataFrame, changes: DataFrame, now: Column, version: str = "new_status"
+) -> DataFrame:
     """Apply status changes (disruption_id, new_status, changed_by) to alerts.
 
-    A change to RESOLVED stamps time and resolver; any other change leaves those alone.
+    A change to RESOLVED stamps time and resolver; any other change leaves those alone. Of
+    several changes to one alert the greatest ``version`` counts: by default RESOLVED.
     """
-    changed = changes.select("disruption_id", "new_status", "changed_by")
+    changed = newest_by_key(changes, ["disruption_id"], version).select(
+        "disruption_id", "new_status", "changed_by"
+    )
     resolves = F.col("new_status") == S.ALERT_RESOLVED
     return (
         target.join(changed, "disruption_id", "left")

@@ -14,7 +14,7 @@ def _ids(column: str, place: str):
 
 
 def asset_dossier(
-    health: DataFrame, cost: DataFrame, logs: DataFrame, chunks: DataFrame, k: int = 5,
+    cost: DataFrame, logs: DataFrame, chunks: DataFrame, k: int = 5,
     faults: tuple[str, ...] = S.FAULT_TYPES, manual_terms: dict[str, str] | None = None,
     order: list[str] = history.ORDER,
 ) -> DataFrame:
@@ -38,14 +38,11 @@ def asset_dossier(
         _ids("work_order_id", "_place").alias("recent_orders"),
         F.max(F.when(F.col("_place") == 1, F.col("fault_type"))).alias("last_fault"),
     )
-    figures = cost.select(
-        "asset_id", "cost_to_fix_now", "cost_of_unplanned_failure", "net_recommendation"
-    )
     term_of = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
     return (
-        at_risk(health)
-        .select("asset_id", "production_line_id", "health_score", "risk_level", "estimated_rul_hours")
-        .join(figures, "asset_id", "left")
+        at_risk(cost)
+        .select("asset_id", "production_line_id", "health_score", "risk_level", "estimated_rul_hours",
+                "cost_to_fix_now", "cost_of_unplanned_failure", "net_recommendation")
         .join(orders, "asset_id", "left")
         .withColumn("_term", F.try_element_at(term_of, F.col("last_fault")))
         # one row per fault type or term at most, and those are the caller's short lists

@@ -607,7 +607,7 @@ def provenance_explode(t):
 @query
 def asset_dossier(t):
     return dossier.asset_dossier(
-        t.health(), t.cost(), t.logs(), t.chunks(), 3,
+        t.cost(), t.logs(), t.chunks(), 3,
         ("Bearing failure", "Vibration imbalance", "Seal leak", "Overheating", "Belt wear"),
         {"Seal leak": "license", "Overheating": "the "}, LOG_ORDER,
     )

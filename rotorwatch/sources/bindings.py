@@ -6,7 +6,7 @@ lines, documents -> manual chunks. Alerts and recommendations are derived from t
 
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from rotorwatch import schemas as S
 from rotorwatch.operators import enrich, search, serving, trends
@@ -25,14 +25,21 @@ def _once(build):
     return get
 
 
+# schemas of the files, so that opening a table reads no footers
+FILES = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
 LOG_ORDER = ["timestamp", "o_orderkey"]
 READING_ORDER = ["timestamp", "event_id"]
 
 
-def _id(prefix: str, column: str | Column) -> Column:
-    return F.concat(F.lit(prefix), F.col(column).cast("string") if isinstance(column, str) else column)
-
-
 class Tables:
     """Lazy access to the bound tables of one data folder."""
 
@@ -40,22 +47,21 @@ class Tables:
         self.spark, self.folder, self._built = spark, folder, {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        reader = self.spark.read.schema(FILES[name]) if name in FILES else self.spark.read
+        return reader.parquet(f"{self.folder}/{name}.parquet")
 
     # -- landed tables -------------------------------------------------------
 
     @_once
     def assets_raw(self) -> DataFrame:
-        nation = F.col("c_nationkey")
-        return self.raw("customer").select(
-            _id("Asset_", "c_custkey").alias("asset_id"),
-            F.col("c_mktsegment").alias("asset_type"),
-            F.date_add(F.lit("1992-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int"))
-            .alias("installation_date"),
-            _id("Line_", "c_nationkey").alias("production_line_id"),
-            (nation % 3 + 1).cast("int").alias("criticality_tier"),
-            (F.col("c_acctbal") / 20).alias("rated_max_vibration"),
-            (60 + nation * 2).cast("double").alias("rated_max_temp"),
+        return self.raw("customer").selectExpr(
+            "concat('Asset_', c_custkey) AS asset_id",
+            "c_mktsegment AS asset_type",
+            "date_add(DATE '1992-01-01', CAST(c_custkey % 1000 AS INT)) AS installation_date",
+            "concat('Line_', c_nationkey) AS production_line_id",
+            "CAST(c_nationkey % 3 + 1 AS INT) AS criticality_tier",
+            "c_acctbal / 20 AS rated_max_vibration",
+            "CAST(60 + c_nationkey * 2 AS DOUBLE) AS rated_max_temp",
         )
 
     @_once
@@ -64,38 +70,34 @@ class Tables:
 
     @_once
     def logs_raw(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        faults = {"1": "Bearing failure", "2": "Vibration imbalance", "3": "Seal leak", "4": "Overheating"}
-        parts = {0: "Drive bearing", 1: "Shaft seal", 2: "Belt"}
-        first = F.substring("o_orderpriority", 1, 1)
-        fault_map = F.create_map(*[F.lit(x) for pair in faults.items() for x in pair])
-        part_map = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
-        return self.raw("orders").select(
-            _id("WO-", "o_orderkey").alias("work_order_id"),
+        return self.raw("orders").selectExpr(
+            "concat('WO-', o_orderkey) AS work_order_id",
             "o_orderkey",
-            _id("Asset_", "o_custkey").alias("asset_id"),
-            F.col("o_orderdate").cast("timestamp").alias("timestamp"),
-            F.coalesce(F.try_element_at(fault_map, first), F.lit("Belt wear")).alias("fault_type"),
-            F.try_element_at(part_map, (key % 4).cast("int")).alias("part_replaced"),
-            _id("T", (key % 7).cast("string")).alias("technician_id"),
-            ((key % 89).cast("double") / 8).alias("labor_hours"),
-            F.col("o_totalprice").alias("cost_to_fix"),
-            (F.col("o_orderstatus") == "F").alias("first_time_fix"),
-            ((key % 97).cast("double") / 8).alias("downtime_hours"),
+            "concat('Asset_', o_custkey) AS asset_id",
+            "CAST(o_orderdate AS TIMESTAMP) AS timestamp",
+            "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Bearing failure' "
+            "WHEN '2' THEN 'Vibration imbalance' WHEN '3' THEN 'Seal leak' WHEN '4' THEN 'Overheating' "
+            "ELSE 'Belt wear' END AS fault_type",
+            "CASE o_orderkey % 4 WHEN 0 THEN 'Drive bearing' WHEN 1 THEN 'Shaft seal' WHEN 2 THEN 'Belt' END "
+            "AS part_replaced",
+            "concat('T', o_orderkey % 7) AS technician_id",
+            "CAST(o_orderkey % 89 AS DOUBLE) / 8 AS labor_hours",
+            "o_totalprice AS cost_to_fix",
+            "o_orderstatus = 'F' AS first_time_fix",
+            "CAST(o_orderkey % 97 AS DOUBLE) / 8 AS downtime_hours",
         )
 
     @_once
     def production(self) -> DataFrame:
-        nation = F.col("n_nationkey")
-        return self.raw("nation").select(
-            _id("Line_", "n_nationkey").alias("line_id"),
-            (30000 + nation * 1000).cast("int").alias("hourly_output_value_usd"),
-            (16 + nation % 8).cast("int").alias("active_hours_per_day"),
+        return self.raw("nation").selectExpr(
+            "concat('Line_', n_nationkey) AS line_id",
+            "CAST(30000 + n_nationkey * 1000 AS INT) AS hourly_output_value_usd",
+            "CAST(16 + n_nationkey % 8 AS INT) AS active_hours_per_day",
         )
 
     @_once
     def manuals(self) -> DataFrame:
-        return self.raw("documents").select(_id("doc", "doc_id").alias("manual_name"), "text")
+        return self.raw("documents").selectExpr("concat('doc', doc_id) AS manual_name", "text")
 
     # -- silver and gold -----------------------------------------------------
 
@@ -141,66 +143,48 @@ class Tables:
     @_once
     def alerts(self) -> DataFrame:
         """Every vibration anomaly as an alert; its source tells how far it was dealt with."""
-        over = F.col("vibration_mm_s") > F.col("rated_max_vibration")
-        source = F.col("data_source")
-        status = (
-            F.when(source.isin("error", "click"), S.ALERT_ACTIVE)
-            .when(source == "view", S.ALERT_ACKNOWLEDGED)
-            .otherwise(S.ALERT_RESOLVED)
-        )
-        resolved = status == S.ALERT_RESOLVED
-        return self.silver().filter("vibration_anomaly_flag").select(
-            F.col("event_id").alias("disruption_id"),
-            "asset_id",
-            F.col("asset_id").alias("machine_id"),
-            F.when(over, "CRITICAL").otherwise("HIGH").alias("risk_level"),
-            F.col("production_line_id").alias("impacted_line_id"),
-            F.col("timestamp").alias("detection_timestamp"),
-            F.lit(None).cast("double").alias("estimated_rul_hours"),
-            F.round(F.col("vibration_mm_s") * 100, 2).alias("estimated_downtime_cost"),
-            F.lit(S.ACTION_IMMEDIATE).alias("recommended_action"),
-            status.alias("status"),
-            F.when(resolved, F.col("timestamp")).alias("resolved_at"),
-            F.when(resolved, "line lead").alias("resolved_by"),
+        resolved = "data_source IN ('purchase', 'signup')"
+        return self.silver().filter("vibration_anomaly_flag").selectExpr(
+            "event_id AS disruption_id", "asset_id", "asset_id AS machine_id",
+            "if(vibration_mm_s > rated_max_vibration, 'CRITICAL', 'HIGH') AS risk_level",
+            "production_line_id AS impacted_line_id",
+            "timestamp AS detection_timestamp",
+            "CAST(NULL AS DOUBLE) AS estimated_rul_hours",
+            "round(vibration_mm_s * 100, 2) AS estimated_downtime_cost",
+            f"'{S.ACTION_IMMEDIATE}' AS recommended_action",
+            f"CASE WHEN {resolved} THEN '{S.ALERT_RESOLVED}' WHEN data_source = 'view' "
+            f"THEN '{S.ALERT_ACKNOWLEDGED}' ELSE '{S.ALERT_ACTIVE}' END AS status",
+            f"if({resolved}, timestamp, NULL) AS resolved_at",
+            f"if({resolved}, 'line lead', NULL) AS resolved_by",
         )
 
     @_once
     def recommendations(self) -> DataFrame:
         """One recommendation per order that replaced a part, citing two manual chunks."""
-        key = F.col("o_orderkey")
-        return self.logs().filter(F.col("part_replaced").isNotNull()).select(
-            key.alias("rec_id"),
-            "asset_id",
-            F.concat(F.lit("Replace "), "part_replaced", F.lit(" after "), "fault_type")
-            .alias("recommendation_text"),
-            "cost_to_fix",
-            (F.col("downtime_hours") * 1000).alias("cost_of_downtime"),
-            F.col("labor_hours").alias("urgency_hours"),
-            F.lit(S.ACTION_PLANNED).alias("net_recommendation"),
-            F.array(
-                F.concat(F.lit("doc"), (key % 200).cast("string"), F.lit("_0")),
-                F.concat(F.lit("doc"), (key % 50).cast("string"), F.lit("_1")),
-            ).alias("vector_search_sources"),
-            F.array().cast("array<string>").alias("manual_references"),
-            F.col("timestamp").alias("created_at"),
+        return self.logs().filter("part_replaced IS NOT NULL").selectExpr(
+            "o_orderkey AS rec_id", "asset_id",
+            "concat('Replace ', part_replaced, ' after ', fault_type) AS recommendation_text",
+            "cost_to_fix", "downtime_hours * 1000 AS cost_of_downtime", "labor_hours AS urgency_hours",
+            f"'{S.ACTION_PLANNED}' AS net_recommendation",
+            "array(concat('doc', o_orderkey % 200, '_0'), concat('doc', o_orderkey % 50, '_1')) "
+            "AS vector_search_sources",
+            "CAST(array() AS ARRAY<STRING>) AS manual_references",
+            "timestamp AS created_at",
         )
 
     @_once
     def signals(self) -> DataFrame:
         """Error events as outside signals that know their line but not their asset."""
-        return self.raw("events").filter(F.col("event_type") == "error").select(
-            F.col("event_id").alias("signal_id"), F.col("value").alias("severity"),
-            _id("Line_", (F.col("user_id") % 25).cast("string")).alias("production_line_id"),
+        return self.raw("events").filter("event_type = 'error'").selectExpr(
+            "event_id AS signal_id", "value AS severity",
+            "concat('Line_', user_id % 25) AS production_line_id",
         )
 
 
 def bind_readings(events: DataFrame) -> DataFrame:
     """Events, batch or stream, as readings."""
-    return events.select(
-        "event_id",
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        _id("Asset_", "user_id").alias("asset_id"),
-        F.col("value").alias("vibration_mm_s"),
-        F.get_json_object("props", "$.k").cast("double").alias("temp_c"),
-        F.col("event_type").alias("data_source"),
+    return events.selectExpr(
+        "event_id", "CAST(ts AS TIMESTAMP) AS timestamp", "concat('Asset_', user_id) AS asset_id",
+        "value AS vibration_mm_s", "CAST(get_json_object(props, '$.k') AS DOUBLE) AS temp_c",
+        "event_type AS data_source",
     )
