@@ -620,6 +620,12 @@ GROUP BY ALL"""),
     "stream_sync": _sql("health", f"""
 SELECT asset_id, health_score, risk_level, estimated_rul_hours, TIMESTAMP '2024-02-01 00:00:00' AS last_updated,
   CASE WHEN {_AT_RISK} THEN 'ACTIVE' END AS status, {_AT_RISK} AS alerted FROM health"""),
+    "reset_serving": _sql("health recs", f"""
+SELECT (SELECT count(*) FROM health) AS live_rows, (SELECT count(*) FROM health WHERE {_AT_RISK}) AS alerts_before,
+  (SELECT count(*) FROM recs JOIN health ON recs.asset_id = health.asset_id) AS recommendations_before,
+  0::BIGINT AS alerts, 0::BIGINT AS recommendations"""),
+    "hourly_trends_since": _sql("trends now_hour", """
+SELECT * FROM trends WHERE hour_window >= (SELECT as_of - INTERVAL 7 DAY FROM now_hour)"""),
     "sink_materialize": _SQL["hourly_trends"],
     # SQL functions
     "fn_get_asset_health": _SQL["point_health"],

@@ -118,7 +118,8 @@ def recommendations_to_append(
         .withColumn("created_by_session", F.lit(session).cast("string"))
         .withColumn("created_at", now)
     )
-    numbered = with_serial_id(rows, ["asset_id", "recommendation_text"], start, "rec_id")
+    # ordered by all that was given, so that only rows equal in everything can swap their ids
+    numbered = with_serial_id(rows, recs.columns, start, "rec_id")
     return numbered.select(*S.MAINTENANCE_RECOMMENDATIONS.names)
 
 

@@ -1,6 +1,6 @@
 """Hourly roll-up of readings and what is read off it."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rotorwatch import schemas as S
 from rotorwatch.operators.history_slices import SLICE
@@ -17,10 +17,45 @@ def hourly_trends(
     Slices of a hot asset end on full hours, and the slice stays in the grouping keys, so the
     roll-up runs on the partitioning the smoothing made: one shuffle of the readings in all.
     """
-    smoothed = rolling_mean(
+    return _roll_up(_smooth(silver, points, tie_break, **options))
+
+
+def last_before(
+    silver: DataFrame, since: Column, rows: int, tie_break: tuple[str, ...] = ()
+) -> DataFrame:
+    """The last ``rows`` readings of each asset before a moment."""
+    newest_first = Window.partitionBy("asset_id").orderBy(
+        *[F.desc(c) for c in ("timestamp", *tie_break)]
+    )
+    older = silver.filter(F.col("timestamp") < since).withColumn("_back", F.row_number().over(newest_first))
+    return older.filter(F.col("_back") <= rows).drop("_back")
+
+
+def hourly_trends_since(
+    silver: DataFrame, since: Column, points: int = S.SMOOTHING_POINTS,
+    tie_break: tuple[str, ...] = (), before: DataFrame | None = None, **options,
+) -> DataFrame:
+    """The hours from ``since`` on, equal to those of the whole table, from the new readings only.
+
+    The trailing frame needs the last few readings of each asset before that. Pass them as
+    ``before`` where they are kept, as the smoothing stream does; else older readings are read.
+    """
+    start = F.date_trunc("hour", since)
+    if before is None:
+        before = last_before(silver, start, points - 1, tie_break)
+    recent = silver.filter(F.col("timestamp") >= start).withColumn("_past", F.lit(False))
+    both = recent.unionByName(before.withColumn("_past", F.lit(True)), allowMissingColumns=True)
+    return _roll_up(_smooth(both, points, tie_break, **options).filter("NOT _past"))
+
+
+def _smooth(silver: DataFrame, points: int, tie_break: tuple[str, ...], **options) -> DataFrame:
+    return rolling_mean(
         silver, {"vibration_mm_s": "_vib", "temp_c": "_temp"}, points,
         order=["timestamp", *tie_break], keep_slice=True, grain=3600, **options,
     )
+
+
+def _roll_up(smoothed: DataFrame) -> DataFrame:
     return (
         smoothed.withColumn("hour_window", F.date_trunc("hour", "timestamp"))
         .groupBy(*_GROUP, SLICE)

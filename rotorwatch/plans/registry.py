@@ -236,6 +236,13 @@ def hourly_trends(t):
     return t.trends()
 
 
+@query
+def hourly_trends_since(t):
+    """The last week of the hourly table, from the readings of that week and a few before."""
+    since = t.as_of() - F.make_dt_interval(days=F.lit(7))
+    return trends.hourly_trends_since(t.silver(), since, tie_break=("event_id",), rows=t.readings())
+
+
 @query
 def slope_by_type_line(t):
     return _rounded(
@@ -812,6 +819,25 @@ def stream_sync(t):
     )
 
 
+@query
+def reset_serving(t):
+    """Rows of the three serving tables after alerts and recommendations were written and cleared."""
+    tables = ServingTables(t.spark, scratch_dir(t.spark, "reset"))
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    tables.sync(gold.health_with_cost(t.health(), t.cost()), now)
+    tables.recommend(t.recommendations().drop("rec_id", "created_at"), now)
+    written = {
+        "alerts_before": tables.alerts.read().agg(F.count(F.lit(1))).scalar(),
+        "recommendations_before": tables.recommendations.read().agg(F.count(F.lit(1))).scalar(),
+    }
+    tables.reset()
+    return tables.live.read().agg(F.count(F.lit(1)).alias("live_rows")).withColumns({
+        **written,
+        "alerts": tables.alerts.read().agg(F.count(F.lit(1))).scalar(),
+        "recommendations": tables.recommendations.read().agg(F.count(F.lit(1))).scalar(),
+    })
+
+
 @query
 def sink_materialize(t):
     return materialize(t.trends(), scratch_dir(t.spark, "trends")).read()

@@ -59,6 +59,20 @@ def materialize(df: DataFrame, root: str) -> Snapshot:
     return table
 
 
+def replace_days(df: DataFrame, path: str, ts: str = "hour_window") -> None:
+    """Write rows into a table of daily folders, replacing just the days that occur in ``df``.
+
+    With `hourly_trends_since` the start of a day, a refresh of the hourly table touches new
+    days only. Rows are ranged by day and time first, so that a day becomes a few files of
+    even size however many rows it has.
+    """
+    daily = df.withColumn("day", F.to_date(ts)).repartitionByRange("day", ts, *df.columns[:2])
+    (
+        daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day").parquet(path)
+    )
+
+
 class ServingTables:
     """Live health, alerts and recommendations under one folder."""
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rotorwatch import schemas as S
-from rotorwatch.operators import enrich
+from rotorwatch.operators import enrich, quality
 from rotorwatch.operators.smoothing import rolling_mean
 from rotorwatch.sources.snapshots import ServingTables, Snapshot
 
@@ -26,15 +26,24 @@ def run_silver_stream(
 ) -> StreamingQuery:
     """Readings stream joined to the static register and flagged, row by row.
 
-    Each micro-batch sees the register as it is then; rows written before are not revised.
+    Each micro-batch sees the register as it is then; rows written before are not revised. The
+    counts of the quality gates are in the observed metrics of the query's progress.
     """
-    return write_stream(enrich.silver_sensor_readings(readings, meta), path, checkpoint, every)
+    checked = _counted(enrich.silver_sensor_readings(readings, meta), quality.READING_RULES)
+    return write_stream(checked, path, checkpoint, every)
 
 
 def run_silver_logs_stream(
     logs: DataFrame, meta: DataFrame, path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    return write_stream(enrich.silver_maintenance_logs(logs, meta), path, checkpoint, every)
+    checked = _counted(logs, quality.LOG_RULES)
+    return write_stream(enrich.silver_maintenance_logs(checked, meta), path, checkpoint, every)
+
+
+def _counted(df: DataFrame, rules: dict[str, tuple[str, bool]]) -> DataFrame:
+    for name, (predicate, _) in rules.items():
+        df = quality.expect(df, name, predicate)
+    return df
 
 
 def dedup(stream: DataFrame, keys: list[str], delay: str, ts: str = "timestamp") -> DataFrame:

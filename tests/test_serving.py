@@ -10,7 +10,7 @@ from rotorwatch import schemas as S
 from rotorwatch.functions.catalog import register_functions
 from rotorwatch.operators import search, serving
 from rotorwatch.sources import files
-from rotorwatch.sources.snapshots import ServingTables, Snapshot, materialize
+from rotorwatch.sources.snapshots import ServingTables, Snapshot, materialize, replace_days
 
 NOW = datetime(2024, 1, 1, 12)
 RECORDS = ("asset_id string, health_score double, risk_level string, current_vibration double, current_temp double, "
@@ -163,6 +163,21 @@ def test_readers(spark, folder):
     assert "pump.md" in [r.file_name for r in files.landing_manifest(spark, folder).collect()]
 
 
-def test_missing_tables_and_tags(spark):
+def test_tags(spark):
+    for name, tags in (("gold_scores", {"critical_path": "true"}), ("bronze_rows", {"pii": "false"})):
+        spark.range(1).write.mode("overwrite").saveAsTable(name)
+        files.set_tags(spark, name, **tags)
+    assert files.tables_with_tag(spark, "critical_path", "true") == ["gold_scores"]
+    files.require_tables(spark, ["gold_scores"])
+
+
+def test_only_touched_days_are_replaced(spark, folder):
+    hours = spark.range(72).selectExpr("timestamp_seconds(1704067200 + id * 3600) AS hour_window", "id", "1 AS v")
+    replace_days(hours, f"{folder}/t")
+    replace_days(hours.filter("id >= 48").withColumn("v", F.lit(2)), f"{folder}/t")
+    assert rows(spark.read.parquet(f"{folder}/t").groupBy("v").count()) == [(1, 48), (2, 24)]
+
+
+def test_missing_tables(spark):
     with pytest.raises(LookupError, match="no_such_table"):
         files.require_tables(spark, ["no_such_table"])

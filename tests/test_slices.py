@@ -74,6 +74,16 @@ def test_hourly_trends_and_rising_equal_whole(readings):
     assert rows(rising[0]) and rows(rising[0]) == rows(rising[1])
 
 
+@pytest.mark.parametrize("options", [PLAIN, HOT])
+def test_hours_since_equal_the_whole_table(readings, options):
+    silver = readings.filter("timestamp IS NOT NULL").withColumns(
+        {"production_line_id": F.lit("L"), "criticality_tier": F.lit(1)})
+    since = silver.agg(F.percentile_approx("timestamp", 0.7)).scalar()
+    whole = trends.hourly_trends(silver, tie_break=("event_id",), **PLAIN)
+    fresh = trends.hourly_trends_since(silver, since, tie_break=("event_id",), **options)
+    assert rows(fresh) == rows(whole.filter(F.col("hour_window") >= F.date_trunc("hour", since)))
+
+
 def test_long_runs_over_many_slices(spark):
     data = [(i, "A", 60.0 if i % 50 else 10.0) for i in range(400)]
     df = spark.createDataFrame(data, "event_id long, asset_id string, temp_c double").withColumn(

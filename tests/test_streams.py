@@ -69,7 +69,10 @@ def test_csv_to_silver(spark, folder):
                                  "asset_id string, asset_type string, production_line_id string, criticality_tier int, "
                                  "rated_max_vibration double, rated_max_temp double")
     stream = files.stream_sensor_readings(spark, f"{folder}/in", "*.csv")
-    jobs.run_silver_stream(stream, meta, f"{folder}/silver", f"{folder}/cp").awaitTermination()
+    query = jobs.run_silver_stream(stream, meta, f"{folder}/silver", f"{folder}/cp")
+    query.awaitTermination()
+    counts = query.recentProgress[0].observedMetrics["valid_asset_id"]
+    assert (counts.passed, counts.failed) == (50, 0)
     got = spark.read.parquet(f"{folder}/silver")
     batch = enrich.silver_sensor_readings(df, meta)
     pick = ["timestamp", "asset_id", "vibration_mm_s", "vibration_anomaly_flag", "rated_max_vibration"]
