@@ -1,8 +1,10 @@
 """Persistence rules: how long or how often in a row a condition holds."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
 
-from rotorwatch.operators.history_slices import CARRIED, SLICE, carried_rows, trailing, with_slices
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+
+from rotorwatch.operators.history_slices import CARRIED, SLICE, by_slice, carried_rows, with_slices
 
 
 _RUN = ["run_start", "run_end", "run_length", "peak_value"]
@@ -29,27 +31,40 @@ def _pieces(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def runs(
-    df: DataFrame, condition: Column | str, value: str, key: str = "asset_id",
-    order: tuple[str, ...] = ("timestamp",), rows: DataFrame | None = None, **options,
+    df: DataFrame, condition: Column, value: str, key: str = "asset_id",
+    order: tuple[str, ...] = ("timestamp",), derive: dict[str, Callable[[WindowSpec], Column]] | None = None,
+    reach: int = 0, needs: tuple[str, ...] = (), rows: DataFrame | None = None, **options,
 ) -> DataFrame:
     """One row per unbroken run of consecutive rows that meet the condition.
 
     Gives the first and last time, the number of rows and the greatest value. Ordinary keys
     take the plain way. Rows of hot keys are handled slice by slice; of their runs only those
     that touch the edge of a slice are then joined up, at most two per slice.
+
+    The condition and value may use ``derive`` columns: functions of the ordered window that
+    look back over ``reach`` rows. ``needs`` names the columns those and the condition read.
     """
     order = list(order)
-    hit = F.expr(condition) if isinstance(condition, str) else condition
-    present = [SLICE] if SLICE in df.columns else []
-    lean = df.select(
-        key, *order, *present, F.col(value).alias("_value"), F.coalesce(hit, F.lit(False)).alias("_hit")
-    )
+    hit = F.coalesce(condition, F.lit(False)).alias("_hit")
+    if derive:
+        lean, carry = df.select(*dict.fromkeys([key, *order, *needs])), list(needs)
+    else:
+        lean, carry = df.select(key, *order, F.col(value).alias("_value"), hit), ["_hit"]
+
+    def marked(part: DataFrame) -> DataFrame:
+        if not derive:
+            return part
+        window = by_slice(key, order)
+        derived = part.withColumns({name: make(window) for name, make in derive.items()})
+        return derived.select(key, *order, SLICE, CARRIED, F.col(value).alias("_value"), hit)
+
     sliced = with_slices(lean, key, order[0], rows, **options).selectExpr("*", f"false AS {CARRIED}")
-    ordinary = _pieces(sliced.filter(f"{SLICE} = 0"), key, order).select(key, *_RUN)
+    ordinary = _pieces(marked(sliced.filter(f"{SLICE} = 0")), key, order).select(key, *_RUN)
 
-    carried = carried_rows(sliced, key, order, ["_hit"], 1)
+    # the row before a slice must know its own mark, so it needs its own look-back as well
+    carried = carried_rows(sliced, key, order, carry, reach + 1)
     hot = sliced.filter(f"{SLICE} > 0").unionByName(carried, allowMissingColumns=True)
-    pieces = _pieces(hot, key, order).selectExpr(
+    pieces = _pieces(marked(hot), key, order).selectExpr(
         "*", f"_continues OR _island = max(_island) OVER (PARTITION BY {key}, {SLICE}) AS _at_edge"
     )
     inside = pieces.filter("NOT _at_edge").select(key, *_RUN)
@@ -100,12 +115,10 @@ def rising_pct(
         gap = F.unix_timestamp("hour_window") - F.unix_timestamp(F.lag("hour_window").over(w))
         return F.when(gap <= max_gap_hours * 3600, rate)
 
-    lean = trends.select("asset_id", "hour_window", column)
-    grown = trailing(
-        lean, "asset_id", ["hour_window"], ["hour_window", column], 2, {"growth_pct": growth},
-        keep_slice=True, **options,
+    found = runs(
+        trends, F.col("growth_pct") > pct, "growth_pct", order=("hour_window",),
+        derive={"growth_pct": growth}, reach=1, needs=("hour_window", column), **options,
     )
-    found = runs(grown, F.col("growth_pct") > pct, "growth_pct", order=("hour_window",))
     return found.filter(F.col("run_length") >= hours)
 
 
@@ -129,12 +142,11 @@ def thermal_spikes(
     outputs = {"_baseline": baseline}
     if rate_per_hour is not None:
         outputs["_rate"] = rate
-    with_base = trailing(
-        silver, "asset_id", list(order), ["timestamp", "temp_c"], baseline_points + 1, outputs,
-        keep_slice=True, **options,
-    )
     hot = (F.col("temp_c") - F.col("_baseline") > delta) & ~F.col("vibration_anomaly_flag")
     if rate_per_hour is not None:
         hot &= F.col("_rate") > rate_per_hour
-    found = runs(with_base, hot, "temp_c", order=order)
+    found = runs(
+        silver, hot, "temp_c", order=order, derive=outputs, reach=baseline_points,
+        needs=("timestamp", "temp_c", "vibration_anomaly_flag"), **options,
+    )
     return found.filter(F.col("run_length") <= max_len)

@@ -1,6 +1,6 @@
 """Everything needed to decide on the at-risk assets, one row per asset, in one job."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rotorwatch import schemas as S
 from rotorwatch.operators import history, search
@@ -32,11 +32,9 @@ def asset_dossier(
     manuals = hits.groupBy(F.col("query").alias("_term")).agg(
         _ids("chunk_id", "rank").alias("manual_chunks")
     )
-    newest = Window.partitionBy("asset_id").orderBy(*[F.desc(c) for c in order])
-    recent = history.recent_n(logs, k, order=order).withColumn("_place", F.row_number().over(newest))
-    orders = recent.groupBy("asset_id").agg(
-        _ids("work_order_id", "_place").alias("recent_orders"),
-        F.max(F.when(F.col("_place") == 1, F.col("fault_type"))).alias("last_fault"),
+    orders = history.with_recency(logs, order).filter(F.col("recency") <= k).groupBy("asset_id").agg(
+        _ids("work_order_id", "recency").alias("recent_orders"),
+        F.max(F.when(F.col("recency") == 1, F.col("fault_type"))).alias("last_fault"),
     )
     term_of = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
     return (

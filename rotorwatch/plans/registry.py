@@ -642,8 +642,7 @@ def sink_upsert_health(t):
 
 @query
 def sink_insert_disruption(t):
-    records = gold.health_with_cost(t.health(), t.cost())
-    return serving.new_disruptions(records, t.alerts(), t.as_of(), 72)
+    return serving.new_disruptions(t.cost(), t.alerts(), t.as_of(), 72)
 
 
 @query
