@@ -36,7 +36,9 @@ def longs(values) -> Column:
 
 
 def use_python(spark: SparkSession) -> None:
-    """Let Python workers of a local session find this package; a cluster gets it with --py-files."""
+    """Let Python workers of a local session find this package (a cluster gets it with --py-files), and
+    keep Arrow batches small, for texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")

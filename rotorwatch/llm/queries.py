@@ -1,6 +1,8 @@
 """Queries of this subpackage, by key, and their SQL where SQL can express them."""
 
-from rotorwatch.llm import sharding
+from pyspark.sql import functions as F
+
+from rotorwatch.llm import piece_codec, sharding, token_counts
 from rotorwatch.llm.common import table
 
 
@@ -8,5 +10,16 @@ def op3_sampled_splitter_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sampled_splitter_shards,)}
+def op9_streaming_viterbi_codec(spark, sf_dir):
+    coded = piece_codec.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return coded.select("doc_id", "n_ids", "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "round_trip")
+
+
+def op10_count_only_viterbi(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_sampled_splitter_shards, op9_streaming_viterbi_codec, op10_count_only_viterbi,
+)}
 ORACLE_SQL = {}
