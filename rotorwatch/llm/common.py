@@ -26,8 +26,7 @@ def landed(df: DataFrame, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words of a text, in order, as an array (null and blank texts: empty)."""
-    split = F.split(F.coalesce(text, F.lit("")), BLANKS)
-    return F.filter(split, lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
 def longs(values) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from rotorwatch.llm import unigram
 from rotorwatch.llm.common import use_python
 
-CACHED_PARTS = 400_000
+CACHED_PARTS = 800_000
 
 
 class StreamingViterbi:
@@ -33,39 +33,38 @@ class StreamingViterbi:
     def feed(self, more: str) -> Iterator[int]:
         """Positions up to the end less one piece have all their candidates; they can be settled."""
         self.text += more
-        while self.checked < len(self.text) - self.model.longest:
-            self._step()
-            if self.checked >= 4 * self.model.longest and not self.checked % self.model.longest:
+        block = 4 * self.model.longest
+        while self.checked + self.model.longest < len(self.text):
+            self._extend(min(self.checked + block, len(self.text) - self.model.longest))
+            if self.checked >= block:
                 yield from self._settle()
 
     def finish(self) -> Iterator[int]:
-        while self.checked < len(self.text):
-            self._step()
+        self._extend(len(self.text))
         yield from self._give(len(self.text))
 
-    def _step(self) -> None:
-        """Extend every piece that starts at the next position."""
-        model, text, start = self.model, self.text, self.checked
-        score = self.best[start]
-        alone = False
-        for end in range(start + 1, min(start + model.longest, len(text)) + 1):
-            piece = text[start:end]
-            known = model.pieces.get(piece)
-            if known:
-                alone |= end == start + 1
-                self._offer(end, score + known[1], start, known[0])
-            if piece not in model.prefixes:
-                break
-        if not alone:
-            self._offer(start + 1, score + model.unknown_score, start, None)
-        self.checked = start + 1
-
-    def _offer(self, end, score, start, piece) -> None:
-        while len(self.best) <= end:
-            self.best.append(float("-inf"))
-            self.back.append(None)
-        if score > self.best[end]:
-            self.best[end], self.back[end] = score, (start, piece)
+    def _extend(self, upto: int) -> None:
+        """Offer every piece that starts before ``upto`` to the position where it ends."""
+        model, text, best, back = self.model, self.text, self.best, self.back
+        pieces, prefixes, longest, total = model.pieces, model.prefixes, model.longest, len(text)
+        more = total + 1 - len(best)
+        best += [float("-inf")] * more
+        back += [None] * more
+        for start in range(self.checked, upto):
+            score, alone = best[start], False
+            for end in range(start + 1, min(start + longest, total) + 1):
+                piece = text[start:end]
+                if piece in pieces:
+                    number, gain = pieces[piece]
+                    if end == start + 1:
+                        alone = True
+                    if score + gain > best[end]:
+                        best[end], back[end] = score + gain, (start, number)
+                if piece not in prefixes:
+                    break
+            if not alone and score + model.unknown_score > best[start + 1]:
+                best[start + 1], back[start + 1] = score + model.unknown_score, (start, None)
+        self.checked = upto
 
     def _settle(self) -> Iterator[int]:
         """Give out what lies before the boundary where all open paths meet."""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rotorwatch.llm import piece_codec, sharding, token_counts
+from rotorwatch.llm import piece_codec, sharding, token_counts, weak_quality
 from rotorwatch.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op3_sampled_splitter_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_weak_supervision(spark, sf_dir):
+    return weak_quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_streaming_viterbi_codec(spark, sf_dir):
     coded = piece_codec.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
     return coded.select("doc_id", "n_ids", "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "round_trip")
@@ -20,6 +24,6 @@ def op10_count_only_viterbi(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_sampled_splitter_shards, op9_streaming_viterbi_codec, op10_count_only_viterbi,
+    op3_sampled_splitter_shards, op4_weak_supervision, op9_streaming_viterbi_codec, op10_count_only_viterbi,
 )}
 ORACLE_SQL = {}

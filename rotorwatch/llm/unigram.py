@@ -2,7 +2,7 @@
 
 The pieces and scores are taken from the file as they stand; nothing is trained. A text gets one space in
 front and spaces become U+2581. The best segmentation has the highest sum of scores; of equal sums the
-one whose last piece starts earliest wins, which is the library's own rule. A character without a piece
+one whose last piece starts earliest wins, the rule of unigram tokenizers; scores add up in double precision, so no tie comes from rounding. A character without a piece
 of its own costs the lowest score less 10 and becomes its UTF-8 bytes.
 """
 

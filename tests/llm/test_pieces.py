@@ -4,6 +4,8 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
+from tokenizers.models import Unigram
 
 from rotorwatch.llm import piece_codec, token_counts, unigram
 
@@ -15,25 +17,29 @@ TEXTS = [None, "", " ", "  ", "a", " a  b ", "The than thhasted attionen thesat
 
 @pytest.fixture(scope="module")
 def library():
-    raw = open(unigram.default_path(), "rb").read()
-    at = raw.rindex(b"tok_v0\x18\x02")  # the model kind in the trainer's part of the file: merges
-    return sentencepiece.SentencePieceProcessor(model_proto=raw[:at] + b"tok_v0\x18\x01" + raw[at + 8:])
+    """The same pieces and scores in a library's unigram model, which adds scores in double precision."""
+    file = sentencepiece.SentencePieceProcessor(model_file=unigram.default_path())
+    return Tokenizer(Unigram([(file.id_to_piece(i), file.get_score(i)) for i in range(file.get_piece_size())], 0, True))
+
+
+def wanted(library, text):
+    return library.encode(unigram.marked(text), add_special_tokens=False).ids if text else []
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_equals_library(library, text):
-    wanted = library.encode(text or "")
-    assert piece_codec.encode(MODEL, text, 7) == wanted
-    assert COUNTER.text(text) == len(wanted)
-    assert piece_codec.decode(MODEL, wanted) == (text or "")
+    ids = wanted(library, text)
+    assert piece_codec.encode(MODEL, text, 7) == ids
+    assert COUNTER.text(text) == len(ids)
+    assert piece_codec.decode(MODEL, ids) == (text or "")
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aehtinrs .,\n ñéß日😀0123_", max_size=120))
 def test_random_texts_equal_library(library, text):
-    wanted = library.encode(text)
-    assert piece_codec.encode(MODEL, text, 11) == wanted
-    assert COUNTER.text(text) == len(wanted)
+    ids = wanted(library, text)
+    assert piece_codec.encode(MODEL, text, 11) == ids
+    assert COUNTER.text(text) == len(ids)
 
 
 @settings(max_examples=100, deadline=None)
