@@ -2,10 +2,24 @@
 
 from pyspark.sql import functions as F
 
-from rotorwatch.llm import piece_codec, sharding, token_counts, weak_quality
+from rotorwatch.llm import piece_codec, sharding, token_counts, toxicity_fm, url_templates, weak_quality
 from rotorwatch.llm.common import table
 
 
+# The rule list of the query: a rule is host and path start.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_path_template_tree(spark, sf_dir):
+    """A url ends in the number of the document that the page shows; a page is bad if that document's quality is 0."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    number = F.regexp_extract(url_templates.split_url(F.col("url"))[1], "/([0-9]{1,18})(?:[/.]|$)", 1)
+    shown = pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id"))
+    quality = table(spark, sf_dir, "labels", "doc_id", "quality").filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labels = shown.join(quality, "doc_id").groupBy("page_id").agg((1 - F.min("quality")).alias("bad"))
+    return url_templates.judge_urls(pages, labels, URL_RULES)
+
+
 def op3_sampled_splitter_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -14,6 +28,10 @@ def op4_weak_supervision(spark, sf_dir):
     return weak_quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_factorization_machine(spark, sf_dir):
+    return toxicity_fm.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op9_streaming_viterbi_codec(spark, sf_dir):
     coded = piece_codec.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
     return coded.select("doc_id", "n_ids", "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "round_trip")
@@ -24,6 +42,7 @@ def op10_count_only_viterbi(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_sampled_splitter_shards, op4_weak_supervision, op9_streaming_viterbi_codec, op10_count_only_viterbi,
+    op1_path_template_tree, op3_sampled_splitter_shards, op4_weak_supervision, op7_factorization_machine,
+    op9_streaming_viterbi_codec, op10_count_only_viterbi,
 )}
 ORACLE_SQL = {}
