@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rotorwatch.llm import piece_codec, sharding, token_counts, toxicity_fm, url_templates, weak_quality
+from rotorwatch.llm import piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, weak_quality
 from rotorwatch.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_weak_supervision(spark, sf_dir):
     return weak_quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_segment_popcount_simhash(spark, sf_dir):
+    return simhash_dedup.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_factorization_machine(spark, sf_dir):
     return toxicity_fm.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
@@ -42,7 +46,7 @@ def op10_count_only_viterbi(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_path_template_tree, op3_sampled_splitter_shards, op4_weak_supervision, op7_factorization_machine,
+    op1_path_template_tree, op3_sampled_splitter_shards, op4_weak_supervision, op6_segment_popcount_simhash, op7_factorization_machine,
     op9_streaming_viterbi_codec, op10_count_only_viterbi,
 )}
 ORACLE_SQL = {}
