@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rotorwatch.llm import piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, weak_quality
+from rotorwatch.llm import pii_crf, piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, weak_quality
 from rotorwatch.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_path_template_tree(spark, sf_dir):
     return url_templates.judge_urls(pages, labels, URL_RULES)
 
 
+def op2_skip_chain_crf(spark, sf_dir):
+    return pii_crf.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_sampled_splitter_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -46,7 +50,7 @@ def op10_count_only_viterbi(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_path_template_tree, op3_sampled_splitter_shards, op4_weak_supervision, op6_segment_popcount_simhash, op7_factorization_machine,
+    op1_path_template_tree, op2_skip_chain_crf, op3_sampled_splitter_shards, op4_weak_supervision, op6_segment_popcount_simhash, op7_factorization_machine,
     op9_streaming_viterbi_codec, op10_count_only_viterbi,
 )}
 ORACLE_SQL = {}
