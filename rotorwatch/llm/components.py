@@ -45,18 +45,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked(
     members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+    verify: Callable[[DataFrame, DataFrame], DataFrame] = lambda pairs, inside: pairs,
     close: Callable[[Column, Column], Column] = lambda a, b: F.lit(True),
 ) -> DataFrame:
     """(id, root) of all ids that some verified link ties to another one.
 
     ``members`` (cell, id): ids that share a cell are candidates. ``close`` tests two ids while they are joined, ``verify``
-    keeps the true links of a table of distinct pairs (a, b).
+    keeps the true links of a table of distinct pairs (a, b); its second argument has every id that any pair may name.
     """
     hubs = members.groupBy("cell").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).filter("hub < _last").drop("_last")
     inside = landed(members.join(hubs, "cell"), "cells")
     star = inside.filter((F.col("id") != F.col("hub")) & close(F.col("hub"), F.col("id")))
-    first = landed(verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), "links")
+    first = landed(verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), inside), "links")
     roots = components(first)
     label = F.coalesce("root", "id")
     labelled = landed(inside.join(roots, "id", "left").select("cell", "id", label.alias("label")), "labelled")
@@ -67,5 +67,5 @@ def linked(
     y = mixed.select("cell", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("main"))
     apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & close(F.col("a"), F.col("b"))
     rest = x.join(y, (x["cell"] == y["cell"]) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = landed(verify(rest), "links")
+    second = landed(verify(rest, inside), "links")
     return components(first.union(second))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rotorwatch.llm import pii_crf, piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, weak_quality
+from rotorwatch.llm import line_dedup, pii_crf, piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, weak_quality
 from rotorwatch.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op7_factorization_machine(spark, sf_dir):
     return toxicity_fm.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op8_fuzzy_lines(spark, sf_dir):
+    lines = line_dedup.line_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return lines.drop("text_id", "first_text_id")
+
+
 def op9_streaming_viterbi_codec(spark, sf_dir):
     coded = piece_codec.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
     return coded.select("doc_id", "n_ids", "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "round_trip")
@@ -50,7 +55,7 @@ def op10_count_only_viterbi(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_path_template_tree, op2_skip_chain_crf, op3_sampled_splitter_shards, op4_weak_supervision, op6_segment_popcount_simhash, op7_factorization_machine,
+    op1_path_template_tree, op2_skip_chain_crf, op3_sampled_splitter_shards, op4_weak_supervision, op6_segment_popcount_simhash, op7_factorization_machine, op8_fuzzy_lines,
     op9_streaming_viterbi_codec, op10_count_only_viterbi,
 )}
 ORACLE_SQL = {}
