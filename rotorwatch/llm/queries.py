@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rotorwatch.llm import line_dedup, pii_crf, piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, weak_quality
+from rotorwatch.llm import decontaminate, line_dedup, pii_crf, piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, weak_quality
 from rotorwatch.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_weak_supervision(spark, sf_dir):
     return weak_quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_latent_retrieval(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op6_segment_popcount_simhash(spark, sf_dir):
     return simhash_dedup.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -55,7 +59,7 @@ def op10_count_only_viterbi(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_path_template_tree, op2_skip_chain_crf, op3_sampled_splitter_shards, op4_weak_supervision, op6_segment_popcount_simhash, op7_factorization_machine, op8_fuzzy_lines,
+    op1_path_template_tree, op2_skip_chain_crf, op3_sampled_splitter_shards, op4_weak_supervision, op5_latent_retrieval, op6_segment_popcount_simhash, op7_factorization_machine, op8_fuzzy_lines,
     op9_streaming_viterbi_codec, op10_count_only_viterbi,
 )}
 ORACLE_SQL = {}
