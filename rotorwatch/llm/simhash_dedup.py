@@ -77,14 +77,35 @@ def fingerprint_classes(points: DataFrame) -> DataFrame:
     return linked(cells(points), close=close)
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id of every document (columns doc_id and text are read)."""
-    use_python(docs.sparkSession)
-    marked = landed(docs.select("doc_id", F.pandas_udf(fingerprints, "long")("text").alias("id")), "fingerprints")
+def point_classes(marked: DataFrame) -> DataFrame:
+    """(id, component_id) of each distinct fingerprint of ``marked`` (doc_id, id)."""
     points = landed(marked.groupBy("id").agg(F.min("doc_id").alias("least")), "points")
     named = points.join(fingerprint_classes(points.select("id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = landed(named.join(least, "root").select("id", "component_id"), "classes")
-    return marked.join(classes, "id").select(
+    return landed(named.join(least, "root").select("id", "component_id"), "classes")
+
+
+def mark(docs: DataFrame) -> DataFrame:
+    use_python(docs.sparkSession)
+    return landed(docs.select("doc_id", F.pandas_udf(fingerprints, "long")("text").alias("id")), "fingerprints")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id of every document (columns doc_id and text are read)."""
+    marked = mark(docs)
+    return marked.join(point_classes(marked), "id").select(
         "doc_id", F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def first_of_class(docs: DataFrame) -> DataFrame:
+    """``docs``, with all columns: of each class the document of the smallest doc_id.
+
+    Rows of one doc_id are one document: it stays if any of them is the first of a class. Rows without a doc_id are the
+    last of their class, and all stay if it has no others.
+    """
+    marked = mark(docs)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    seen = marked.join(point_classes(marked), "id").groupBy("doc_id").agg(F.max(first).alias("first"))
+    gone = seen.filter(~F.col("first")).select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

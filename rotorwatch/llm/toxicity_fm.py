@@ -170,3 +170,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = scorer(docs.sparkSession, train(docs, learn))
     scored = docs.select("doc_id", held_out().alias("held_out"), score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs``, with all columns, without the documents that are predicted toxic. Learns from all of ``labels``."""
+    score = scorer(docs.sparkSession, train(docs, labels))
+    return docs.filter(score(docs["text"]) < 0.5)
