@@ -72,7 +72,8 @@ def base_spans(text: str) -> tuple[list, list]:
         (good if fits else failed).append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
-        (good if 12 <= len(digits) <= 19 and passes_luhn(digits) else failed).append((m.start(), m.end(), "card"))
+        if 12 <= len(digits) <= 19:  # other numbers say nothing about cards
+            (good if passes_luhn(digits) else failed).append((m.start(), m.end(), "card"))
     for m in PHONE.finditer(text):
         fits = 9 <= sum(c.isdigit() for c in m[0]) <= 15
         (good if fits else failed).append((m.start(), m.end(), "phone"))
@@ -133,10 +134,11 @@ class Nodes:
 
 
 class Field:
-    def __init__(self, weights=None, transition=None, agreement=2.0):
+    """Token weights, and how much an equal label is worth to neighbours and to members of a group."""
+
+    def __init__(self, weights=None, transition=1.0, agreement=2.0):
         self.weights = np.zeros((BUCKETS, len(LABELS))) if weights is None else weights
-        self.transition = np.zeros((len(LABELS),) * 2) if transition is None else transition
-        self.agreement = agreement
+        self.transition, self.agreement = transition, agreement
 
     def marginals(self, nodes: Nodes) -> np.ndarray:
         """Label probabilities of every node by loopy sum-product in log space, all messages of a pass at once."""
@@ -147,15 +149,16 @@ class Field:
         own[settled, nodes.settled[settled]] = 0.0
         right, left = nodes.beside, nodes.beside - 1
         grouped = np.flatnonzero(nodes.groups >= 0)
-        hub = nodes.groups[grouped]
+        hub, fixed = nodes.groups[grouped], settled[grouped]
         ahead, back, to_hub, from_hub = np.zeros((n, size)), np.zeros((n, size)), np.zeros((len(hub), size)), np.zeros((n, size))
-        agree = self.agreement * np.eye(size)
+        agree, follow = self.agreement * np.eye(size), self.transition * np.eye(size)
         for _ in range(PASSES):
             belief = own + ahead + back + from_hub
             new_ahead, new_back = np.zeros_like(ahead), np.zeros_like(back)
-            new_ahead[right] = through(belief[left] - back[left], self.transition)
-            new_back[left] = through(belief[right] - ahead[right], self.transition.T)
+            new_ahead[right] = through(belief[left] - back[left], follow)
+            new_back[left] = through(belief[right] - ahead[right], follow)
             to_hub = through(belief[grouped] - from_hub[grouped], agree)
+            to_hub[fixed] = own[grouped[fixed]]  # what a base pattern has settled is certain for its group too
             total = np.zeros((hub.max() + 1 if len(hub) else 0, size))
             np.add.at(total, hub, to_hub)
             ahead, back = new_ahead, new_back
@@ -174,13 +177,14 @@ def fit(texts) -> Field:
     """Piecewise training with the base labels of the texts."""
     rows, labels = [], []
     size = len(LABELS)
-    pairs, same, other = np.ones((size, size)), 1.0, 1.0
+    same, other, kept, changed = 1.0, 1.0, 1.0, 1.0
     for text in texts:
         nodes = Nodes(text, *base_spans(text))
         gold = np.maximum(nodes.settled, 0)
         rows += nodes.features
         labels += gold.tolist()
-        np.add.at(pairs, (gold[nodes.beside - 1], gold[nodes.beside]), 1)
+        equal = int((gold[nodes.beside - 1] == gold[nodes.beside]).sum())
+        kept, changed = kept + equal, changed + len(nodes.beside) - equal
         for g in np.unique(nodes.groups[nodes.groups >= 0]):
             held = gold[(nodes.groups == g) & (nodes.settled >= 0)]
             if len(held) > 1:
@@ -199,9 +203,8 @@ def fit(texts) -> Field:
             grad[:, k] = np.bincount(x.ravel(), np.repeat(p[:, k], x.shape[1]), BUCKETS)
         touched = np.maximum(np.bincount(x.ravel(), minlength=BUCKETS), 1)[:, None]
         weights -= RATE * (grad / touched + DECAY * weights)
-    joint = pairs / pairs.sum()
-    transition = np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
-    return Field(weights, transition, float(np.clip(np.log(same / other) + np.log(size - 1), 1.0, 8.0)))
+    worth = lambda yes, no, most: float(np.clip(np.log(yes / no), 0.5, most))
+    return Field(weights, worth(kept, changed, 3.0), worth(same * (size - 1), other, 8.0))
 
 
 def added_spans(field: Field, text: str, good, failed) -> list:
@@ -251,7 +254,7 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field:
     def one(frames):
         field = fit([t for f in frames for t in f["text"]])
         used = np.flatnonzero(np.abs(field.weights).sum(1))
-        yield pd.DataFrame({"bucket": [-1, -2, *used.tolist()], "values": [field.transition.ravel().tolist(), [field.agreement], *field.weights[used].tolist()]})
+        yield pd.DataFrame({"bucket": [-1, -2, *used.tolist()], "values": [[field.transition], [field.agreement], *field.weights[used].tolist()]})
 
     got = {r["bucket"]: r["values"] for r in drawn.select("text").repartition(1).mapInPandas(one, "bucket long, values array<double>").collect()}
     if not got:
@@ -260,7 +263,7 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field:
     for bucket, values in got.items():
         if bucket >= 0:
             weights[bucket] = values
-    return Field(weights, np.array(got[-1]).reshape(len(LABELS), -1), got[-2][0])
+    return Field(weights, got[-1][0], got[-2][0])
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ class Machine:
     def __init__(self, bias=0.0, terms=(), weights=(), vectors=()):
         self.bias, self.terms = float(bias), np.asarray(terms, np.int64)
         self.weights = np.asarray(weights, np.float32)
-        self.vectors = np.asarray(vectors, np.float32).reshape(len(self.terms), -1)
+        self.vectors = np.asarray(vectors, np.float32).reshape(len(self.terms), RANK)
         self.place, self.cache = {int(t): i for i, t in enumerate(self.terms)}, {}
 
     def known(self, word: str) -> tuple:
@@ -108,7 +108,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray]) -> Machine:
 
 def fit_frames(frames):
     """One task: the bounded sample comes in, the machine goes out as rows (term, weight, vector); term -1 holds the bias."""
-    got = [f for f in frames if len(f)]
+    got = [f for f in frames if len(f)]  # none: a machine that scores nothing as toxic
     labels = np.concatenate([f["toxic"].to_numpy() for f in got]) if got else np.empty(0)
     machine = fit(labels, [np.asarray(t, np.int64) for f in got for t in f["terms"]])
     yield pd.DataFrame({

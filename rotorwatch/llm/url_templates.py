@@ -84,7 +84,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).join(labels.select("page_id", "bad"), "page_id", "left")
     placed = templates(rows)
     totals = placed.agg(F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
-    prior = (totals["b"] + 1) / (totals["l"] + 2)
+    prior = (totals["b"] + 1) / (totals["l"] + 4)  # without labels: no reason to reject
     share = (F.coalesce(F.sum("bad"), F.lit(0)) + PRIOR_PAGES * prior) / (F.count("bad") + PRIOR_PAGES)
     judged = placed.groupBy("host", "template").agg(share.alias("bad_share"))
     found = rule_for(F.col("host"), F.col("path"), rules) if rules else F.lit(None).cast("struct<rule:string,verdict:string>")
