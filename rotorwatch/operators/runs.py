@@ -58,7 +58,7 @@ def runs(
         derived = part.withColumns({name: make(window) for name, make in derive.items()})
         return derived.select(key, *order, SLICE, CARRIED, F.col(value).alias("_value"), hit)
 
-    sliced = with_slices(lean, key, order[0], rows, **options).selectExpr("*", f"false AS {CARRIED}")
+    sliced = with_slices(lean, key, order, rows, **options).selectExpr("*", f"false AS {CARRIED}")
     ordinary = _pieces(marked(sliced.filter(f"{SLICE} = 0")), key, order).select(key, *_RUN)
 
     # the row before a slice must know its own mark, so it needs its own look-back as well

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rotorwatch import schemas as S
-from rotorwatch.operators.history_slices import SLICE
 from rotorwatch.operators.smoothing import rolling_mean
 
 _GROUP = ["hour_window", "asset_id", "production_line_id", "criticality_tier"]
@@ -14,8 +13,8 @@ def hourly_trends(
 ) -> DataFrame:
     """Per asset and hour: smoothed means, extremes, spread, anomaly and reading counts.
 
-    Slices of a hot asset end on full hours, and the slice stays in the grouping keys, so the
-    roll-up runs on the partitioning the smoothing made: one shuffle of the readings in all.
+    The readings are shuffled once, by asset and slice. Each task then sums up its hours, and only
+    those sums are shuffled again, so an hour may be cut between slices too.
     """
     return _roll_up(_smooth(silver, points, tie_break, **options))
 
@@ -51,14 +50,14 @@ def hourly_trends_since(
 def _smooth(silver: DataFrame, points: int, tie_break: tuple[str, ...], **options) -> DataFrame:
     return rolling_mean(
         silver, {"vibration_mm_s": "_vib", "temp_c": "_temp"}, points,
-        order=["timestamp", *tie_break], keep_slice=True, grain=3600, **options,
+        order=["timestamp", *tie_break], **options,
     )
 
 
 def _roll_up(smoothed: DataFrame) -> DataFrame:
     return (
         smoothed.withColumn("hour_window", F.date_trunc("hour", "timestamp"))
-        .groupBy(*_GROUP, SLICE)
+        .groupBy(*_GROUP)
         .agg(
             F.round(F.avg("_vib"), 4).alias("vibration_avg"),
             F.max("vibration_mm_s").alias("vibration_max"),
@@ -68,7 +67,6 @@ def _roll_up(smoothed: DataFrame) -> DataFrame:
             F.count_if("vibration_anomaly_flag").alias("anomaly_count"),
             F.count(F.lit(1)).alias("reading_count"),
         )
-        .drop(SLICE)
     )
 
 
