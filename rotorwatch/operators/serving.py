@@ -49,7 +49,7 @@ def without_recent_alert(
     alarms: DataFrame, existing: DataFrame, now: Column, gap_hours: float = 1
 ) -> DataFrame:
     """Alarms of assets that have no ACTIVE alert younger than the gap."""
-    since = now - F.make_dt_interval(hours=F.lit(int(gap_hours)))
+    since = now - F.make_dt_interval(secs=F.lit(gap_hours * 3600.0))
     recent = existing.filter(
         (F.col("status") == S.ALERT_ACTIVE) & (F.col("detection_timestamp") > since)
     )

@@ -82,7 +82,7 @@ def _now(trends: DataFrame, as_of) -> Column:
 
 
 def _since(now: Column, hours: float) -> Column:
-    return now - F.make_dt_interval(hours=F.lit(int(hours)))
+    return now - F.make_dt_interval(secs=F.lit(hours * 3600.0))
 
 
 def _seconds() -> Column:

@@ -122,13 +122,13 @@ def run_sync_stream(
 ) -> StreamingQuery:
     """After each run of the gold tables: update live health and raise alerts.
 
-    The batch number is the version of the serving tables, so a repeated batch has no second
+    The serving tables keep the number of the last batch, so a repeated batch has no second
     effect. ``now`` defaults to the clock.
     """
     tables = ServingTables(records.sparkSession, root)
 
     def sync(batch: DataFrame, batch_id: int) -> None:
         clock = F.current_timestamp() if now is None else now
-        tables.sync(batch, clock, batch_id + 1, **options)
+        tables.sync(batch, clock, batch_id, **options)
 
     return _started(records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sync), every)

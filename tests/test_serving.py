@@ -79,6 +79,60 @@ def test_sync_is_idempotent_and_counts_ids_on(spark, folder):
     assert rows(tables.live.read()) == live and len(live) == 3
 
 
+def test_nothing_is_lost_between_batches(spark, folder):
+    """Status changes, additions and resets between batches all stay, whoever writes last."""
+    tables = ServingTables(spark, folder)
+    tables.sync(_records(spark, ("A", 10.0, "CRITICAL")), _now(), 0)
+    changes = spark.createDataFrame([(1, "RESOLVED", "kim")], "disruption_id int, new_status string, changed_by string")
+    tables.set_alert_status(changes, _now(1))
+    tables.sync(_records(spark, ("B", 20.0, "CRITICAL"), at=NOW + timedelta(hours=2)), _now(2), 1)
+    assert rows(tables.alerts.read().select("disruption_id", "status")) == [(1, "RESOLVED"), (2, "ACTIVE")]
+    tables.reset()
+    tables.reset()
+    tables.sync(_records(spark, ("B", 20.0, "CRITICAL"), at=NOW + timedelta(hours=2)), _now(2), 1)  # applied before
+    assert tables.alerts.read().isEmpty()
+    tables.sync(_records(spark, ("C", 20.0, "CRITICAL"), at=NOW + timedelta(hours=9)), _now(9), 2)
+    assert rows(tables.alerts.read().select("asset_id")) == [("C",)]
+    assert sorted(r.asset_id for r in tables.live.read().collect()) == ["A", "B", "C"]
+
+
+def test_two_writers(spark, folder):
+    """A writer that was overtaken starts again from the newest version."""
+    slow, fast, turns = ServingTables(spark, folder), ServingTables(spark, folder), []
+    slow.sync(_records(spark, ("A", 10.0, "CRITICAL")), _now(), 0)
+
+    def change(state):
+        if not turns:
+            turns.append(fast.sync(_records(spark, ("B", 10.0, "CRITICAL")), _now(), 1))
+        return {"alerts": (slow.frame("alerts", state).withColumn("status", F.lit("ACKNOWLEDGED")), True)}
+
+    slow.commit(change)
+    assert slow.versions() == [1, 2, 3]
+    assert rows(fast.alerts.read().select("asset_id", "status")) == [("A", "ACKNOWLEDGED"), ("B", "ACKNOWLEDGED")]
+
+
+def test_old_versions_go(spark, folder, monkeypatch):
+    monkeypatch.setattr(ServingTables, "KEPT", 2)
+    monkeypatch.setattr(ServingTables, "MOST_PARTS", 2)
+    tables = ServingTables(spark, folder)
+    for i in range(5):
+        tables.sync(_records(spark, (f"A{i}", 10.0, "CRITICAL")), _now(), i)
+    assert len(tables.versions()) == 2 and tables.alerts.read().count() == tables.live.read().count() == 5
+    assert all(len(tables.state()["parts"][name]) <= 2 for name in ("alerts", "live"))
+
+
+def test_short_gap(spark, folder):
+    """An alert a quarter of an hour old holds back another for half an hour."""
+    tables = ServingTables(spark, folder)
+    tables.sync(_records(spark, ("A", 10.0, "CRITICAL")), _now(), 0, 0.5)
+    quarter = NOW + timedelta(minutes=15)
+    tables.sync(_records(spark, ("A", 10.0, "CRITICAL"), at=quarter), F.lit(quarter), 1, 0.5)
+    assert tables.alerts.read().count() == 1
+    later = NOW + timedelta(minutes=31)
+    tables.sync(_records(spark, ("A", 10.0, "CRITICAL"), at=later), F.lit(later), 2, 0.5)
+    assert tables.alerts.read().count() == 2
+
+
 def test_alert_only_on_transition(spark, folder):
     tables = ServingTables(spark, folder)
     kw = {"only_transitions": True, "gap_hours": 0}
