@@ -77,7 +77,7 @@ FROM scored"""
 BASE["repairs"] = """
 SELECT asset_id, avg(cost_to_fix) AS avg_cost_to_fix, avg(downtime_hours) AS avg_downtime_hours,
   avg(labor_hours) AS avg_labor_hours,
-  CAST(sum(CASE WHEN first_time_fix THEN 1 ELSE 0 END) AS DOUBLE) * 100 / count(*) AS first_time_fix_rate
+  CAST(sum(CASE first_time_fix WHEN true THEN 1 WHEN false THEN 0 END) AS DOUBLE) * 100 / count(*) AS first_time_fix_rate
 FROM logs GROUP BY asset_id"""
 BASE["cost"] = """
 SELECT h.asset_id, h.calculated_at, h.production_line_id, h.health_score, h.risk_level, h.estimated_rul_hours,
@@ -306,11 +306,12 @@ SELECT asset_id, risk_level FROM health h WHERE {_AT_RISK} AND NOT EXISTS (
 SELECT r.rec_id, r.asset_id, r.recommendation_text, h.health_score AS health_score_at_time
 FROM recs r JOIN health h ON r.asset_id = h.asset_id"""),
     "band_lookup": _sql("readings", """
-SELECT event_id, v.name AS alarm_level, t.name AS temp_alarm FROM readings
-LEFT JOIN (VALUES ('Normal', 0e0, 25e-1), ('Watch', 25e-1, 4e0), ('Warning', 4e0, 65e-1), ('Alarm', 65e-1, 85e-1),
-  ('Critical', 85e-1, 1e300)) v(name, lo, hi) ON v.lo <= vibration_mm_s AND vibration_mm_s < v.hi
-LEFT JOIN (VALUES ('Normal', 0e0, 65e0), ('Warning', 65e0, 80e0), ('Alarm', 85e0, 1e300)) t(name, lo, hi)
-  ON t.lo <= temp_c AND temp_c < t.hi"""),
+SELECT event_id,
+  CASE WHEN vibration_mm_s > 85e-1 THEN 'Critical' WHEN vibration_mm_s > 65e-1 THEN 'Alarm'
+    WHEN vibration_mm_s > 4e0 THEN 'Warning' WHEN vibration_mm_s >= 25e-1 THEN 'Watch'
+    WHEN vibration_mm_s < 25e-1 THEN 'Normal' END AS alarm_level,
+  CASE WHEN temp_c < 65e0 THEN 'Normal' WHEN temp_c <= 80e0 THEN 'Warning' WHEN temp_c > 85e0 THEN 'Alarm' END AS temp_alarm
+FROM readings"""),
     "signal_to_asset": _sql("assets", """
 SELECT s.signal_id, s.severity, s.production_line_id, m.asset_id AS mapped_asset_id
 FROM (SELECT event_id AS signal_id, value AS severity, concat('Line_', CAST(user_id % 25 AS VARCHAR)) AS production_line_id
@@ -334,7 +335,7 @@ SELECT asset_id, round(avg_cost_to_fix, 6) AS avg_cost_to_fix, round(avg_downtim
 SELECT asset_id, round(avg(gap), 1) AS mtbf_days FROM gaps WHERE gap IS NOT NULL GROUP BY asset_id"""),
     "mtbf_by_asset": _sql("mtbf_rows", "SELECT * FROM mtbf_rows"),
     "ftf_by_asset": _sql("repairs", """
-SELECT asset_id, round(first_time_fix_rate, 1) AS first_time_fix_rate_pct FROM repairs"""),
+SELECT asset_id, round(coalesce(first_time_fix_rate, 0), 1) AS first_time_fix_rate_pct FROM repairs"""),
     "ftf_by_technician": _sql("logs", """
 SELECT technician_id, count(*) AS total_jobs,
   round(CAST(sum(CASE WHEN first_time_fix THEN 1 ELSE 0 END) AS DOUBLE) * 100 / count(*), 1) AS first_time_fix_rate_pct,
@@ -421,8 +422,8 @@ FROM (SELECT event_id, vibration_mm_s AS v, avg(vibration_mm_s) OVER w AS m, std
     ) + ") WHERE run_length >= 3"),
     "thermal_spike": _sql("silver", "SELECT * FROM (" + _runs(
         f"""(SELECT *, median(temp_c) OVER ({ORDERED} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS base FROM silver)""",
-        "temp_c - base > 15 AND NOT vibration_anomaly_flag", "temp_c", "timestamp", "timestamp, event_id",
-    ) + ") WHERE run_length <= 3"),
+        "temp_c - base > 15 AND temp_c - base <= 25 AND NOT vibration_anomaly_flag", "temp_c", "timestamp", "timestamp, event_id",
+    ) + ") WHERE run_length BETWEEN 2 AND 3"),
     # sorts and limits
     "health_board": _sql("health", """
 SELECT asset_id, production_line_id, criticality_tier, round(health_score, 1) AS health_score, risk_level,
@@ -614,8 +615,18 @@ SELECT timestamp, asset_id, vibration_mm_s, temp_c, data_source FROM readings"""
 SELECT date_trunc('hour', timestamp) AS hour_window, asset_id, count(*) AS reading_count,
   max(vibration_mm_s) AS vibration_max,
   CAST(sum(CASE WHEN vibration_anomaly_flag THEN 1 ELSE 0 END) AS BIGINT) AS anomaly_count FROM silver
-WHERE date_trunc('hour', timestamp) + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM silver)
 GROUP BY ALL"""),
+    "sync_acknowledge_sync": _sql("health", f"""
+SELECT asset_id, s.status, s.detection_timestamp FROM health, (VALUES
+  ('ACKNOWLEDGED', TIMESTAMP '2024-02-01 00:00:00'), ('ACTIVE', TIMESTAMP '2024-02-02 00:00:00')) s(status, detection_timestamp)
+WHERE {_AT_RISK}"""),
+    "sync_reset_sync": _sql("health", f"""
+SELECT asset_id, 'ACTIVE' AS status, TIMESTAMP '2024-02-02 00:00:00' AS detection_timestamp FROM health WHERE {_AT_RISK}"""),
+    "hourly_trends_sliced": _SQL["hourly_trends"],
+    "rolling_vibration_sliced": _SQL["rolling_vibration"],
+    "consecutive_over_sliced": _SQL["consecutive_over"],
+    "thermal_spike_sliced": _SQL["thermal_spike"],
+    "days_since_prev_sliced": _SQL["days_since_prev"],
     "stream_rolling5": _SQL["rolling_vibration"],
     "stream_sync": _sql("health", f"""
 SELECT asset_id, health_score, risk_level, estimated_rul_hours, TIMESTAMP '2024-02-01 00:00:00' AS last_updated,

@@ -96,14 +96,15 @@ def anomalous_assets(silver: DataFrame) -> DataFrame:
 
 
 def band_lookup(df: DataFrame, column: str, bands, label: str = "alarm_level") -> DataFrame:
-    """Label a value from (name, from, to) bands, from inclusive and to exclusive.
+    """Label a value from (name, from, to) bands in rising order; None is an open end.
 
-    The bands are a short fixed list, so this is one expression on each row, not a join.
-    A value outside all bands gets NULL.
+    A band with two ends holds both; of two bands that share an edge the first has it. A band without
+    an end holds only what lies beyond its limit. The bands are a short fixed list, so this is one
+    expression on each row, not a join. A value outside all bands gets NULL.
     """
     value, result = F.col(column), None
     for name, low, high in bands:
-        inside = value >= low if high is None else (value >= low) & (value < high)
+        inside = value < high if low is None else value > low if high is None else value.between(low, high)
         result = F.when(inside, name) if result is None else result.when(inside, name)
     return df.withColumn(label, result)
 

@@ -61,7 +61,8 @@ def repair_averages(logs: DataFrame) -> DataFrame:
         F.avg("cost_to_fix").alias("avg_cost_to_fix"),
         F.avg("downtime_hours").alias("avg_downtime_hours"),
         F.avg("labor_hours").alias("avg_labor_hours"),
-        _fix_rate().alias("first_time_fix_rate"),
+        # unlike the reports: without any known flag there is no rate
+        F.when(F.count("first_time_fix") > 0, _fix_rate()).alias("first_time_fix_rate"),
     )
 
 

@@ -124,10 +124,13 @@ def rising_pct(
 
 def thermal_spikes(
     silver: DataFrame, delta: float = 15.0, max_len: int = 3, baseline_points: int = 12,
-    order: tuple[str, ...] = ("timestamp",), rate_per_hour: float | None = None, **options,
+    order: tuple[str, ...] = ("timestamp",), rate_per_hour: float | None = None,
+    max_delta: float | None = 25.0, min_len: int = 2, **options,
 ) -> DataFrame:
     """Short runs of heat over the trailing median while the vibration stays normal.
 
+    A reading counts if it is more than ``delta`` and at most ``max_delta`` above the baseline; a run has
+    ``min_len`` to ``max_len`` readings.
     ``rate_per_hour`` also asks that the rise since the reading before was faster than that.
     The baseline is the median of the ``baseline_points`` readings before the one at hand.
     """
@@ -142,11 +145,14 @@ def thermal_spikes(
     outputs = {"_baseline": baseline}
     if rate_per_hour is not None:
         outputs["_rate"] = rate
-    hot = (F.col("temp_c") - F.col("_baseline") > delta) & ~F.col("vibration_anomaly_flag")
+    rise = F.col("temp_c") - F.col("_baseline")
+    hot = (rise > delta) & ~F.col("vibration_anomaly_flag")
+    if max_delta is not None:
+        hot &= rise <= max_delta
     if rate_per_hour is not None:
         hot &= F.col("_rate") > rate_per_hour
     found = runs(
         silver, hot, "temp_c", order=order, derive=outputs, reach=baseline_points,
         needs=("timestamp", "temp_c", "vibration_anomaly_flag"), **options,
     )
-    return found.filter(F.col("run_length") <= max_len)
+    return found.filter(F.col("run_length").between(min_len, max_len))

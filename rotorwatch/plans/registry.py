@@ -420,6 +420,40 @@ def thermal_spike(t):
     return runs.thermal_spikes(t.silver(), order=tuple(READING_ORDER), rows=t.readings())
 
 
+# -- the same with every asset cut into slices, as very busy ones are ------------------
+
+_SLICED = {"min_hot_rows": 50}
+
+
+@query
+def hourly_trends_sliced(t):
+    return trends.hourly_trends(t.silver(), tie_break=("event_id",), rows=t.readings(), **_SLICED)
+
+
+@query
+def rolling_vibration_sliced(t):
+    smooth = smoothing.rolling_mean(t.readings(), {"vibration_mm_s": "vibration_smoothed"}, **_SMOOTH, **_SLICED)
+    return _rounded(smooth, 6, "vibration_smoothed").select("event_id", "vibration_smoothed")
+
+
+@query
+def consecutive_over_sliced(t):
+    over = F.col("rated_max_temp") * 0.8
+    return runs.consecutive_over(t.silver(), "temp_c", over, 2, order=tuple(READING_ORDER), rows=t.readings(), **_SLICED)
+
+
+@query
+def thermal_spike_sliced(t):
+    return runs.thermal_spikes(t.silver(), order=tuple(READING_ORDER), rows=t.readings(), **_SLICED)
+
+
+@query
+def days_since_prev_sliced(t):
+    return history.with_days_since_prev(t.logs(), LOG_ORDER, rows=t.logs_raw(), min_hot_rows=10).select(
+        "work_order_id", "asset_id", "days_since_prev_failure"
+    )
+
+
 # -- sorts and limits ----------------------------------------------------------------
 
 
@@ -787,7 +821,8 @@ def stream_hourly(t):
     folder = scratch_dir(t.spark, "hourly")
     silver = enrich.silver_sensor_readings(_event_stream(t), t.assets())
     run = jobs.write_stream(jobs.hourly_stream(silver, "1 hour"), f"{folder}/out", f"{folder}/checkpoint")
-    return _drained(t, run, f"{folder}/out")
+    written = _drained(t, run, f"{folder}/out")
+    return written.unionByName(jobs.open_hours(t.silver(), written))
 
 
 @query
@@ -818,6 +853,38 @@ def stream_sync(t):
     )
 
 
+def _twice_synced(t, between) -> ServingTables:
+    """Sync, a change by ``between``, and the same records again a day later, as batches 0 and 1."""
+    tables = ServingTables(t.spark, scratch_dir(t.spark, "serving"))
+    records = gold.health_with_cost(t.health(), t.cost())
+    tables.sync(records, F.lit("2024-02-01 00:00:00").cast("timestamp"), 0)
+    between(tables)
+    tables.sync(records, F.lit("2024-02-02 00:00:00").cast("timestamp"), 1)
+    tables.sync(records, F.lit("2024-02-03 00:00:00").cast("timestamp"), 1)  # a batch that is run again
+    return tables
+
+
+@query
+def sync_acknowledge_sync(t):
+    """Alerts after a sync, an acknowledgement of all of them, and another sync."""
+    def acknowledge(tables):
+        changes = tables.alerts.read().select(
+            "disruption_id", F.lit("ACKNOWLEDGED").alias("new_status"), F.lit("kim").alias("changed_by"))
+        tables.set_alert_status(changes, F.lit("2024-02-01 12:00:00").cast("timestamp"))
+
+    return _twice_synced(t, acknowledge).alerts.read().select("asset_id", "status", "detection_timestamp")
+
+
+@query
+def sync_reset_sync(t):
+    """Alerts after a sync, two resets and another sync."""
+    def reset(tables):
+        tables.reset()
+        tables.reset()
+
+    return _twice_synced(t, reset).alerts.read().select("asset_id", "status", "detection_timestamp")
+
+
 @query
 def reset_serving(t):
     """Rows of the three serving tables after alerts and recommendations were written and cleared."""

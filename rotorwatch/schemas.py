@@ -97,13 +97,15 @@ CHUNK_SCORE = 1.0
 ISO_ZONES = ((2.3, "A"), (4.5, "B"))
 ISO_ZONE_C_LIMIT = 7.1
 
-# alarm levels of one motor: (level, from, to); open end = None
+# alarm levels of one motor: (level, from, to), no end = None. A value on an edge belongs to the level that
+# names it as its range first: 2.5 Watch, 4.0 Watch, 8.5 Alarm, 65 and 80 Warning; Normal is below
+# its limit, the last level above its own. Between 80 and 85 degrees there is no level.
 VIBRATION_ALARMS = (
-    ("Normal", 0.0, 2.5), ("Watch", 2.5, 4.0), ("Warning", 4.0, 6.5),
+    ("Normal", None, 2.5), ("Watch", 2.5, 4.0), ("Warning", 4.0, 6.5),
     ("Alarm", 6.5, 8.5), ("Critical", 8.5, None),
 )
 TEMPERATURE_ALARMS = (
-    ("Normal", 0.0, 65.0), ("Warning", 65.0, 80.0), ("Alarm", 85.0, None),
+    ("Normal", None, 65.0), ("Warning", 65.0, 80.0), ("Alarm", 85.0, None),
 )
 
 # preventive maintenance: asset type, task, text to find in part_replaced, tier (None = all), months

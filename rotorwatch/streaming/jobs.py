@@ -1,7 +1,9 @@
 """Structured Streaming jobs: bronze to silver, hourly counts, smoothing, serving sync."""
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from rotorwatch import schemas as S
 from rotorwatch.operators import enrich, quality
@@ -56,9 +58,12 @@ def hourly_stream(stream: DataFrame, delay: str, ts: str = "timestamp") -> DataF
 
     Rows are summed up per task before the shuffle, so a busy asset is no burden.
     """
+    return hourly_counts(stream.withWatermark(ts, delay), ts)
+
+
+def hourly_counts(rows: DataFrame, ts: str = "timestamp") -> DataFrame:
     return (
-        stream.withWatermark(ts, delay)
-        .groupBy(F.window(ts, "1 hour").alias("_hour"), "asset_id")
+        rows.groupBy(F.window(ts, "1 hour").alias("_hour"), "asset_id")
         .agg(
             F.count(F.lit(1)).alias("reading_count"),
             F.max("vibration_mm_s").alias("vibration_max"),
@@ -69,13 +74,30 @@ def hourly_stream(stream: DataFrame, delay: str, ts: str = "timestamp") -> DataF
     )
 
 
-def late_rows_dropped(query: StreamingQuery) -> int:
-    """Rows that came after the watermark, over the recent progress of a query."""
-    return sum(
-        state["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for state in progress["stateOperators"]
-    )
+def open_hours(rows: DataFrame, written: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Counts of the hours that a stopped `hourly_stream` over ``rows`` has not written yet.
+
+    A stream gives out an hour once the watermark has passed it, so its last hours stay in its state when it
+    stops. All hours up to the newest one written are closed; the later ones are counted here.
+    """
+    newest = F.coalesce(written.agg(F.max("hour_window")).scalar(), F.lit(0).cast("timestamp"))
+    return hourly_counts(rows.filter(F.date_trunc("hour", ts) > newest), ts)
+
+
+class LateRows(StreamingQueryListener):
+    """Rows that came after the watermark, by query id, over all batches since it was added to ``spark.streams``."""
+
+    def __init__(self):
+        self.dropped: Counter = Counter()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.dropped[str(event.progress.id)] += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event):
+        pass
 
 
 def run_rolling_stream(

@@ -316,3 +316,26 @@ def test_reports_are_named(spark):
     logs = _logs(spark, [_order(1, datetime(2024, 1, 1)), _order(2, datetime(2024, 1, 15))])
     assert reports.run_report("mtbf", {"logs": logs}).first().mtbf_days == 14.0
     assert len(reports.REPORTS) == 8
+
+
+@pytest.mark.parametrize("value, vibration, heat", [
+    (-1.0, "Normal", "Normal"), (2.5, "Watch", "Normal"), (4.0, "Watch", "Normal"), (6.5, "Warning", "Normal"), (8.5, "Alarm", "Normal"),
+    (8.6, "Critical", "Normal"), (65.0, "Critical", "Warning"), (80.0, "Critical", "Warning"), (85.0, "Critical", None), (85.1, "Critical", "Alarm"),
+])
+def test_alarm_bands(spark, value, vibration, heat):
+    df = enrich.band_lookup(spark.createDataFrame([(value,)], "x double"), "x", S.VIBRATION_ALARMS)
+    got = enrich.band_lookup(df, "x", S.TEMPERATURE_ALARMS, "heat").first()
+    assert (got.alarm_level, got.heat) == (vibration, heat)
+
+
+def test_no_fix_rate_without_flags(spark):
+    logs = spark.createDataFrame([("A", None), ("B", True), ("B", None)], "asset_id string, first_time_fix boolean").selectExpr(
+        "*", "1.0D AS cost_to_fix", "1.0D AS downtime_hours", "1.0D AS labor_hours")
+    assert rows(history.repair_averages(logs).select("asset_id", "first_time_fix_rate")) == [("A", None), ("B", 50.0)]
+
+
+@pytest.mark.parametrize("heat, found", [([20.0, 21.0], 1), ([50.0, 50.0], 0), ([20.0], 0), ([20.0] * 4, 0), ([10.0, 10.0], 0)])
+def test_thermal_spikes_have_limits(spark, heat, found):
+    temps = [50.0] * 14 + [50.0 + h for h in heat] + [50.0] * 3
+    df = spark.createDataFrame([(i, "A", t, False) for i, t in enumerate(temps)], "s long, asset_id string, temp_c double, vibration_anomaly_flag boolean")
+    assert runs.thermal_spikes(df.withColumn("timestamp", F.timestamp_seconds("s"))).count() == found
