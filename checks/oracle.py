@@ -112,8 +112,8 @@ BASE["recs"] = """
 SELECT o_orderkey AS rec_id, asset_id, concat('Replace ', part_replaced, ' after ', fault_type) AS recommendation_text,
   cost_to_fix, downtime_hours * 1000 AS cost_of_downtime, labor_hours AS urgency_hours,
   'SCHEDULE_PLANNED' AS net_recommendation,
-  [concat('doc', CAST(o_orderkey % 200 AS VARCHAR), '_0'), concat('doc', CAST(o_orderkey % 50 AS VARCHAR), '_1')]
-    AS vector_search_sources,
+  [concat('doc', CAST(o_orderkey % (SELECT count(*) FROM documents) AS VARCHAR), '_0'),
+   concat('doc', CAST((o_orderkey * 7 + 1) % (SELECT count(*) FROM documents) AS VARCHAR), '_1')] AS vector_search_sources,
   timestamp AS created_at
 FROM logs WHERE part_replaced IS NOT NULL"""
 BASE["gaps"] = """
@@ -531,6 +531,17 @@ SELECT asset_id, asset_type, mtbf_days, target_days FROM mtbf_rows JOIN (VALUES
   ('AUTOMOBILE', 200e0), ('BUILDING', 300e0)) t(kind, target_days) ON asset_type = kind WHERE mtbf_days < target_days"""),
     # search and text
     "chunk_markdown": _sql("chunks", "SELECT * FROM chunks"),
+    "chunk_headings": """
+WITH marked AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x:
+    CASE WHEN length(x) BETWEEN 1 AND 60 THEN concat('## ', x) ELSE x END) AS rows FROM documents),
+cut AS (SELECT doc_id, string_split(array_to_string(list_transform(rows, lambda x, i:
+    CASE WHEN i > 1 AND x LIKE '## %' THEN concat(chr(1), x) WHEN i > 1 THEN concat(chr(10), x) ELSE x END), ''), chr(1)) AS parts FROM marked)
+SELECT concat('doc', CAST(doc_id AS VARCHAR), '_', CAST(i - 1 AS VARCHAR)) AS chunk_id,
+  concat('doc', CAST(doc_id AS VARCHAR)) AS manual_name,
+  CASE WHEN regexp_matches(content, '^#{1,2}\\s+.*\\S') THEN regexp_extract(content, '^#{1,2}\\s+(.*\\S)', 1)
+    ELSE concat('section_', CAST(i - 1 AS VARCHAR)) END AS section,
+  content, 1e0 AS score
+FROM (SELECT doc_id, unnest(parts) AS content, generate_subscripts(parts, 1) AS i FROM cut)""",
     "search_manuals": _sql("chunks", "SELECT * REPLACE (CAST(rank AS INT) AS rank) FROM (" + _search_rows(
         "chunks", _CHUNK_MATCH, ["license", "the ", "contact", "100%"], "score DESC, chunk_id") + ") WHERE rank <= 5"),
     "search_failure_patterns": _sql("logs", f"SELECT query, CAST(rank AS INT) AS rank, {_PATTERN} FROM (" + _search_rows(
@@ -544,23 +555,24 @@ LEFT JOIN chunks c ON r.chunk_id = c.chunk_id"""),
 SELECT conv_id, count(*) AS message_count, arg_max(role, turn) AS last_role, arg_max(text, turn) AS last_reply
 FROM conversations GROUP BY conv_id""",
     "asset_dossier": _sql("cost logs chunks", f"""
-, pats AS (SELECT query, rank, work_order_id FROM ({_search_rows("logs", _FAULT_MATCH,
-    ["Bearing failure", "Vibration imbalance", "Seal leak", "Overheating", "Belt wear"],
-    "cost_to_fix DESC, work_order_id")}) WHERE rank <= 3),
-similar_rows AS (SELECT query, string_agg(work_order_id, ',' ORDER BY rank) AS similar_failures FROM pats GROUP BY query),
-mans AS (SELECT query, string_agg(chunk_id, ',' ORDER BY rank) AS manual_chunks FROM ({_search_rows("chunks", _CHUNK_MATCH,
-    ["Bearing failure", "Vibration imbalance", "license", "the ", "Belt wear"], "score DESC, chunk_id")})
-  WHERE rank <= 3 GROUP BY query),
-rec AS (SELECT asset_id, string_agg(work_order_id, ',' ORDER BY rn) AS recent_orders,
+, rec AS (SELECT asset_id, string_agg(work_order_id, ',' ORDER BY rn) AS recent_orders,
     max(CASE WHEN rn = 1 THEN fault_type END) AS last_fault
   FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY timestamp DESC, o_orderkey DESC) AS rn FROM logs)
-  WHERE rn <= 3 GROUP BY asset_id)
+  WHERE rn <= 3 GROUP BY asset_id),
+q AS (SELECT DISTINCT last_fault AS query, CASE last_fault WHEN 'Seal leak' THEN 'license' WHEN 'Overheating' THEN 'the '
+  ELSE last_fault END AS term FROM rec),
+pats AS (SELECT query, work_order_id, row_number() OVER (PARTITION BY query ORDER BY cost_to_fix DESC, work_order_id) AS rank
+  FROM q JOIN logs ON {_FAULT_MATCH.replace("?", "concat('%', query, '%')")}),
+similar_rows AS (SELECT query, string_agg(work_order_id, ',' ORDER BY rank) AS similar_failures FROM pats
+  WHERE rank <= 3 GROUP BY query),
+hits AS (SELECT query, chunk_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank
+  FROM q JOIN chunks ON {_CHUNK_MATCH.replace("?", "concat('%', term, '%')")}),
+mans AS (SELECT query, string_agg(chunk_id, ',' ORDER BY rank) AS manual_chunks FROM hits WHERE rank <= 3 GROUP BY query)
 SELECT c.asset_id, c.production_line_id, c.health_score, c.risk_level, c.estimated_rul_hours, c.cost_to_fix_now,
   c.cost_of_unplanned_failure, c.net_recommendation, r.recent_orders, r.last_fault, s.similar_failures, m.manual_chunks
 FROM cost c LEFT JOIN rec r ON c.asset_id = r.asset_id LEFT JOIN similar_rows s ON s.query = r.last_fault
-LEFT JOIN mans m ON m.query = CASE r.last_fault WHEN 'Seal leak' THEN 'license' WHEN 'Overheating' THEN 'the '
-  ELSE r.last_fault END
-WHERE {_AT_RISK}""").replace(")\n, pats", "),\npats"),
+LEFT JOIN mans m ON m.query = r.last_fault
+WHERE {_AT_RISK}""").replace(")\n, rec", "),\nrec"),
     # serving
     "sink_upsert_health": _sql("assets health now_hour", """
 SELECT asset_id, health_score, risk_level, current_vibration, current_temp, rated_max_vibration, estimated_rul_hours,

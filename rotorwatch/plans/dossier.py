@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from rotorwatch import schemas as S
 from rotorwatch.operators import history, search
 from rotorwatch.operators.enrich import at_risk
 
@@ -13,16 +12,32 @@ def _ids(column: str, place: str):
     return F.array_join(F.transform(ranked, lambda r: r[column]), ",")
 
 
+MOST_FAULTS = 1000
+
+
+def _last_faults(cost: DataFrame, logs: DataFrame, order: list[str]) -> tuple[str, ...]:
+    """The distinct faults of the newest orders of all at-risk assets."""
+    newest = history.with_recency(logs, order).filter("recency = 1 AND fault_type IS NOT NULL")
+    found = newest.join(at_risk(cost).select("asset_id"), "asset_id").select("fault_type").distinct()
+    faults = tuple(sorted(r.fault_type for r in found.limit(MOST_FAULTS + 1).collect()))
+    if len(faults) > MOST_FAULTS:
+        raise ValueError("fault_type is free text here; name the faults to search for")
+    return faults
+
+
 def asset_dossier(
     cost: DataFrame, logs: DataFrame, chunks: DataFrame, k: int = 5,
-    faults: tuple[str, ...] = S.FAULT_TYPES, manual_terms: dict[str, str] | None = None,
+    faults: tuple[str, ...] | None = None, manual_terms: dict[str, str] | None = None,
     order: list[str] = history.ORDER,
 ) -> DataFrame:
     """Health, cost, recent orders, similar failures and manual chunks of every at-risk asset.
 
     Similar failures and manuals are searched once per fault type, for the fault of the asset's
-    newest order. ``manual_terms`` maps a fault to the words to look for in the manuals.
+    newest order. ``manual_terms`` maps a fault to the words to look for in the manuals. Without
+    ``faults`` they are those that occur; fault types are categories, so there are few.
     """
+    if faults is None:
+        faults = _last_faults(cost, logs, order)
     terms = {fault: (manual_terms or {}).get(fault, fault) for fault in faults}
     patterns = search.search_failure_patterns(logs, list(faults), k)
     similar = patterns.groupBy(F.col("query").alias("last_fault")).agg(
@@ -36,7 +51,7 @@ def asset_dossier(
         _ids("work_order_id", "recency").alias("recent_orders"),
         F.max(F.when(F.col("recency") == 1, F.col("fault_type"))).alias("last_fault"),
     )
-    term_of = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
+    term_of = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair]).cast("map<string,string>")
     return (
         at_risk(cost)
         .select("asset_id", "production_line_id", "health_score", "risk_level", "estimated_rul_hours",

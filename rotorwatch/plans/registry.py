@@ -625,6 +625,13 @@ def chunk_markdown(t):
     return t.chunks()
 
 
+@query
+def chunk_headings(t):
+    """Manuals whose lines of up to 60 characters are headings, cut before each heading."""
+    marked = F.regexp_replace("text", "(?m)^(.{1,60})$", "## $1")
+    return search.chunk(t.manuals().withColumn("text", marked))
+
+
 @query
 def search_manuals(t):
     return search.search_manuals(t.chunks(), SEARCH_TERMS)
@@ -648,9 +655,7 @@ def provenance_explode(t):
 @query
 def asset_dossier(t):
     return dossier.asset_dossier(
-        t.cost(), t.logs(), t.chunks(), 3,
-        ("Bearing failure", "Vibration imbalance", "Seal leak", "Overheating", "Belt wear"),
-        {"Seal leak": "license", "Overheating": "the "}, LOG_ORDER,
+        t.cost(), t.logs(), t.chunks(), 3, manual_terms={"Seal leak": "license", "Overheating": "the "}, order=LOG_ORDER,
     )
 
 
@@ -777,11 +782,6 @@ def src_production_output(t):
     return files.read_production_output(t.spark, f"{folder}/in")
 
 
-@query
-def landing_manifest(t):
-    return files.landing_manifest(t.spark, t.folder)
-
-
 # -- streams and written tables ---------------------------------------------------------------
 
 

@@ -84,11 +84,6 @@ ALERT_ACTIVE = "ACTIVE"
 ALERT_ACKNOWLEDGED = "ACKNOWLEDGED"
 ALERT_RESOLVED = "RESOLVED"
 
-FAULT_TYPES = (
-    "Bearing failure", "Seal leak", "Shaft misalignment", "Overheating",
-    "Vibration imbalance", "Electrical fault", "Corrosion", "Lubrication failure",
-    "Belt wear", "Impeller damage",
-)
 ALWAYS_RELEVANT_FAULTS = ("bearing", "vibrat")
 PATTERN_SCORE = 0.9
 CHUNK_SCORE = 1.0

@@ -6,7 +6,7 @@ lines, documents -> manual chunks. Alerts and recommendations are derived from t
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rotorwatch import schemas as S
 from rotorwatch.operators import enrich, search, serving, trends
@@ -160,13 +160,15 @@ class Tables:
 
     @_once
     def recommendations(self) -> DataFrame:
-        """One recommendation per order that replaced a part, citing two manual chunks."""
-        return self.logs().filter("part_replaced IS NOT NULL").selectExpr(
+        """One recommendation per order that replaced a part, citing two chunks of any of the manuals."""
+        orders = self.logs().filter("part_replaced IS NOT NULL")
+        manuals = self.raw("documents").agg(F.expr("count(1)")).scalar()
+        return orders.withColumn("_manuals", manuals).selectExpr(
             "o_orderkey AS rec_id", "asset_id",
             "concat('Replace ', part_replaced, ' after ', fault_type) AS recommendation_text",
             "cost_to_fix", "downtime_hours * 1000 AS cost_of_downtime", "labor_hours AS urgency_hours",
             f"'{S.ACTION_PLANNED}' AS net_recommendation",
-            "array(concat('doc', o_orderkey % 200, '_0'), concat('doc', o_orderkey % 50, '_1')) "
+            "array(concat('doc', o_orderkey % _manuals, '_0'), concat('doc', (o_orderkey * 7 + 1) % _manuals, '_1')) "
             "AS vector_search_sources",
             "CAST(array() AS ARRAY<STRING>) AS manual_references",
             "timestamp AS created_at",
