@@ -62,4 +62,43 @@ QUERIES = {f.__name__: f for f in (
     op1_path_template_tree, op2_skip_chain_crf, op3_sampled_splitter_shards, op4_weak_supervision, op5_latent_retrieval, op6_segment_popcount_simhash, op7_factorization_machine, op8_fuzzy_lines,
     op9_streaming_viterbi_codec, op10_count_only_viterbi,
 )}
-ORACLE_SQL = {}
+
+
+def _url_sql() -> str:
+    """The template tree level by level, as common table expressions."""
+    t = url_templates
+    rules = "".join(
+        f"WHEN (host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'\n"
+        for r, _ in sorted(URL_RULES, key=lambda r: -len(r[0])))
+    verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in URL_RULES)
+    levels = "".join(f"""
+r{k} AS (SELECT *, parts[{k + 1}] AS part FROM p{k}),
+b{k} AS (SELECT host, template, part, count(*) AS n, count(bad) AS l, coalesce(sum(bad), 0) AS b FROM r{k} GROUP BY ALL),
+q{k} AS (SELECT host, template, sum(l) AS pl, sum(b) AS pb FROM b{k} GROUP BY ALL),
+k{k} AS (SELECT host, template, part, true AS own FROM b{k} JOIN q{k} USING (host, template)
+  WHERE part IS NOT NULL AND n >= {t.LEAST_PAGES} AND l >= {t.LEAST_LABELS}
+    AND abs(b / l - pb / pl) > {t.Z:e} * sqrt(pb / pl * (1 - pb / pl) * (1 / l + 1 / pl))),
+p{k + 1} AS (SELECT page_id, host, path, bad, parts, CASE WHEN part IS NULL THEN template
+    ELSE concat(template, '/', CASE WHEN own THEN part ELSE '*' END) END AS template
+  FROM r{k} LEFT JOIN k{k} USING (host, template, part)),""" for k in range(t.LEVELS))
+    return f"""
+WITH cut AS (SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{t.CAPITALS}', '{t.CAPITALS.lower()}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+plain AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda x: x <> '') AS every,
+    nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[/.]|$)', 1), '') AS number FROM cut),
+p0 AS (SELECT page_id, host, path, 1 - q.quality AS bad, '' AS template, CASE WHEN len(every) > {t.LEVELS}
+    THEN list_append(every[1:{t.LEVELS - 1}], array_to_string(every[{t.LEVELS}:], '/')) ELSE every END AS parts
+  FROM plain LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q
+    ON CAST(number AS BIGINT) = q.doc_id),{levels}
+whole AS (SELECT (coalesce(sum(bad), 0) + 1) / (count(bad) + 4) AS prior FROM p{t.LEVELS}),
+shares AS (SELECT host, template, (coalesce(sum(bad), 0) + {t.PRIOR_PAGES:e} * max(prior)) / (count(bad) + {t.PRIOR_PAGES:e}) AS share
+  FROM p{t.LEVELS}, whole GROUP BY host, template),
+ruled AS (SELECT *, CASE {rules} END AS rule FROM p{t.LEVELS} JOIN shares USING (host, template))
+SELECT page_id, host, path, rule,
+  coalesce(CASE rule {verdicts} END, CASE WHEN share >= {t.REJECT_FROM:e} THEN 'block' ELSE 'allow' END) AS verdict,
+  template, 1 - share AS purity FROM ruled"""
+
+
+# The others have hashes, fitted models or iterations that SQL does not express; their tests compare with brute force.
+ORACLE_SQL = {"op1_path_template_tree": _url_sql()}

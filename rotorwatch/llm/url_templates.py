@@ -2,7 +2,7 @@
 
 Each path is a walk down a tree of its host. Level by level, a segment keeps its own branch only if it
 recurs and its labelled pages differ from those of its parent (two-proportion z test); the others
-merge into the wildcard branch. Long or varying parts (digits, hexadecimal ids) are wildcards from the start.
+merge into the wildcard branch. Runs of digits are wildcards from the start.
 The leaves are templates; one whose smoothed share of bad pages is too high is rejected.
 
 Null urls and urls without ``://`` have empty host and path. Only counts per (host, template, segment)
@@ -40,8 +40,8 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
 
 
 def segments(path: Column) -> Column:
-    """Path segments with varying parts as wildcards: digit runs, and hexadecimal ids of 8 or more."""
-    plain = F.regexp_replace(F.regexp_replace(path, "(?i)\\b(?=[0-9a-f]*[0-9])[0-9a-f-]{8,}\\b", WILDCARD), "[0-9]+", WILDCARD)
+    """Path segments, with every run of digits as a wildcard; other varying parts are rare branches, which merge below."""
+    plain = F.regexp_replace(path, "[0-9]+", WILDCARD)
     parts = F.array_remove(F.split(plain, "/"), "")
     deep = F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS - 1), F.array(F.array_join(F.slice(parts, LEVELS, 1 << 30), "/"))))
     return F.coalesce(deep, parts)
