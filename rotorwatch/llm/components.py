@@ -1,8 +1,8 @@
 """Connected components and link search inside shared cells, as plain joins and aggregations.
 
-No step lists all pairs of a cell: members are first tied to one hub per cell, and only members that this
-leaves in different components are compared with each other. So a cell full of mutual neighbours costs one
-comparison per member, and still no link between two components is missed.
+No step lists all pairs of a cell: in a few rounds, members are compared with one hub per cell, another in each cell and
+round, and only members that this leaves in different components are compared with each other. So a cell full
+of mutual neighbours costs a few comparisons per member, and still no link between two components is missed.
 """
 
 from collections.abc import Callable
@@ -43,29 +43,66 @@ def components(edges: DataFrame) -> DataFrame:
     return landed(found.select("id", F.col("to").alias("root")), "roots")
 
 
+# Rounds of comparisons with a hub per cell before members of different components are compared.
+HUB_ROUNDS = 2
+# Members from which a cell is split by further keys, if the caller has such.
+CROWDED = 128
+
+
+def _hub(turn: int) -> Column:
+    """The member next to a target that depends on the cell and the round, by the bits of the ids (longs)."""
+    target = F.xxhash64("cell", F.lit(turn))
+    return F.min(F.col("id").bitwiseXOR(target)).bitwiseXOR(target)
+
+
 def linked(
     members: DataFrame,
     verify: Callable[[DataFrame, DataFrame], DataFrame] = lambda pairs, inside: pairs,
-    close: Callable[[Column, Column], Column] = lambda a, b: F.lit(True),
+    close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] = lambda a, b: F.lit(True),
+    split: Callable[[DataFrame], DataFrame] | None = None,
+    marks: DataFrame | None = None,
 ) -> DataFrame:
     """(id, root) of all ids that some verified link ties to another one.
 
-    ``members`` (cell, id): ids that share a cell are candidates. ``close`` tests two ids while they are joined, ``verify``
-    keeps the true links of a table of distinct pairs (a, b); its second argument has every id that any pair may name.
+    ``members`` (cell, id): ids (longs) that share a cell are candidates. ``close`` tests two members while they are joined, by id
+    and the columns of ``marks`` (id, ...). ``verify`` keeps the true links of a table of distinct pairs (a, b); its second
+    argument has every id that any pair may name. ``split`` gives finer cells for the members (cell, id) of crowded ones.
     """
-    hubs = members.groupBy("cell").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).filter("hub < _last").drop("_last")
-    inside = landed(members.join(hubs, "cell"), "cells")
-    star = inside.filter((F.col("id") != F.col("hub")) & close(F.col("hub"), F.col("id")))
-    first = landed(verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), inside), "links")
-    roots = components(first)
-    label = F.coalesce("root", "id")
-    labelled = landed(inside.join(roots, "id", "left").select("cell", "id", label.alias("label")), "labelled")
-    sizes = labelled.groupBy("cell", "label").agg(F.count("*").alias("n"))
-    mains = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    mixed = labelled.join(mains, "cell")
-    x = mixed.filter("label <> main").select("cell", F.col("id").alias("a"), F.col("label").alias("la"))
-    y = mixed.select("cell", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("main"))
-    apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & close(F.col("a"), F.col("b"))
-    rest = x.join(y, (x["cell"] == y["cell"]) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = landed(verify(rest, inside), "links")
-    return components(first.union(second))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy("cell").agg(F.min("id").alias("_first"), F.max("id").alias("_last"), F.count("*").alias("_n"))
+        return rows.join(held.filter("_first < _last").select("cell", "_n"), "cell")
+
+    def pairs(left: DataFrame, right: DataFrame, where: Column) -> DataFrame:
+        """Distinct pairs of members of one cell and different labels."""
+        x = left.select("cell", *[F.col(c).alias(f"x_{c}") for c in left.columns if c != "cell"])
+        y = right.select("cell", *[F.col(c).alias(f"y_{c}") for c in right.columns if c != "cell"])
+        near = close(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
+        found = x.join(y, (x["cell"] == y["cell"]) & (F.col("x_label") != F.col("y_label")) & where & near)
+        return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+    inside = landed(shared(members), "cells")
+    if split:
+        finer = landed(split(inside.filter(F.col("_n") > CROWDED).select("cell", "id")).distinct(), "finer-cells")
+        inside = inside.filter(F.col("_n") <= CROWDED).union(shared(finer))
+    inside = inside.select("cell", "id")
+    inside = landed(inside.join(marks, "id") if marks else inside, "cells")
+    open_cells, links, roots = inside.withColumn("label", F.col("id")), None, None
+    for turn in range(HUB_ROUNDS):
+        hubs = open_cells.groupBy("cell").agg(_hub(turn).alias("id"))
+        found = verify(pairs(open_cells, open_cells.join(hubs, ["cell", "id"]), F.lit(True)), inside)
+        links = landed(found if links is None else links.union(found), "links")
+        roots = components(links)
+        # cells whose members are all tied together need no more comparisons
+        named = open_cells.drop("label").join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+        named = landed(named, "labelled")
+        mixed = named.groupBy("cell").agg(F.min("label").alias("_first"), F.max("label").alias("_last")).filter("_first < _last").select("cell")
+        open_cells = landed(named.join(mixed, "cell"), "open-cells")
+        if open_cells.isEmpty():
+            return roots
+    sizes = open_cells.groupBy("cell", "label").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    mixed = open_cells.join(mains, "cell")
+    once = (F.col("y_label") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
+    rest = verify(pairs(mixed.filter("label <> main"), mixed, once), inside)
+    return components(links.union(landed(rest, "links")))

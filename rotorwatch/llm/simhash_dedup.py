@@ -68,8 +68,9 @@ def cells(points: DataFrame) -> DataFrame:
     return points.select("id", F.explode(choices).alias("cell")).select("cell", "id")
 
 
-def close(a: Column, b: Column) -> Column:
-    return (manhattan(counts(a), counts(b)) <= DISTANCE) & (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)
+def close(a, b) -> Column:
+    lower_bound = manhattan(counts(a("id")), counts(b("id")))
+    return (lower_bound <= DISTANCE) & (F.bit_count(a("id").bitwiseXOR(b("id"))) <= DISTANCE)
 
 
 def fingerprint_classes(points: DataFrame) -> DataFrame:
