@@ -16,12 +16,16 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# On a cluster, shuffles start with many partitions: adaptive execution merges small ones, but can't split below a window.
+CLUSTER_SETTINGS = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000"}
+
 
 def build_session(app_name="rotorwatch", master=None, **settings) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **settings}.items():
+    cluster = {} if (master or "").startswith("local") else CLUSTER_SETTINGS
+    for key, value in {**SETTINGS, **cluster, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
