@@ -487,6 +487,12 @@ SELECT asset_id, production_line_id, round(85 * 4e0 + 6e-1 * avg_cost_to_fix, 2)
   round(cost_of_unplanned_failure, 2) AS cost_of_unplanned_failure,
   round(cost_of_unplanned_failure - (85 * 4e0 + 6e-1 * avg_cost_to_fix), 2) AS savings_by_acting_now,
   estimated_rul_hours, net_recommendation FROM cost"""),
+    "cost_requests": _sql("cost logs", """
+SELECT asset_id, hours, production_line_id, round(85 * hours + 6e-1 * avg_cost_to_fix, 2) AS cost_to_fix_planned,
+  round(cost_of_unplanned_failure, 2) AS cost_of_unplanned_failure,
+  round(cost_of_unplanned_failure - (85 * hours + 6e-1 * avg_cost_to_fix), 2) AS savings_by_acting_now,
+  estimated_rul_hours, net_recommendation
+FROM cost JOIN (SELECT DISTINCT asset_id, unnest([25e-1, 12e0]) AS hours FROM logs) USING (asset_id)"""),
     "alert_downtime_cost": _sql("cost", """
 SELECT asset_id, round(coalesce(estimated_rul_hours, 0) * coalesce(cost_of_unplanned_failure, 0), 2)
   AS estimated_downtime_cost FROM cost"""),
@@ -621,6 +627,7 @@ SELECT timestamp, asset_id, vibration_mm_s, temp_c, data_source FROM readings"""
     "src_production_output": _sql("production", "SELECT * FROM production"),
     # streams and written tables
     "stream_bronze_silver": _SQL["silver_sensor"],
+    "stream_silver_logs": _SQL["silver_logs"],
     "sink_stream_append": _sql("readings", "SELECT * FROM readings"),
     "stream_watermark_dedup": _sql("readings", "SELECT * FROM readings"),
     "stream_hourly": _sql("silver", """

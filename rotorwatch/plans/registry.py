@@ -557,6 +557,13 @@ def planned_vs_unplanned(t):
     return reports.cost_impact(t.cost(), 4.0)
 
 
+@query
+def cost_requests(t):
+    """The comparison for many (asset, hours) requests: two plans for each asset that has an order."""
+    asked = t.logs().select("asset_id", F.explode(F.array(F.lit(2.5), F.lit(12.0))).alias("hours")).distinct()
+    return reports.cost_impact(t.cost().join(asked, "asset_id"), F.col("hours"), "hours")
+
+
 @query
 def alert_downtime_cost(t):
     cost = costs.alert_downtime_cost(F.col("estimated_rul_hours"), F.col("cost_of_unplanned_failure"))
@@ -798,6 +805,16 @@ def stream_bronze_silver(t):
     return _drained(t, run, f"{folder}/silver")
 
 
+@query
+def stream_silver_logs(t):
+    """Work orders as a file stream, checked and joined to the register."""
+    folder, orders = scratch_dir(t.spark, "silver-logs"), t.logs_raw()
+    orders.write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(orders.schema).parquet(f"{folder}/in")
+    run = jobs.run_silver_logs_stream(stream, t.assets(), f"{folder}/silver", f"{folder}/checkpoint")
+    return _drained(t, run, f"{folder}/silver")
+
+
 @query
 def sink_stream_append(t):
     folder = scratch_dir(t.spark, "append")

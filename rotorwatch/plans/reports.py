@@ -44,10 +44,11 @@ def cost_compare(cost: DataFrame) -> DataFrame:
     )
 
 
-def cost_impact(cost: DataFrame, hours: float | Column = 4.0) -> DataFrame:
+def cost_impact(cost: DataFrame, hours: float | Column = 4.0, *keep: str) -> DataFrame:
     """Planned repair of the given length against an unplanned failure, per asset.
 
-    ``hours`` may be a column of ``cost``, for requests with their own hours joined on.
+    ``hours`` may be a column of ``cost``, for requests with their own hours joined on;
+    ``keep`` names further columns to give back.
     """
     length = hours if isinstance(hours, Column) else F.lit(float(hours))
     planned = costs.planned_cost(length, F.col("avg_cost_to_fix"))
@@ -57,7 +58,7 @@ def cost_impact(cost: DataFrame, hours: float | Column = 4.0) -> DataFrame:
         F.round(planned, 2).alias("cost_to_fix_planned"),
         F.round(unplanned, 2).alias("cost_of_unplanned_failure"),
         F.round(unplanned - planned, 2).alias("savings_by_acting_now"),
-        "estimated_rul_hours", "net_recommendation",
+        "estimated_rul_hours", "net_recommendation", *keep,
     )
 
 
