@@ -24,10 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
     rounds = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        hooks = both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("id"), F.least("a", "to").alias("to"))
-        hooks = landed(hooks, "hooks")
-        next_hop = hooks.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        hooks = landed(hooks.join(next_hop, "to").select("id", F.col("further").alias("to")), "hooks")
+        first = both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("id"), F.least("a", "to").alias("to"))
+        further = first.select(F.col("id").alias("to"), F.col("to").alias("_further"))
+        hooks = landed(first.join(further, "to").select("id", F.col("_further").alias("to")), "hooks")
         rounds.append(hooks)
         for end in ("a", "b"):
             moved = hooks.select(F.col("id").alias(end), F.col("to").alias("_to"))
@@ -57,16 +56,15 @@ def _hub(turn: int) -> Column:
 
 def linked(
     members: DataFrame,
-    verify: Callable[[DataFrame, DataFrame], DataFrame] = lambda pairs, inside: pairs,
-    close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] = lambda a, b: F.lit(True),
+    close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     split: Callable[[DataFrame], DataFrame] | None = None,
-    marks: DataFrame | None = None,
+    marks: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """(id, root) of all ids that some verified link ties to another one.
+    """(id, root) of all ids that some link ties to another one.
 
-    ``members`` (cell, id): ids (longs) that share a cell are candidates. ``close`` tests two members while they are joined, by id
-    and the columns of ``marks`` (id, ...). ``verify`` keeps the true links of a table of distinct pairs (a, b); its second
-    argument has every id that any pair may name. ``split`` gives finer cells for the members (cell, id) of crowded ones.
+    ``members`` (cell, id): ids (longs) that share a cell are candidates. ``close`` is the exact test of two members, made while
+    they are joined, by id and the further columns that ``marks`` gives for a table of ids; so pairs that are no links
+    never leave the join. ``split`` gives finer cells for the members (cell, id) of crowded ones.
     """
 
     def shared(rows: DataFrame) -> DataFrame:
@@ -75,6 +73,8 @@ def linked(
 
     def pairs(left: DataFrame, right: DataFrame, where: Column) -> DataFrame:
         """Distinct pairs of members of one cell and different labels."""
+        if known is not None:
+            left, right = left.join(known, "id"), right.join(known, "id")
         x = left.select("cell", *[F.col(c).alias(f"x_{c}") for c in left.columns if c != "cell"])
         y = right.select("cell", *[F.col(c).alias(f"y_{c}") for c in right.columns if c != "cell"])
         near = close(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
@@ -85,12 +85,12 @@ def linked(
     if split:
         finer = landed(split(inside.filter(F.col("_n") > CROWDED).select("cell", "id")).distinct(), "finer-cells")
         inside = inside.filter(F.col("_n") <= CROWDED).union(shared(finer))
-    inside = inside.select("cell", "id")
-    inside = landed(inside.join(marks, "id") if marks else inside, "cells")
+    inside = landed(inside.select("cell", "id"), "cells")
+    known = landed(marks(landed(inside.select("id").distinct(), "candidates")), "marks") if marks else None
     open_cells, links, roots = inside.withColumn("label", F.col("id")), None, None
     for turn in range(HUB_ROUNDS):
         hubs = open_cells.groupBy("cell").agg(_hub(turn).alias("id"))
-        found = verify(pairs(open_cells, open_cells.join(hubs, ["cell", "id"]), F.lit(True)), inside)
+        found = pairs(open_cells, open_cells.join(hubs, ["cell", "id"]), F.lit(True))
         links = landed(found if links is None else links.union(found), "links")
         roots = components(links)
         # cells whose members are all tied together need no more comparisons
@@ -104,5 +104,5 @@ def linked(
     mains = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     mixed = open_cells.join(mains, "cell")
     once = (F.col("y_label") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
-    rest = verify(pairs(mixed.filter("label <> main"), mixed, once), inside)
+    rest = pairs(mixed.filter("label <> main"), mixed, once)
     return components(links.union(landed(rest, "links")))

@@ -75,7 +75,7 @@ def close(a, b) -> Column:
 
 def fingerprint_classes(points: DataFrame) -> DataFrame:
     """(id, root) of the distinct fingerprints ``id`` that are linked to another one."""
-    return linked(cells(points), close=close)
+    return linked(cells(points), close)
 
 
 def point_classes(marked: DataFrame) -> DataFrame:

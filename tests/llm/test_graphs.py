@@ -41,7 +41,7 @@ def test_linked_misses_no_link_between_components(spark):
     """Neighbouring numbers are links; a cell holds numbers whose only links are to others than its hub."""
     members = [("x", 0), ("x", 10), ("x", 11), ("x", 12), ("y", 12), ("y", 13), ("z", 40), ("z", 42), ("z", 41), ("x", 5)]
     near = lambda a, b: (a("id") - b("id")).between(-1, 1)
-    got = {r.id: r.root for r in linked(spark.createDataFrame(members, "cell string, id long"), close=near).collect()}
+    got = {r.id: r.root for r in linked(spark.createDataFrame(members, "cell string, id long"), near).collect()}
     assert got == {10: 10, 11: 10, 12: 10, 13: 10, 40: 40, 41: 40, 42: 40}
 
 
