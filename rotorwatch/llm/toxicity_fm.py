@@ -24,7 +24,7 @@ PREFIX = 5
 # Labelled rows that a fit may use, documents a term must be in, least z of its difference between the classes.
 TRAIN_ROWS, LEAST_DOCS, LEAST_Z = 20_000, 4, 3.5
 RANK, EPOCHS, BATCH, RATE, DECAY, SEED = 6, 30, 128, 0.3, 1e-5, 7
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 
 
 def hash_terms(word: str) -> list[int]:
