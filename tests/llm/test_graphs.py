@@ -156,3 +156,32 @@ def test_dedup_lines(spark):
         [(0, "same line here", 5), (1, "first", 5), (2, "\nown words of two", 17), (4, None, None), (5, "", 0),
          (6, "nothing repeated in this one", 28), (6, "nothing repeated in this one", 28)], key=repr)
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def character_shingles(line):
+    low = line.lower()
+    return {low[i:i + 5] for i in range(len(low) - 4)} or {low}
+
+
+def same_class(spark, *lines):
+    """Class numbers of lines, each the only one of its document."""
+    rows = line_dedup.line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    return [r.first_doc_id for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_lines_with_one_typo(spark):
+    """Short and medium lines with one changed character or word, against all pairs of the runs of five characters."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghijk") for _ in range(rnd.randint(4, 8))) for _ in range(400)]
+    lines = []
+    for n in [10] * 40 + [20] * 40:
+        own = [rnd.choice(words) for _ in range(n)]
+        at = rnd.randrange(1, n - 1)
+        lines += [" ".join(own), " ".join([*own[:at], own[at][:-1] + "z", *own[at + 1:]])]
+    lines += ["\U0001F600 twice the same line \U0001F601", "\U0001F600 Twice the same line \U0001F601", "abc", "ABC", "abd", "\U0001F600"]
+    sets = [character_shingles(line) for line in lines]
+    numbers = range(len(lines))
+    links = [(a, b) for a, b in combinations(numbers, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root, got = classes(numbers, links), same_class(spark, *lines)
+    assert len(links) > 60 and sum(got[i] == root[i] for i in numbers) >= 0.97 * len(lines)
+    assert all(root[got[i]] == root[i] for i in numbers)
