@@ -185,3 +185,13 @@ def test_lines_with_one_typo(spark):
     root, got = classes(numbers, links), same_class(spark, *lines)
     assert len(links) > 60 and sum(got[i] == root[i] for i in numbers) >= 0.97 * len(lines)
     assert all(root[got[i]] == root[i] for i in numbers)
+
+
+def test_lines_without_spaces(spark):
+    """Lines that differ only behind their first twenty characters are different lines."""
+    start = "".join(chr(0x4E00 + 7 * i) for i in range(20))
+    lines = ["https://example.com/a/1", "https://example.com/b/2", "2024-01-01\t00:00:00\t17.5", "2024-01-01\t00:00:00\t99.1",
+             start + "".join(chr(0x5E00 + i) for i in range(15)), start + "".join(chr(0x6E00 + i) for i in range(15))]
+    assert same_class(spark, *lines) == list(range(6))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.dedup_lines(docs).collect()) == sorted(lines)
