@@ -44,8 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 # Rounds of comparisons with a hub per cell before members of different components are compared.
 HUB_ROUNDS = 2
-# Members from which a cell is split by further keys, if the caller has such.
-CROWDED = 128
 
 
 def _hub(turn: int) -> Column:
@@ -57,14 +55,13 @@ def _hub(turn: int) -> Column:
 def linked(
     members: DataFrame,
     close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-    split: Callable[[DataFrame], DataFrame] | None = None,
     marks: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(id, root) of all ids that some link ties to another one.
 
     ``members`` (cell, id): ids (longs) that share a cell are candidates. ``close`` is the exact test of two members, made while
     they are joined, by id and the further columns that ``marks`` gives for a table of ids; so pairs that are no links
-    never leave the join. ``split`` gives finer cells for the members (cell, id) of crowded ones.
+    never leave the join.
     """
 
     def shared(rows: DataFrame) -> DataFrame:
@@ -82,10 +79,6 @@ def linked(
         return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
     inside = landed(shared(members), "cells")
-    if split:
-        finer = landed(split(inside.filter(F.col("_n") > CROWDED).select("cell", "id")).distinct(), "finer-cells")
-        inside = inside.filter(F.col("_n") <= CROWDED).union(shared(finer))
-    inside = landed(inside.select("cell", "id"), "cells")
     known = landed(marks(landed(inside.select("id").distinct(), "candidates")), "marks") if marks else None
     open_cells, links, roots = inside.withColumn("label", F.col("id")), None, None
     for turn in range(HUB_ROUNDS):

@@ -195,3 +195,19 @@ def test_lines_without_spaces(spark):
     assert same_class(spark, *lines) == list(range(6))
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert sorted(r.text for r in line_dedup.dedup_lines(docs).collect()) == sorted(lines)
+
+
+def test_links_in_crowded_bands(spark):
+    """Lines of one long passage share bands with hundreds of others; their links, little over the bound, are found all the same."""
+    rnd = random.Random(21)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage, lines = letters(354), []
+    for _ in range(200):
+        own = letters(32)
+        lines += [passage + own + letters(42), passage + own + letters(42)]
+    sets = [character_shingles(line) for line in lines]
+    numbers = range(len(lines))
+    links = [(a, b) for a, b in combinations(numbers, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert links == [(a, a + 1) for a in numbers[::2]]
+    got = same_class(spark, *lines)
+    assert sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
