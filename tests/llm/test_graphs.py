@@ -211,3 +211,12 @@ def test_links_in_crowded_bands(spark):
     assert links == [(a, a + 1) for a in numbers[::2]]
     got = same_class(spark, *lines)
     assert sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+
+
+def test_four_shingles_against_five(spark):
+    """A line of four shingles is similar to one of five that holds them all."""
+    rnd = random.Random(4)
+    short = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(150)]
+    lines = [line for s in short for line in (s, s + rnd.choice("0123456789"))]
+    got = same_class(spark, *lines)
+    assert sum(got[i] == i - i % 2 for i in range(len(lines))) >= 0.98 * len(lines)
