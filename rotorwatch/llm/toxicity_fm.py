@@ -21,7 +21,8 @@ from rotorwatch.llm.common import use_python
 
 WORDS = re.compile(r"\w+")
 PREFIX = 5
-# Labelled rows that a fit may use, documents a term must be in, least z of its difference between the classes.
+# Labelled rows that a fit may use, documents a term must be in, least z of its difference between the classes; terms that differ
+# less are used for their pairs.
 TRAIN_ROWS, LEAST_DOCS, LEAST_Z = 20_000, 4, 3.5
 RANK, EPOCHS, BATCH, RATE, DECAY, SEED = 6, 30, 128, 0.3, 1e-5, 7
 CACHED_WORDS = 150_000
@@ -65,8 +66,49 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
 
 
+def paired(y: np.ndarray, owner: np.ndarray, where: np.ndarray, df: np.ndarray, bad: np.ndarray, block: int = 512) -> np.ndarray:
+    """Terms of a pair whose documents are toxic more (or less) often than those of both its terms, whatever each is alone.
+
+    The evidence of a pair is Chernoff's bound for its toxic documents at the nearer of the two shares; it must pass the
+    logarithm of the number of pairs. All pairs are counted, block by block, but those of terms too rare to reach it with any partner.
+    """
+    n, limit = len(y), np.log(max(len(df) ** 2 / 2, 2.0))
+    out = np.zeros(len(df), bool)
+    share = np.clip(bad / np.maximum(df, 1), 1e-9, 1 - 1e-9)
+    most = np.maximum(-bad * np.log(share), -(df - bad) * np.log(1 - share))
+    chosen = np.flatnonzero(most >= limit)
+    place = np.full(len(df), -1)
+    place[chosen] = np.arange(len(chosen))
+    column, row = place[where], owner
+    order = np.flatnonzero(column >= 0)
+    order = order[np.argsort(column[order], kind="stable")]
+    column, row = column[order], row[order]
+
+    def dense(at):
+        first, last = np.searchsorted(column, (at, at + block))
+        x = np.zeros((n, min(block, len(chosen) - at)), np.float32)
+        x[row[first:last], column[first:last] - at] = 1
+        return x
+
+    toxic = np.flatnonzero(y > 0)
+    for i in range(0, len(chosen), block):
+        x = dense(i).T
+        a = chosen[i:i + block]
+        for j in range(i, len(chosen), block):
+            z, b = dense(j), chosen[j:j + block]
+            both, hurt = x @ z, x[:, toxic] @ z[toxic]
+            high, low = np.maximum.outer(share[a], share[b]), np.minimum.outer(share[a], share[b])
+            r, c = np.nonzero((both >= LEAST_DOCS) & ((hurt > high * both) | (hurt < low * both)))
+            k, t = both[r, c].astype(np.float64), hurt[r, c].astype(np.float64)
+            near = np.where(t > high[r, c] * k, high[r, c], low[r, c])
+            q = np.clip(t / k, 1e-12, 1 - 1e-12)
+            found = k * (q * np.log(q / near) + (1 - q) * np.log((1 - q) / (1 - near))) >= limit
+            out[a[r[found]]] = out[b[c[found]]] = True
+    return out
+
+
 def fit(labels: np.ndarray, rows: list[np.ndarray]) -> Machine:
-    """AdaGrad on logistic loss over the terms whose share differs between the classes."""
+    """AdaGrad on logistic loss over the terms that differ between the classes, alone or in a pair."""
     y = np.asarray(labels, np.float32)
     n_bad, n = float(y.sum()), len(y)
     if not 0 < n_bad < n:
@@ -79,6 +121,11 @@ def fit(labels: np.ndarray, rows: list[np.ndarray]) -> Machine:
     p = df / n
     z = (bad / n_bad - (df - bad) / (n - n_bad)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_bad + 1 / (n - n_bad)))
     used = (df >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
+    often = np.flatnonzero(df >= LEAST_DOCS)
+    rank = np.full(len(every), -1)
+    rank[often] = np.arange(len(often))
+    held = rank[where] >= 0
+    used[often[paired(y, owner[held], rank[where[held]], df[often], bad[often])]] = True
     place = np.cumsum(used) - 1
     keep = used[where]
     owner, where = owner[keep], place[where[keep]]

@@ -183,3 +183,14 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity_fm.score_documents(docs, none).collect()] == [0, 0]
     assert toxicity_fm.score_documents(docs.limit(0), none).count() == 0
+
+
+def test_toxicity_of_a_pair_of_neutral_terms():
+    """Two terms are equally frequent in both classes and toxic only together; a third is toxic alone."""
+    rnd = random.Random(3)
+    plain = [f"w{i}" for i in range(60)]
+    extra = [["alpha", "bravo"]] * 2 + [["slur"]] * 3 + [["alpha"]] * 2 + [["bravo"]] * 2 + [[]]
+    rows = [(int(i % 10 < 5), " ".join(rnd.sample(plain, 8) + extra[i % 10])) for i in range(1600)]
+    machine = toxicity_fm.fit([y for y, _ in rows[:1200]], [toxicity_fm.text_terms(t) for _, t in rows[:1200]])
+    assert {zlib.crc32(b"alpha"), zlib.crc32(b"bravo")} <= set(machine.terms.tolist())
+    assert sum((machine.score(t) >= 0.5) == y for y, t in rows[1200:]) >= 0.98 * 400
