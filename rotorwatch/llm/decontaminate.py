@@ -24,9 +24,6 @@ from rotorwatch.llm.common import landed, use_python
 
 # Words of a block, rank of the latent space with oversampling, cosine of a candidate.
 BLOCK, RANK, CANDIDATE_FROM = 16, 64, 0.4
-# Terms that make up more than this share of all words have no weight, but for the rarest few of an item; a passage needs this
-# share of the fewest weighted words that an item of its length has.
-COMMON, RAREST, NEEDED = 0.00005, 8, 0.4
 # Share of an item that a common subsequence must cover; with the answer, and of the answer; stretch per item length.
 COPIED, PARAPHRASED, ANSWERED, STRETCH = 0.8, 0.6, 0.8, 1.3
 # Benchmark terms that are held in memory at most.
@@ -140,14 +137,9 @@ def occurrences(texts: DataFrame, size: int, kind: str) -> tuple[np.ndarray, int
     return counts[:-1], int(counts.sum())
 
 
-def term_weights(items: Items, counts: np.ndarray, total: int) -> np.ndarray:
-    """Inverse frequency; zero for common terms that are not among the rarest few of some item."""
-    weights = np.log1p(max(total, 1) / np.maximum(counts, 1)).astype(np.float32)
-    kept = counts <= COMMON * total
-    for words in items.words:
-        own = np.unique(words)
-        kept[own[np.argsort(counts[own], kind="stable")[:RAREST]]] = True
-    return np.where(kept, weights, 0)
+def term_weights(counts: np.ndarray, total: int) -> np.ndarray:
+    """Inverse frequency over blocks; every term has a weight, so a passage of common words is found too."""
+    return np.log1p(max(total, 1) / (BLOCK * np.maximum(counts, 1))).astype(np.float32)
 
 
 def latent_space(texts: DataFrame, weights: np.ndarray, kind: str, rank: int = RANK) -> np.ndarray:
@@ -232,12 +224,10 @@ class Search:
 
     def __init__(self, items: Items, weights: np.ndarray, space: np.ndarray):
         self.items, self.weights, self.rows = items, weights, space * weights[:, None]
-        self.by_length, self.needed = {}, {}
+        self.by_length = {}
         for i, words in enumerate(items.words):
             m = -(-len(words) // BLOCK) + 1
             self.by_length.setdefault(m, []).append(i)
-            needed = max(1, int(NEEDED * np.count_nonzero(weights[words])))
-            self.needed[m] = min(needed, self.needed.get(m, needed))
         self.matchers = [Matcher(w, a) for w, a in zip(items.words, items.answers)]
         queries = np.stack([self.rows[w].sum(0) for w in items.words])
         self.queries = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
@@ -248,14 +238,11 @@ class Search:
         n = len(own)
         sums = np.zeros((n + 1, own.shape[1]), np.float32)
         np.cumsum(own, axis=0, out=sums[1:])
-        known = np.concatenate([[0], np.cumsum(np.bincount(blocks.block, minlength=n))])
         begins, ends = blocks.first[blocks.owner], blocks.first[blocks.owner + 1]
         for m, numbers in self.by_length.items():
             # a window that would pass the end of its text is needed only if it starts the text
             start = np.flatnonzero((np.arange(n) + m <= ends) | (np.arange(n) == begins))
             stop = np.minimum(start + m, ends[start])
-            rich = known[stop] - known[start] >= self.needed[m]
-            start, stop = start[rich], stop[rich]
             passages = sums[stop] - sums[start]
             bound = CANDIDATE_FROM * np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-6)
             for at in range(0, len(numbers), 512):
@@ -296,7 +283,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return spark.createDataFrame([], shape)
     shared = spark.sparkContext.broadcast(items)
     texts = numbered(docs, shared)
-    weights = term_weights(items, *occurrences(texts, items.size, items.kind))
+    weights = term_weights(*occurrences(texts, items.size, items.kind))
     search = spark.sparkContext.broadcast(Search(items, weights, latent_space(texts, weights, items.kind)))
 
     def run(batches):

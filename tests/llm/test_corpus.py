@@ -125,3 +125,21 @@ def test_crc_of_shards(spark):
     rows = QUERIES["op3_sampled_splitter_shards"](spark, "/root/testdata/sf0.001").collect()
     texts = dict(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
+
+
+def test_contaminated_without_the_rare_words(spark):
+    """A paraphrase that swaps the rare words of an item and keeps its everyday words and its answer is found."""
+    rnd = random.Random(17)
+    everyday = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    items, docs = [], [(i, " ".join(rnd.choice(everyday) for _ in range(300))) for i in range(200)]
+    for k in range(5):
+        own = [rnd.choice(everyday) for _ in range(28)]
+        places = rnd.sample(range(28), 8)
+        as_stated = [f"rare{k}x{i}" if i in places else w for i, w in enumerate(own)]
+        answer = " ".join(rnd.choice(everyday) for _ in range(6))
+        items.append((k, " ".join(as_stated) + ". " + answer + "."))
+        changed = ["otherword" if i in places else w for i, w in enumerate(own)]
+        docs.append((1000 + k, " ".join(rnd.choice(everyday) for _ in range(50)) + " " + " ".join(changed) + ". " + answer + "."))
+    frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, benchmark).collect()}
+    assert got == {(1000 + k, k) for k in range(5)}
