@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from rotorwatch.llm import decontaminate, line_dedup, pii_crf, piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, weak_quality
+from rotorwatch.llm import (
+    byte_bpe, decontaminate, line_dedup, pii_crf, piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, vector_codes, weak_quality,
+)
 from rotorwatch.llm.common import table
 
 
@@ -58,9 +60,22 @@ def op10_count_only_viterbi(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_value_dictionary_codes(spark, sf_dir):
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", vector_codes.hex_code(F.col("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_word_shuffle_bpe(spark, sf_dir):
+    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text")))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_path_template_tree, op2_skip_chain_crf, op3_sampled_splitter_shards, op4_weak_supervision, op5_latent_retrieval, op6_segment_popcount_simhash, op7_factorization_machine, op8_fuzzy_lines,
-    op9_streaming_viterbi_codec, op10_count_only_viterbi,
+    op9_streaming_viterbi_codec, op10_count_only_viterbi, op12_value_dictionary_codes, op13_word_shuffle_bpe,
 )}
 
 
