@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rotorwatch.llm import (
-    byte_bpe, decontaminate, line_dedup, pii_crf, piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, vector_codes, weak_quality,
+    byte_bpe, conversation_repair, decontaminate, line_dedup, pii_crf, piece_codec, sharding, simhash_dedup, token_counts, toxicity_fm, url_templates, vector_codes, weak_quality,
 )
 from rotorwatch.llm.common import table
 
@@ -60,6 +60,11 @@ def op10_count_only_viterbi(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_checkpointed_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_repair.repair_summary(conversation_repair.damaged(rows))
+
+
 def op12_value_dictionary_codes(spark, sf_dir):
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
     return vector_codes.with_label_error(coded).select(
@@ -75,7 +80,7 @@ def op13_word_shuffle_bpe(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_path_template_tree, op2_skip_chain_crf, op3_sampled_splitter_shards, op4_weak_supervision, op5_latent_retrieval, op6_segment_popcount_simhash, op7_factorization_machine, op8_fuzzy_lines,
-    op9_streaming_viterbi_codec, op10_count_only_viterbi, op12_value_dictionary_codes, op13_word_shuffle_bpe,
+    op9_streaming_viterbi_codec, op10_count_only_viterbi, op11_checkpointed_repair, op12_value_dictionary_codes, op13_word_shuffle_bpe,
 )}
 
 
