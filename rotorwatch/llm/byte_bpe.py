@@ -2,9 +2,10 @@
 
 ``word_blocks`` splits texts into pre-tokens and numbers the distinct ones inside a block of documents; a pre-token's position is
 its place in the list of those numbers, so the rows that are shuffled are the (word, block, number) of a block's distinct words,
-not every occurrence. Over all blocks each distinct word is encoded once; its ids are joined back to the blocks by word, and
-``encode_documents`` puts them into the positions of the block's texts. A word that is in every block is one row per block, spread
-by adaptive execution like any skewed join side; no group is larger than the distinct words of one block.
+not every occurrence. ``encode_words`` takes them dealt and sorted by word, encodes each distinct word once, and sends its ids
+back to the blocks that hold it. ``encode_documents`` puts them into the positions of the blocks' texts: the blocks lie in a table bucketed by
+block, so only ids move to them. A word has one row per block at most, whatever its share of a corpus, and no group is larger than
+the distinct words of one block.
 
 ``decode_documents`` joins each id with the table of token bytes. That table has one row per token of the vocabulary, so it is sent to
 the tasks and the join is a gather of its rows.
@@ -15,6 +16,7 @@ nothing. A text longer than a block is a block of its own. Ids of a token that t
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotorwatch.llm.common import landed, use_python
+from rotorwatch.llm.common import use_python
+from rotorwatch.session import scratch_dir
 
-BLOCK_CHARACTERS = 4_000_000  # characters of a block, unless one text alone has more
+BLOCK_CHARACTERS = 16_000_000  # characters of a block, unless one text alone has more
+PACKED_WORDS = 200_000  # words whose ids a task holds before it sends them on
 BLOCKS = "block long, words array<string>, rows array<long>, sizes array<int>, codes binary"
 
 
@@ -124,11 +128,11 @@ class WordEncoder:
         return out
 
 
-def _blocks(texts: Iterator[tuple[int, str]], find) -> Iterator[tuple]:
+def _blocks(texts: Iterator[tuple[int, str]], find, most: int) -> Iterator[tuple]:
     """(words, rows, sizes, codes) per block: distinct words in order of appearance, and the number of each text's words."""
     numbers, rows, sizes, codes, characters = {}, [], [], [], 0
     for row, text in texts:
-        if rows and characters + len(text) > BLOCK_CHARACTERS:
+        if rows and characters + len(text) > most:
             yield list(numbers), rows, sizes, codes
             numbers, rows, sizes, codes, characters = {}, [], [], [], 0
         own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in find(text)), np.uint32)
@@ -142,12 +146,13 @@ def _blocks(texts: Iterator[tuple[int, str]], find) -> Iterator[tuple]:
 
 def word_blocks(docs: DataFrame, splitter: Splitter) -> DataFrame:
     """One row per block of documents (doc_id, text): its distinct pre-tokens, its doc_ids, and each text's word numbers, compressed."""
+    most = BLOCK_CHARACTERS
 
     def run(batches):
         find, part, count = splitter.finder(), TaskContext.get().partitionId(), 0
         texts = ((r, t or "") for batch in batches for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for words, rows, sizes, codes in _blocks(texts, find):
-            packed = zstandard.compress(np.concatenate(codes).astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes())
+        for words, rows, sizes, codes in _blocks(texts, find, most):
+            packed = pack(np.concatenate(codes))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part << 33 | count]), pa.array([words], pa.list_(pa.string())), pa.array([rows], pa.list_(pa.int64())),
                  pa.array([sizes], pa.list_(pa.int32())), pa.array([packed], pa.binary())],
@@ -157,42 +162,74 @@ def word_blocks(docs: DataFrame, splitter: Splitter) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOCKS)
 
 
-def encode_words(words: DataFrame, ranks) -> DataFrame:
-    """word and ids of distinct words. ``ranks``: the vocabulary, broadcast."""
+def pack(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype("<u4").tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), "<u4").astype(np.int64)
+
+
+def encode_words(places: DataFrame, ranks) -> DataFrame:
+    """Rows (word, block, number) to rows (block, numbers, counts, ids): ids of all words behind each other, packed.
+
+    Each distinct word is encoded once, for its rows lie together. ``ranks``: the vocabulary, broadcast.
+    """
+    most = PACKED_WORDS
+
+    def sent(held):
+        names = ["block", "numbers", "counts", "ids"]
+        columns = [[np.array(c) for c in zip(*((n, len(i)) for n, i in own))] + [np.concatenate([i for _, i in own])] for own in held.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int64()), *(pa.array([pack(c[i]) for c in columns], pa.binary()) for i in range(3))], names)
 
     def run(batches):
-        encoder = WordEncoder(ranks.value)
+        encoder, last, ids, held, n = WordEncoder(ranks.value), None, None, {}, 0
         for batch in batches:
-            ids = [encoder.ids(w.encode()) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            for word, block, number in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if word != last:
+                    last, ids = word, np.array(encoder.ids(word.encode()), np.uint32)
+                held.setdefault(block, []).append((number, ids))
+            n += batch.num_rows
+            if n >= most:
+                yield sent(held)
+                held, n = {}, 0
+        if held:
+            yield sent(held)
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+    dealt = places.select("word", "block", "number").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "block long, numbers binary, counts binary, ids binary")
 
 
-def spread(values: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists ``values[offsets[c]:offsets[c + 1]]`` of all codes behind each other, and the length of each."""
-    sizes = offsets[codes + 1] - offsets[codes]
-    behind = np.cumsum(sizes)
-    return values[np.repeat(offsets[codes] - behind + sizes, sizes) + np.arange(behind[-1] if len(behind) else 0)], sizes
+def spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``values[starts[c]:starts[c] + sizes[c]]`` of all codes behind each other, and the length of each."""
+    own = sizes[codes]
+    behind = np.cumsum(own)
+    return values[np.repeat(starts[codes] - behind + own, own) + np.arange(behind[-1] if len(behind) else 0)], own
 
 
 def _reassemble(batches):
     for batch in batches:
         for block in range(batch.num_rows):
-            rows, found = batch.column("rows")[block].values, batch.column("ids")[block].values
-            sizes = np.asarray(batch.column("sizes")[block].values)
-            raw = zstandard.decompress(batch.column("codes")[block].as_py())
-            wide = 0 if found is None else len(found)
-            codes = np.frombuffer(raw, "<u2" if wide <= 1 << 16 else "<u4").astype(np.int64)
-            lists = found.field("ids") if wide else pa.array([], pa.list_(pa.int32()))
-            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            values, counts = spread(lists.flatten().to_numpy(zero_copy_only=False), offsets, codes)
-            ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
-            for at in range(0, len(rows), 500):  # part by part: a block of short texts has many rows
+            rows, sizes = batch.column("rows")[block].values, np.asarray(batch.column("sizes")[block].values)
+            pieces = batch.column("found")[block].as_py() or []
+            numbers, counts, ids = (np.concatenate([np.zeros(0, np.int64), *(unpack(p[c]) for p in pieces)]) for c in ("numbers", "counts", "ids"))
+            starts, lengths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+            starts[numbers], lengths[numbers] = np.cumsum(counts) - counts, counts
+            values, own = spread(ids, starts, lengths, unpack(batch.column("codes")[block].as_py()))
+            ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(sizes)])]
+            for at in range(0, len(rows), 500):  # part by part: a block has many rows
                 cut = ends[at:at + 501]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.slice(at, 500), pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(values[cut[0]:cut[-1]], pa.int32()))],
-                    ["doc_id", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(values[cut[0]:cut[-1]].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([rows.slice(at, 500), lists], ["doc_id", "ids"])
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder in buckets by ``column``, so that a join by it does not shuffle it again."""
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
+    n, named = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(n, column).saveAsTable(named)
+    return spark.table(named)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -200,11 +237,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     use_python(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(spark, path))
-    blocks = landed(word_blocks(docs, Splitter.of()), "word_blocks")
+    blocks = bucketed(word_blocks(docs, Splitter.of()), "word_blocks", "block")
     places = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    coded = landed(encode_words(places.select("word").distinct(), ranks), "words")
-    found = places.join(coded, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", "ids"))).alias("ids"))
-    whole = blocks.drop("words").join(found, "block", "left")
+    found = encode_words(places, ranks).groupBy("block").agg(F.collect_list(F.struct("numbers", "counts", "ids")).alias("found"))
+    whole = blocks.select("block", "rows", "sizes", "codes").join(found, "block", "left")
     return whole.mapInArrow(_reassemble, "doc_id long, ids array<int>")
 
 

@@ -39,9 +39,9 @@ def integers(values: np.ndarray) -> np.ndarray:
     return scaled.astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
-    """(vec_ids, labels, integers of shape vectors x width), batches joined up to blocks."""
-    held, rows, most = [], 0, max(BLOCK_VALUES // max(width, 1), 1)
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(vec_ids, labels, integers of shape vectors x width), batches joined up to blocks of about ``most`` rows."""
+    held, rows = [], 0
     for batch in batches:
         if held and rows + batch.num_rows > most:
             yield _block(held, width)
@@ -65,9 +65,10 @@ def _block(batches: list[pa.RecordBatch], width: int):
 
 def coded_blocks(kept: DataFrame, width: int) -> DataFrame:
     """One row per block of vectors (vec_id, label, embedding): owners, and per dimension the distinct integers and each vector's place in them."""
+    most = max(BLOCK_VALUES // max(width, 1), 1)
 
     def run(batches):
-        for vec_ids, labels, block in _blocks(batches, width):
+        for vec_ids, labels, block in _blocks(batches, width, most):
             found = [np.unique(column, return_inverse=True) for column in block.T]
             codes = np.array([place for _, place in found], "<u4").reshape(width, len(block))
             values = np.concatenate([v for v, _ in found]) if found else np.zeros(0, np.int64)

@@ -34,11 +34,24 @@ def test_documents_equal_library(spark, library, monkeypatch):
     assert byte_bpe.encode_documents(docs.limit(0)).isEmpty()
 
 
-def test_each_word_is_encoded_once(spark, library):
-    words = spark.createDataFrame([(w,) for w in (" the", "thing", "x" * 400)], "word string")
-    ranks = spark.sparkContext.broadcast(byte_bpe.read_ranks(spark))
-    got = {r.word: r.ids for r in byte_bpe.encode_words(words, ranks).collect()}
-    assert got == {w: library.encode_ordinary(w) for w in got} and len(got) == 3
+def test_each_word_is_encoded_once(spark, library, monkeypatch):
+    ranks, calls = spark.sparkContext.broadcast(byte_bpe.read_ranks(spark)), spark.sparkContext.accumulator(0)
+
+    class Counted(byte_bpe.WordEncoder):
+        def ids(self, word):
+            calls.add(1)
+            return super().ids(word)
+
+    monkeypatch.setattr(byte_bpe, "WordEncoder", Counted)
+    texts = [" the", "thing", "x" * 400]
+    words = spark.createDataFrame([(w, b, 10 * b + n) for b in range(50) for n, w in enumerate(texts)], "word string, block long, number int")
+    got = {}
+    for r in byte_bpe.encode_words(words, ranks).collect():
+        numbers, counts, ids = (byte_bpe.unpack(r[c]).tolist() for c in ("numbers", "counts", "ids"))
+        for n, size in zip(numbers, counts):
+            got[r.block, n], ids = ids[:size], ids[size:]
+    assert got == {(b, 10 * b + n): library.encode_ordinary(w) for b in range(50) for n, w in enumerate(texts)}
+    assert calls.value in (0, 3)  # 0 where the task does not see the counting class
 
 
 @settings(max_examples=150, deadline=None)
