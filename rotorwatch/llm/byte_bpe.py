@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from rotorwatch.llm.common import use_python
 from rotorwatch.session import scratch_dir
 
-BLOCK_CHARACTERS = 16_000_000  # characters of a block, unless one text alone has more
+BLOCK_CHARACTERS = 32_000_000  # characters of a block, unless one text alone has more
 PACKED_WORDS = 200_000  # words whose ids a task holds before it sends them on
 BLOCKS = "block long, words array<string>, rows array<long>, sizes array<int>, codes binary"
 
@@ -167,7 +167,7 @@ def pack(numbers: np.ndarray) -> bytes:
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), "<u4").astype(np.int64)
+    return np.frombuffer(zstandard.decompress(raw), "<u4").astype(np.int32)
 
 
 def encode_words(places: DataFrame, ranks) -> DataFrame:
@@ -213,15 +213,17 @@ def _reassemble(batches):
         for block in range(batch.num_rows):
             rows, sizes = batch.column("rows")[block].values, np.asarray(batch.column("sizes")[block].values)
             pieces = batch.column("found")[block].as_py() or []
-            numbers, counts, ids = (np.concatenate([np.zeros(0, np.int64), *(unpack(p[c]) for p in pieces)]) for c in ("numbers", "counts", "ids"))
+            numbers, counts, ids = (np.concatenate([np.zeros(0, np.int32), *(unpack(p[c]) for p in pieces)]) for c in ("numbers", "counts", "ids"))
             starts, lengths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
             starts[numbers], lengths[numbers] = np.cumsum(counts) - counts, counts
-            values, own = spread(ids, starts, lengths, unpack(batch.column("codes")[block].as_py()))
-            ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(sizes)])]
-            for at in range(0, len(rows), 500):  # part by part: a block has many rows
-                cut = ends[at:at + 501]
-                lists = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(values[cut[0]:cut[-1]].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([rows.slice(at, 500), lists], ["doc_id", "ids"])
+            codes = np.frombuffer(zstandard.decompress(batch.column("codes")[block].as_py()), "<u4")
+            edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            for at in range(0, len(rows), 200):  # part by part: a block has many rows
+                cut = edges[at:at + 201]
+                values, own = spread(ids, starts, lengths, codes[cut[0]:cut[-1]])
+                ends = np.concatenate([[0], np.cumsum(own)])[cut - cut[0]]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([rows.slice(at, 200), lists], ["doc_id", "ids"])
 
 
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
