@@ -607,7 +607,7 @@ SELECT {_SERIAL} AS rec_id, work_order_id, printf('REC-%05d', {_SERIAL}) AS labe
 SELECT count(*) AS appended, 1::BIGINT AS first_id, count(*) AS last_id, count(*) AS distinct_ids,
   round(sum(health_score), 2) AS score_sum
 FROM (SELECT DISTINCT asset_id, recommendation_text FROM recs) r JOIN health h ON r.asset_id = h.asset_id"""),
-    "stream_transitions": _sql("trends assets", """
+    "risk_entries": _sql("trends assets", """
 SELECT asset_id, calculated_at, risk_level, previous_risk FROM (
   SELECT *, lag(risk_level) OVER (PARTITION BY asset_id ORDER BY calculated_at) AS previous_risk FROM (
     SELECT asset_id, calculated_at, CASE WHEN s IS NULL THEN 'UNKNOWN' WHEN s < 30 THEN 'CRITICAL' WHEN s < 60 THEN 'HIGH'
@@ -651,9 +651,21 @@ SELECT asset_id, 'ACTIVE' AS status, TIMESTAMP '2024-02-02 00:00:00' AS detectio
 SELECT asset_id, health_score, risk_level, estimated_rul_hours, TIMESTAMP '2024-02-01 00:00:00' AS last_updated,
   CASE WHEN {_AT_RISK} THEN 'ACTIVE' END AS status, {_AT_RISK} AS alerted FROM health"""),
     "reset_serving": _sql("health recs", f"""
-SELECT (SELECT count(*) FROM health) AS live_rows, (SELECT count(*) FROM health WHERE {_AT_RISK}) AS alerts_before,
-  (SELECT count(*) FROM recs JOIN health ON recs.asset_id = health.asset_id) AS recommendations_before,
-  0::BIGINT AS alerts, 0::BIGINT AS recommendations"""),
+SELECT *, CASE WHEN table_name = 'live' THEN rows_before ELSE 0 END AS rows_after FROM (
+  SELECT table_name, asset_id, what, count(*) AS rows_before FROM (
+    SELECT 'live' AS table_name, asset_id, CAST(NULL AS VARCHAR) AS what FROM health
+    UNION ALL SELECT 'alerts', asset_id, risk_level FROM health WHERE {_AT_RISK}
+    UNION ALL SELECT 'recommendations', recs.asset_id, recommendation_text FROM recs JOIN health ON recs.asset_id = health.asset_id)
+  GROUP BY ALL)"""),
+    "stream_transitions": _SQL["risk_entries"],
+    "sink_upsert_keyed": _SQL["sink_upsert_health"],
+    "sink_upsert_keyed_1pct": _sql("assets health now_hour", """
+SELECT asset_id, health_score, risk_level, current_vibration, current_temp, rated_max_vibration, estimated_rul_hours,
+  production_line_id, criticality_tier, calculated_at, as_of AS last_updated FROM health, now_hour
+WHERE CAST(split_part(asset_id, '_', 2) AS BIGINT) % 100 = 0
+UNION ALL
+SELECT asset_id, 100e0, 'LOW', 0e0, 0e0, rated_max_vibration, NULL, production_line_id, criticality_tier, as_of, as_of
+FROM assets, now_hour WHERE asset_id NOT IN (SELECT asset_id FROM health WHERE CAST(split_part(asset_id, '_', 2) AS BIGINT) % 100 = 0)"""),
     "hourly_trends_since": _sql("trends now_hour", """
 SELECT * FROM trends WHERE hour_window >= (SELECT as_of - INTERVAL 7 DAY FROM now_hour)"""),
     "sink_materialize": _SQL["hourly_trends"],

@@ -68,7 +68,7 @@ def register_functions(
 ) -> list[str]:
     """Create the temporary functions; returns their names.
 
-    Writing a recommendation is not a function: see `ServingTables.recommend`.
+    Writing a recommendation is not a function: see `ServingLog.recommend`.
     """
     for name, df in _views(live, chunks, logs, cost, order).items():
         df.createOrReplaceTempView(name)

@@ -14,8 +14,9 @@ from rotorwatch.plans import dossier, gold, reports
 from rotorwatch.session import scratch_dir
 from rotorwatch.sources import files
 from rotorwatch.sources.bindings import LOG_ORDER, READING_ORDER, Tables, bind_readings
-from rotorwatch.sources.snapshots import ServingTables, materialize
-from rotorwatch.streaming import jobs
+from rotorwatch.sources.serving_log import KeyedTable, ServingLog
+from rotorwatch.sources.snapshots import materialize
+from rotorwatch.streaming import jobs, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -674,16 +675,20 @@ def chat_requests(t):
 # -- serving -----------------------------------------------------------------------------
 
 
-@query
-def sink_upsert_health(t):
-    """Live table of all assets as of the register, overwritten by the computed health."""
-    blank = t.assets().select(
+def _as_registered(t: Tables) -> DataFrame:
+    """A live table of all assets, each in perfect health."""
+    return t.assets().select(
         "asset_id", F.lit(100.0).alias("health_score"), F.lit("LOW").alias("risk_level"),
         F.lit(0.0).alias("current_vibration"), F.lit(0.0).alias("current_temp"), "rated_max_vibration",
         F.lit(None).cast("double").alias("estimated_rul_hours"), "production_line_id",
         "criticality_tier", t.as_of().alias("calculated_at"), t.as_of().alias("last_updated"),
     )
-    return serving.upsert(blank, t.live(), ["asset_id"], "calculated_at", t.as_of())
+
+
+@query
+def sink_upsert_health(t):
+    """Live table of all assets as of the register, overwritten by the computed health."""
+    return serving.upsert(_as_registered(t), t.live(), ["asset_id"], "calculated_at", t.as_of())
 
 
 @query
@@ -728,15 +733,30 @@ def sink_recommendation(t):
     )
 
 
-@query
-def stream_transitions(t):
-    """Entries into an at-risk level along the hourly history of every asset."""
+def _risk_history(t: Tables) -> DataFrame:
     score = scores.health_score(F.col("vibration_avg"), F.col("rated_max_vibration"))
     rated = t.trends().join(t.assets().select("asset_id", "rated_max_vibration"), "asset_id", "left")
-    past = rated.select(
-        "asset_id", F.col("hour_window").alias("calculated_at"), scores.risk_level(score).alias("risk_level")
-    )
-    return serving.risk_changes(past, rows=t.readings().withColumnRenamed("timestamp", "calculated_at"))
+    return rated.select("asset_id", F.col("hour_window").alias("calculated_at"), scores.risk_level(score).alias("risk_level"))
+
+
+@query
+def risk_entries(t):
+    """Entries into an at-risk level along the hourly history of every asset."""
+    return serving.risk_changes(_risk_history(t), rows=t.readings().withColumnRenamed("timestamp", "calculated_at"))
+
+
+@query
+def stream_transitions(t):
+    """The same entries from a stream whose rows come out of order; a row far ahead ends the wait of the last ones."""
+    history = _risk_history(t)
+    end = history.agg(F.max("calculated_at").alias("calculated_at")).select(
+        F.lit(None).cast("string").alias("asset_id"), F.col("calculated_at") + F.expr("INTERVAL '2' DAY"), F.lit("LOW").alias("risk_level"))
+    end = end.toDF(*history.columns)
+    path = scratch_dir(t.spark, "history")
+    history.write.parquet(path)
+    folder = _in_deliveries(t, t.spark.read.parquet(path), "calculated_at", "asset_id",
+                            lambda stream: state.risk_entries_stream(stream, "12 hours"), end)
+    return t.spark.read.parquet(f"{folder}/out")
 
 
 # -- sources: the bound tables written as CSV, then read back --------------------------------
@@ -842,15 +862,32 @@ def stream_hourly(t):
     return written.unionByName(jobs.open_hours(t.silver(), written))
 
 
+def _in_deliveries(t: Tables, rows: DataFrame, time: str, key: str, start, last: DataFrame | None = None) -> str:
+    """``rows`` as a folder of files that comes in three deliveries, some rows up to six hours late; the stream that ``start`` gives runs after each.
+
+    ``last`` comes in a delivery of its own behind them. Each run goes on from the checkpoint of the one before. Gives the folder.
+    """
+    folder = scratch_dir(t.spark, "deliveries")
+    low, high = (rows.agg(F.unix_seconds(f(time))).scalar() for f in (F.min, F.max))
+    late = F.pmod(F.xxhash64(key, time), F.lit(6 * 3600))
+    delivery = F.least(F.floor((F.unix_seconds(time) + late - low) * 3 / (high - low + 1)), F.lit(2))
+    parts = rows.withColumn("_part", delivery)
+    for part in [parts.filter(F.coalesce("_part", F.lit(0)) == i).drop("_part") for i in range(3)] + ([last] if last else []):
+        part.select(*rows.columns).write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        jobs.write_stream(start(stream), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return folder
+
+
 @query
 def stream_rolling5(t):
-    folder = scratch_dir(t.spark, "rolling")
-    run = jobs.run_rolling_stream(
-        _event_stream(t), folder, f"{folder}/checkpoint", {"vibration_mm_s": "vibration_smoothed"},
-        order=tuple(READING_ORDER),
-    )
-    smoothed = _drained(t, run, f"{folder}/smoothed")
-    return smoothed.select("event_id", F.round("vibration_smoothed", 6).alias("vibration_smoothed"))
+    """Readings that come in deliveries, some of them late: the newest mean issued for each."""
+    order = tuple(READING_ORDER)
+    readings = t.readings().select("event_id", "timestamp", "asset_id", "vibration_mm_s")
+    folder = _in_deliveries(t, readings, "timestamp", "event_id", lambda stream: state.rolling_stream(
+        stream, {"vibration_mm_s": "vibration_smoothed"}, "12 hours", order=order))
+    newest = state.newest_issue(t.spark.read.parquet(f"{folder}/out"), order)
+    return newest.select("event_id", F.round("vibration_smoothed", 6).alias("vibration_smoothed"))
 
 
 @query
@@ -862,17 +899,17 @@ def stream_sync(t):
     stream = t.spark.readStream.schema(records.schema).parquet(f"{folder}/gold")
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     jobs.run_sync_stream(stream, f"{folder}/serving", f"{folder}/checkpoint", now=now).awaitTermination()
-    tables = ServingTables(t.spark, f"{folder}/serving")
-    raised = tables.alerts.read().select("asset_id", "disruption_id", "status")
+    tables = ServingLog(t.spark, f"{folder}/serving")
+    raised = tables.alerts().select("asset_id", "disruption_id", "status")
     return tables.live.read().join(raised, "asset_id", "left").select(
         "asset_id", "health_score", "risk_level", "estimated_rul_hours", "last_updated", "status",
         F.col("disruption_id").isNotNull().alias("alerted"),
     )
 
 
-def _twice_synced(t, between) -> ServingTables:
+def _twice_synced(t, between) -> ServingLog:
     """Sync, a change by ``between``, and the same records again a day later, as batches 0 and 1."""
-    tables = ServingTables(t.spark, scratch_dir(t.spark, "serving"))
+    tables = ServingLog(t.spark, scratch_dir(t.spark, "serving"))
     records = gold.health_with_cost(t.health(), t.cost())
     tables.sync(records, F.lit("2024-02-01 00:00:00").cast("timestamp"), 0)
     between(tables)
@@ -885,11 +922,11 @@ def _twice_synced(t, between) -> ServingTables:
 def sync_acknowledge_sync(t):
     """Alerts after a sync, an acknowledgement of all of them, and another sync."""
     def acknowledge(tables):
-        changes = tables.alerts.read().select(
+        changes = tables.alerts().select(
             "disruption_id", F.lit("ACKNOWLEDGED").alias("new_status"), F.lit("kim").alias("changed_by"))
         tables.set_alert_status(changes, F.lit("2024-02-01 12:00:00").cast("timestamp"))
 
-    return _twice_synced(t, acknowledge).alerts.read().select("asset_id", "status", "detection_timestamp")
+    return _twice_synced(t, acknowledge).alerts().select("asset_id", "status", "detection_timestamp")
 
 
 @query
@@ -899,26 +936,49 @@ def sync_reset_sync(t):
         tables.reset()
         tables.reset()
 
-    return _twice_synced(t, reset).alerts.read().select("asset_id", "status", "detection_timestamp")
+    return _twice_synced(t, reset).alerts().select("asset_id", "status", "detection_timestamp")
 
 
 @query
 def reset_serving(t):
-    """Rows of the three serving tables after alerts and recommendations were written and cleared."""
-    tables = ServingTables(t.spark, scratch_dir(t.spark, "reset"))
+    """The rows of all three serving tables as written, and whether a reset leaves them."""
+    tables = ServingLog(t.spark, scratch_dir(t.spark, "reset"))
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     tables.sync(gold.health_with_cost(t.health(), t.cost()), now)
     tables.recommend(t.recommendations().drop("rec_id", "created_at"), now)
-    written = {
-        "alerts_before": tables.alerts.read().agg(F.count(F.lit(1))).scalar(),
-        "recommendations_before": tables.recommendations.read().agg(F.count(F.lit(1))).scalar(),
-    }
+
+    def contents():
+        return (
+            tables.live.read().select(F.lit("live").alias("table_name"), "asset_id", F.lit(None).cast("string").alias("what"))
+            .unionAll(tables.alerts().select(F.lit("alerts"), "asset_id", "risk_level"))
+            .unionAll(tables.recommendations().select(F.lit("recommendations"), "asset_id", "recommendation_text"))
+            .groupBy("table_name", "asset_id", "what").count()
+        )
+
+    before = contents().write.parquet(path := scratch_dir(t.spark, "before"))
     tables.reset()
-    return tables.live.read().agg(F.count(F.lit(1)).alias("live_rows")).withColumns({
-        **written,
-        "alerts": tables.alerts.read().agg(F.count(F.lit(1))).scalar(),
-        "recommendations": tables.recommendations.read().agg(F.count(F.lit(1))).scalar(),
-    })
+    before, after = t.spark.read.parquet(path), contents().select("table_name", "asset_id", "what", F.col("count").alias("left"))
+    same = before["table_name"].eqNullSafe(after["table_name"]) & before["asset_id"].eqNullSafe(after["asset_id"]) & before["what"].eqNullSafe(after["what"])
+    return before.join(after, same, "left").select(
+        before["table_name"], before["asset_id"], before["what"], F.col("count").alias("rows_before"), F.coalesce("left", F.lit(0)).alias("rows_after"))
+
+
+def _keyed_upsert(t: Tables, share: int) -> DataFrame:
+    """Health written over a live table of all assets, for one in ``share`` assets."""
+    table = KeyedTable(t.spark, scratch_dir(t.spark, "keyed"), S.ASSET_HEALTH_LIVE, ["asset_id"])
+    table.upsert(_as_registered(t))
+    table.upsert(t.live().filter(F.substring_index("asset_id", "_", -1).cast("long") % share == 0))
+    return table.read()
+
+
+@query
+def sink_upsert_keyed(t):
+    return _keyed_upsert(t, 1)
+
+
+@query
+def sink_upsert_keyed_1pct(t):
+    return _keyed_upsert(t, 100)
 
 
 @query

@@ -5,16 +5,8 @@ complete one. So a table can be recomputed from itself, a failed job leaves the
 place, and a batch that is run twice writes the same version twice.
 """
 
-import json
-import uuid
-from collections.abc import Callable
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rotorwatch import schemas as S
-from rotorwatch.operators import serving
-
 
 class Snapshot:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
@@ -43,7 +35,7 @@ class Snapshot:
         return self.spark.read.schema(self.schema).parquet(self._folder(found[-1]))
 
     def publish(self, df: DataFrame, version: int | None = None) -> int:
-        """Write the next version, or the given one again. For tables with one writer; others use `ServingTables`."""
+        """Write the next version, or the given one again. For tables with one writer."""
         if version is None:
             version = max(self.versions(), default=0) + 1
         columns = [F.col(f.name).cast(f.dataType) for f in self.schema]
@@ -76,176 +68,3 @@ def replace_days(df: DataFrame, path: str, ts: str = "hour_window") -> None:
         daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("day").parquet(path)
     )
-
-
-class ServingTables:
-    """Live health, alerts and recommendations under one folder, as one sequence of versions.
-
-    A version is a small state file that names the data folders of all three tables and the last batch each
-    stream has applied. It appears by a rename that fails if the number is taken; the writer
-    then starts again from the newest version. So tables change together, no writer covers what
-    another has written, and a batch that is run again finds itself applied. Additions are
-    folders of their own, joined up after ``MOST_PARTS`` of them; the last ``KEPT`` versions stay readable.
-    """
-
-    SCHEMAS = {
-        "live": S.ASSET_HEALTH_LIVE, "alerts": S.ASSET_DISRUPTION, "recommendations": S.MAINTENANCE_RECOMMENDATIONS,
-    }
-    MOST_PARTS, KEPT, ATTEMPTS = 20, 10, 20
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.live, self.alerts, self.recommendations = (ServingTable(self, name) for name in self.SCHEMAS)
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        found = self._fs.globStatus(self._hadoop.Path(f"{self.root}/versions/v*.json")) or []
-        return sorted(int(f.getPath().getName()[1:-5]) for f in found)
-
-    def state(self, version: int | None = None) -> dict:
-        """The named version, else the newest one."""
-        number = max(self.versions(), default=0) if version is None else version
-        if not number:
-            return {"version": 0, "batches": {}, "parts": {name: [] for name in self.SCHEMAS}}
-        return json.loads(self.spark.read.text(self._state_path(number), wholetext=True).first()[0])
-
-    def frame(self, name: str, state: dict) -> DataFrame:
-        parts, schema = state["parts"][name], self.SCHEMAS[name]
-        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
-
-    def _state_path(self, version: int) -> str:
-        return f"{self.root}/versions/v{version:012d}.json"
-
-    def _write(self, name: str, df: DataFrame) -> str:
-        path = f"{self.root}/data/{name}-{uuid.uuid4().hex}"
-        schema = self.SCHEMAS.get(name)
-        (df.select(*[F.col(f.name).cast(f.dataType) for f in schema]) if schema else df).write.parquet(path)
-        return path
-
-    def _delete(self, path: str) -> None:
-        self._fs.delete(self._hadoop.Path(path), True)
-
-    def _publish(self, state: dict) -> bool:
-        """Put the state file in place; False if another writer has taken its number."""
-        draft, path = f"{self.root}/drafts/{uuid.uuid4().hex}", self._state_path(state["version"])
-        out = self._fs.create(self._hadoop.Path(draft))
-        out.write(bytearray(json.dumps(state), "utf-8"))
-        out.close()
-        self._fs.mkdirs(self._hadoop.Path(f"{self.root}/versions"))
-        files = self._hadoop.FileContext.getFileContext(
-            self._hadoop.Path(self.root).toUri() if "://" in self.root else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        no_overwrite = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
-        try:
-            files.rename(self._hadoop.Path(draft), self._hadoop.Path(path), no_overwrite)
-            return True
-        except Py4JJavaError as error:
-            if "FileAlreadyExistsException" not in str(error.java_exception):
-                raise
-            self._delete(draft)
-            return False
-
-    def commit(self, change: Callable[[dict], dict], stream: str = "", batch: int | None = None) -> dict[str, str]:
-        """Apply ``change``: from a state to {table: (rows, replace)}; rows None clears a table.
-
-        Gives the folder written for each table, none if the batch was applied before.
-        """
-        for _ in range(self.ATTEMPTS):
-            state = self.state()
-            if batch is not None and state["batches"].get(stream, -1) >= batch:
-                return {}
-            written, parts = {}, dict(state["parts"])
-            for name, (rows, replace) in change(state).items():
-                if rows is not None:
-                    written[name] = self._write(name, rows)
-                parts[name] = ([] if replace else parts[name]) + ([written[name]] if name in written else [])
-            batches = state["batches"] | ({stream: batch} if batch is not None else {})
-            if self._publish({"version": state["version"] + 1, "batches": batches, "parts": parts}):
-                full = [name for name, own in parts.items() if len(own) > self.MOST_PARTS]
-                if full:
-                    self.commit(lambda now: {name: (self.frame(name, now), True) for name in full})
-                self._retain()
-                return written
-            for path in written.values():
-                self._delete(path)
-        raise RuntimeError(f"other writers were faster {self.ATTEMPTS} times")
-
-    def _retain(self) -> None:
-        """Drop versions that are no longer kept, and the data that only they name."""
-        versions = self.versions()
-        named = lambda numbers: {p for v in numbers for parts in self.state(v)["parts"].values() for p in parts}
-        old = versions[:-self.KEPT]
-        if old:
-            for path in named(old) - named(versions[-self.KEPT:]):
-                self._delete(path)
-            for version in old:
-                self._delete(self._state_path(version))
-
-    @staticmethod
-    def _next_id(table: DataFrame, column: str):
-        return F.coalesce(table.agg(F.max(column)).scalar(), F.lit(0)) + 1
-
-    def sync(
-        self, records: DataFrame, now, batch: int | None = None, gap_hours: float = 1,
-        only_transitions: bool = False, stream: str = "sync",
-    ) -> None:
-        """Put health-with-cost records into the live table and raise alerts for assets at risk.
-
-        With a ``batch`` number the sync can be repeated without a second effect.
-        ``only_transitions`` alerts when an asset enters an at-risk level, instead of whenever it
-        is at risk and was not alerted within the gap.
-        """
-        staged = self._write("records", records)
-        records = self.spark.read.schema(records.schema).parquet(staged)
-        fresh = serving.newest_by_key(records, ["asset_id"], "calculated_at")
-
-        def change(state: dict) -> dict:
-            live, alerts = self.frame("live", state), self.frame("alerts", state)
-            alarms = self._entering(records, live) if only_transitions else fresh
-            new = serving.new_disruptions(alarms, alerts, now, gap_hours)
-            numbered = serving.with_serial_id(
-                new, ["asset_id"], self._next_id(alerts, "disruption_id"), "disruption_id"
-            )
-            updates = serving.live_health(fresh, now)
-            return {"alerts": (numbered, False), "live": (serving.upsert(live, updates, ["asset_id"], now=now), True)}
-
-        try:
-            self.commit(change, stream, batch)
-        finally:
-            self._delete(staged)
-
-    @staticmethod
-    def _entering(records: DataFrame, live: DataFrame) -> DataFrame:
-        """The newest entry of each asset into an at-risk level, seen from the live table on."""
-        before = live.select(
-            "asset_id", "calculated_at", "risk_level", F.lit(True).alias("_before")
-        )
-        history = records.withColumn("_before", F.lit(False)).unionByName(before, allowMissingColumns=True)
-        entered = serving.risk_changes(history).filter(~F.col("_before"))
-        return serving.newest_by_key(entered, ["asset_id"], "calculated_at")
-
-    def set_alert_status(self, changes: DataFrame, now) -> None:
-        self.commit(lambda state: {"alerts": (serving.update_alerts(self.frame("alerts", state), changes, now), True)})
-
-    def recommend(self, recs: DataFrame, now, session: str | None = None) -> DataFrame:
-        """Append recommendations of known assets, numbered on from the last one; gives back the rows as stored."""
-
-        def change(state: dict) -> dict:
-            first = self._next_id(self.frame("recommendations", state), "rec_id")
-            new = serving.recommendations_to_append(recs, self.frame("live", state), now, first, session)
-            return {"recommendations": (new, False)}
-
-        return self.spark.read.schema(self.SCHEMAS["recommendations"]).parquet(self.commit(change)["recommendations"])
-
-    def reset(self) -> None:
-        """Clear alerts and recommendations; live health stays."""
-        self.commit(lambda state: {"alerts": (None, True), "recommendations": (None, True)})
-
-
-class ServingTable:
-    def __init__(self, tables: ServingTables, name: str):
-        self.tables, self.name, self.schema = tables, name, tables.SCHEMAS[name]
-
-    def read(self) -> DataFrame:
-        """The rows of the newest version."""
-        return self.tables.frame(self.name, self.tables.state())

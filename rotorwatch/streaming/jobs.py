@@ -1,14 +1,12 @@
-"""Structured Streaming jobs: bronze to silver, hourly counts, smoothing, serving sync."""
+"""Structured Streaming jobs: bronze to silver, hourly counts, serving sync."""
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from rotorwatch import schemas as S
 from rotorwatch.operators import enrich, quality
-from rotorwatch.operators.smoothing import rolling_mean
-from rotorwatch.sources.snapshots import ServingTables, Snapshot
+from rotorwatch.sources.serving_log import ServingLog
 
 
 def _started(writer, every: str | None) -> StreamingQuery:
@@ -100,57 +98,20 @@ class LateRows(StreamingQueryListener):
         pass
 
 
-def run_rolling_stream(
-    stream: DataFrame, root: str, checkpoint: str, columns: dict[str, str],
-    points: int = S.SMOOTHING_POINTS, order: tuple[str, ...] = ("timestamp",),
-    every: str | None = None, **options,
-) -> StreamingQuery:
-    """Trailing mean on a live stream: results in ``root/smoothed``, late rows in ``root/late``.
-
-    Row windows are not allowed on streams, so each micro-batch is smoothed by the batch
-    operator, with the last readings of each asset so far put in front of it. Those are kept
-    as a small snapshot per batch, and every output folder bears the number of its batch: a
-    batch that is run again overwrites its own results. A reading older than those its asset
-    already has can no longer change the past and goes to ``late``.
-    """
-    spark, order = stream.sparkSession, list(order)
-    kept = ["asset_id", *order, *columns]
-    fields = {f.name: f for f in stream.schema}
-    tails = Snapshot(spark, f"{root}/tails", type(stream.schema)([fields[c] for c in kept]))
-
-    def smooth(batch: DataFrame, batch_id: int) -> None:
-        before = tails.read(before=batch_id + 1)
-        newest = before.groupBy("asset_id").agg(F.max(F.struct(*order)).alias("_newest"))
-        marked = batch.join(newest, "asset_id", "left").withColumn(
-            "_late", F.coalesce(F.struct(*order) <= F.col("_newest"), F.lit(False))
-        ).drop("_newest").persist()
-        fresh = marked.filter(~F.col("_late")).withColumn("_past", F.lit(False)).drop("_late")
-        both = fresh.unionByName(before.withColumn("_past", F.lit(True)), allowMissingColumns=True)
-        smoothed = rolling_mean(both, columns, points, order=order, **options)
-        result = smoothed.filter(~F.col("_past")).drop("_past")
-        result.write.mode("overwrite").parquet(f"{root}/smoothed/batch={batch_id}")
-        late = marked.filter("_late").drop("_late")
-        late.write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
-        newest_first = Window.partitionBy("asset_id").orderBy(*[F.desc(c) for c in order])
-        last = both.select(*kept).withColumn("_back", F.row_number().over(newest_first))
-        tails.publish(last.filter(F.col("_back") < points), batch_id + 1)
-        marked.unpersist()
-
-    return _started(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(smooth), every)
-
-
 def run_sync_stream(
     records: DataFrame, root: str, checkpoint: str, every: str | None = None, now=None, **options
 ) -> StreamingQuery:
     """After each run of the gold tables: update live health and raise alerts.
 
-    The serving tables keep the number of the last batch, so a repeated batch has no second
-    effect. ``now`` defaults to the clock.
+    The serving log keeps which batches were done, so a repeated batch has no second effect. ``now``
+    defaults to the clock.
     """
-    tables = ServingTables(records.sparkSession, root)
+    tables = ServingLog(records.sparkSession, root)
 
     def sync(batch: DataFrame, batch_id: int) -> None:
         clock = F.current_timestamp() if now is None else now
+        batch.persist()
         tables.sync(batch, clock, batch_id, **options)
+        batch.unpersist()
 
     return _started(records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sync), every)

@@ -10,7 +10,8 @@ from rotorwatch import schemas as S
 from rotorwatch.functions.catalog import register_functions
 from rotorwatch.operators import search, serving
 from rotorwatch.sources import files
-from rotorwatch.sources.snapshots import ServingTables, Snapshot, materialize, replace_days
+from rotorwatch.sources.serving_log import KeyedTable, ServingLog
+from rotorwatch.sources.snapshots import Snapshot, materialize, replace_days
 
 NOW = datetime(2024, 1, 1, 12)
 RECORDS = ("asset_id string, health_score double, risk_level string, current_vibration double, current_temp double, "
@@ -68,86 +69,117 @@ def test_serial_ids_have_no_gaps(spark):
 
 
 def test_sync_is_idempotent_and_counts_ids_on(spark, folder):
-    tables = ServingTables(spark, folder)
+    tables = ServingLog(spark, folder)
     tables.sync(_records(spark, ("A", 10.0, "CRITICAL"), ("B", 90.0, "LOW")), _now(), 1)
     tables.sync(_records(spark, ("B", 40.0, "HIGH"), ("C", 20.0, "CRITICAL")), _now(1), 2)
-    first = rows(tables.alerts.read().select("disruption_id", "asset_id"))
+    first = rows(tables.alerts().select("disruption_id", "asset_id"))
     live = rows(tables.live.read())
     assert sorted(i for i, _ in first) == [1, 2, 3]
     tables.sync(_records(spark, ("B", 40.0, "HIGH"), ("C", 20.0, "CRITICAL")), _now(1), 2)
-    assert rows(tables.alerts.read().select("disruption_id", "asset_id")) == first
+    assert rows(tables.alerts().select("disruption_id", "asset_id")) == first
     assert rows(tables.live.read()) == live and len(live) == 3
 
 
 def test_nothing_is_lost_between_batches(spark, folder):
     """Status changes, additions and resets between batches all stay, whoever writes last."""
-    tables = ServingTables(spark, folder)
+    tables = ServingLog(spark, folder)
     tables.sync(_records(spark, ("A", 10.0, "CRITICAL")), _now(), 0)
     changes = spark.createDataFrame([(1, "RESOLVED", "kim")], "disruption_id int, new_status string, changed_by string")
     tables.set_alert_status(changes, _now(1))
     tables.sync(_records(spark, ("B", 20.0, "CRITICAL"), at=NOW + timedelta(hours=2)), _now(2), 1)
-    assert rows(tables.alerts.read().select("disruption_id", "status")) == [(1, "RESOLVED"), (2, "ACTIVE")]
+    assert rows(tables.alerts().select("disruption_id", "status")) == [(1, "RESOLVED"), (2, "ACTIVE")]
     tables.reset()
     tables.reset()
     tables.sync(_records(spark, ("B", 20.0, "CRITICAL"), at=NOW + timedelta(hours=2)), _now(2), 1)  # applied before
-    assert tables.alerts.read().isEmpty()
+    assert tables.alerts().isEmpty()
     tables.sync(_records(spark, ("C", 20.0, "CRITICAL"), at=NOW + timedelta(hours=9)), _now(9), 2)
-    assert rows(tables.alerts.read().select("asset_id")) == [("C",)]
+    assert rows(tables.alerts().select("asset_id")) == [("C",)]
     assert sorted(r.asset_id for r in tables.live.read().collect()) == ["A", "B", "C"]
 
 
-def test_two_writers(spark, folder):
-    """A writer that was overtaken starts again from the newest version."""
-    slow, fast, turns = ServingTables(spark, folder), ServingTables(spark, folder), []
-    slow.sync(_records(spark, ("A", 10.0, "CRITICAL")), _now(), 0)
-
-    def change(state):
-        if not turns:
-            turns.append(fast.sync(_records(spark, ("B", 10.0, "CRITICAL")), _now(), 1))
-        return {"alerts": (slow.frame("alerts", state).withColumn("status", F.lit("ACKNOWLEDGED")), True)}
-
-    slow.commit(change)
-    assert slow.versions() == [1, 2, 3]
-    assert rows(fast.alerts.read().select("asset_id", "status")) == [("A", "ACKNOWLEDGED"), ("B", "ACKNOWLEDGED")]
+def test_alerts_are_written_once(spark, folder):
+    """Status changes and resets add rows of their own; files of alerts stay as they are."""
+    tables = ServingLog(spark, folder, 4)
+    tables.sync(_records(spark, ("A", 10.0, "CRITICAL"), ("B", 10.0, "HIGH")), _now(), 0)
+    files_before = set(spark.read.parquet(f"{folder}/alerts/batch=0").inputFiles())
+    for status, hour in (("ACKNOWLEDGED", 1), ("RESOLVED", 2), ("ACKNOWLEDGED", 3)):
+        tables.set_alert_status(spark.createDataFrame([(1, status, f"by{hour}")], "disruption_id int, new_status string, changed_by string"), _now(hour))
+    tables.set_alert_status(spark.createDataFrame([(2, s, "x") for s in ("RESOLVED", "ACTIVE")], "disruption_id int, new_status string, changed_by string"), _now(1))
+    got = rows(tables.alerts().select("disruption_id", "status", "resolved_by", "resolved_at"))
+    assert got == [(1, "ACKNOWLEDGED", "by2", NOW + timedelta(hours=2)), (2, "RESOLVED", "x", NOW + timedelta(hours=1))]
+    assert set(spark.read.parquet(f"{folder}/alerts/batch=0").inputFiles()) == files_before
+
+
+def test_broken_batch_goes_on(spark, folder, monkeypatch):
+    """A batch that fails between alerts and live health raises its transitions once, when it is run again."""
+    tables, kw = ServingLog(spark, folder, 4), {"only_transitions": True, "gap_hours": 0}
+    records = _records(spark, ("A", 10.0, "CRITICAL"))
+    real = KeyedTable.upsert
+
+    def fails_after(self, *args, **kwargs):
+        real(self, *args, **kwargs)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(KeyedTable, "upsert", fails_after)
+    with pytest.raises(RuntimeError, match="lost"):
+        tables.sync(records, _now(), 0, **kw)
+    monkeypatch.setattr(KeyedTable, "upsert", real)
+    tables.sync(records, _now(5), 0, **kw)
+    assert rows(tables.alerts().select("asset_id", "detection_timestamp")) == [("A", NOW)]
+    assert tables.live.read().count() == 1
 
 
-def test_old_versions_go(spark, folder, monkeypatch):
-    monkeypatch.setattr(ServingTables, "KEPT", 2)
-    monkeypatch.setattr(ServingTables, "MOST_PARTS", 2)
-    tables = ServingTables(spark, folder)
-    for i in range(5):
-        tables.sync(_records(spark, (f"A{i}", 10.0, "CRITICAL")), _now(), i)
-    assert len(tables.versions()) == 2 and tables.alerts.read().count() == tables.live.read().count() == 5
-    assert all(len(tables.state()["parts"][name]) <= 2 for name in ("alerts", "live"))
+def test_reset_of_an_empty_store(spark, folder):
+    tables = ServingLog(spark, folder, 4)
+    tables.reset()
+    tables.sync(_records(spark, ("A", 10.0, "CRITICAL")), _now())
+    assert tables.alerts().count() == 1
+
+
+def test_keyed_table_replaces_touched_folders_only(spark, folder):
+    schema = spark.createDataFrame([], "k long, v string").schema
+    table = KeyedTable(spark, folder, schema, ["k"], 16)
+    table.upsert(spark.range(1000).selectExpr("id AS k", "'old' AS v"))
+    before = set(spark.read.parquet(f"{folder}/rows").inputFiles())
+    table.upsert(spark.createDataFrame([(7, "new"), (7, "new"), (5000, "new")], "k long, v string"))
+    after = set(spark.read.parquet(f"{folder}/rows").inputFiles())
+    assert rows(table.read().groupBy("v").count()) == [("new", 2), ("old", 999)]
+    assert 14 <= len({f.split("bucket=")[1].split("/")[0] for f in before & after}) < 16
+    assert "PartitionFilters: [isnotnull(bucket" in table.touched(spark.read.schema(table.stored).parquet(f"{folder}/staged"))._jdf.queryExecution().toString() or (
+        "PartitionFilters: [bucket" in table.touched(spark.read.schema(table.stored).parquet(f"{folder}/staged"))._jdf.queryExecution().toString())
+    table.upsert(spark.createDataFrame([(7, "new"), (5000, "new")], "k long, v string"))
+    assert rows(table.read().groupBy("v").count()) == [("new", 2), ("old", 999)]
+    table.upsert(spark.createDataFrame([], schema))
+    assert table.read().count() == 1001
 
 
 def test_short_gap(spark, folder):
     """An alert a quarter of an hour old holds back another for half an hour."""
-    tables = ServingTables(spark, folder)
+    tables = ServingLog(spark, folder)
     tables.sync(_records(spark, ("A", 10.0, "CRITICAL")), _now(), 0, 0.5)
     quarter = NOW + timedelta(minutes=15)
     tables.sync(_records(spark, ("A", 10.0, "CRITICAL"), at=quarter), F.lit(quarter), 1, 0.5)
-    assert tables.alerts.read().count() == 1
+    assert tables.alerts().count() == 1
     later = NOW + timedelta(minutes=31)
     tables.sync(_records(spark, ("A", 10.0, "CRITICAL"), at=later), F.lit(later), 2, 0.5)
-    assert tables.alerts.read().count() == 2
+    assert tables.alerts().count() == 2
 
 
 def test_alert_only_on_transition(spark, folder):
-    tables = ServingTables(spark, folder)
+    tables = ServingLog(spark, folder)
     kw = {"only_transitions": True, "gap_hours": 0}
     tables.sync(_records(spark, ("A", 10.0, "CRITICAL")), _now(), 1, **kw)
     later = NOW + timedelta(hours=5)
     tables.sync(_records(spark, ("A", 9.0, "CRITICAL"), ("B", 50.0, "HIGH"), at=later), _now(5), 2, **kw)
-    assert rows(tables.alerts.read().select("asset_id")) == [("A",), ("B",)]
+    assert rows(tables.alerts().select("asset_id")) == [("A",), ("B",)]
 
 
 def test_status_recommendations_and_reset(spark, folder):
-    tables = ServingTables(spark, folder)
+    tables = ServingLog(spark, folder)
     tables.sync(_records(spark, ("A", 10.0, "CRITICAL")), _now())
     changes = spark.createDataFrame([(1, "RESOLVED", "kim")], "disruption_id int, new_status string, changed_by string")
     tables.set_alert_status(changes, _now(1))
-    alert = tables.alerts.read().first()
+    alert = tables.alerts().first()
     assert (alert.status, alert.resolved_by, alert.resolved_at) == ("RESOLVED", "kim", NOW + timedelta(hours=1))
     recs = spark.createDataFrame(
         [("A", "swap bearing", 1.0, 2.0, 3.0, "MONITOR", ["c1"], None), ("Z", "x", 1.0, 2.0, 3.0, "MONITOR", None, None)],
@@ -155,7 +187,7 @@ def test_status_recommendations_and_reset(spark, folder):
         "net_recommendation string, vector_search_sources array<string>, manual_references array<string>")
     tables.recommend(recs, _now())
     tables.recommend(recs, _now(1))
-    saved = tables.recommendations.read()
+    saved = tables.recommendations()
     assert rows(saved.select("rec_id", "asset_id", "health_score_at_time", "manual_references")) == [
         (1, "A", 10.0, []), (2, "A", 10.0, [])]
     assert serving.confirmation(saved).filter("rec_id = 2").first().message == "Recommendation REC-00002 saved for A"
@@ -163,7 +195,7 @@ def test_status_recommendations_and_reset(spark, folder):
     assert search.provenance(saved, chunks).filter("content = 'text'").count() == 2
     assert rows(serving.recent_recs(saved, 1).select("rec_id")) == [(2,)]
     tables.reset()
-    assert tables.alerts.read().isEmpty() and tables.recommendations.read().isEmpty()
+    assert tables.alerts().isEmpty() and tables.recommendations().isEmpty()
     assert tables.live.read().count() == 1
 
 

@@ -1,14 +1,16 @@
 """Streams over small files give what the batch operators give."""
 
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from rotorwatch import schemas as S
-from rotorwatch.operators import enrich, smoothing
+from rotorwatch.operators import enrich, serving, smoothing
 from rotorwatch.sources import files
-from rotorwatch.streaming import jobs
+from rotorwatch.streaming import jobs, state
 
 SCHEMA = "event_id long, timestamp timestamp, asset_id string, vibration_mm_s double, temp_c double"
 
@@ -23,8 +25,6 @@ def _readings(spark, n, seed=1):
 
 def _land(df, folder, parts):
     """One file per time range, in order."""
-    import time
-
     for low, high in parts:
         df.filter((F.col("event_id") >= low) & (F.col("event_id") < high)).coalesce(1).write.mode("append").parquet(folder)
         time.sleep(0.02)
@@ -34,30 +34,52 @@ def _stream(spark, folder):
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_rolling_over_batches_equals_batch(spark, folder):
-    df = _readings(spark, 240)
-    _land(df, f"{folder}/in", [(0, 3), (3, 100), (100, 101), (101, 240)])
-    jobs.run_rolling_stream(
-        _stream(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/cp", {"vibration_mm_s": "m"},
-        order=("timestamp", "event_id"), min_hot_rows=15,
-    ).awaitTermination()
-    got = spark.read.parquet(f"{folder}/out/smoothed")
-    assert got.select("batch").distinct().count() == 4
+def _rolled(spark, folder, delay):
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+    rolled = state.rolling_stream(stream, {"vibration_mm_s": "m"}, delay, order=("timestamp", "event_id"))
+    jobs.write_stream(rolled, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    return state.newest_issue(spark.read.parquet(f"{folder}/out"), ("timestamp", "event_id"))
+
+
+def test_rolling_of_shuffled_deliveries_equals_batch(spark, folder):
+    """Readings up to 100 minutes late, over runs that go on from the checkpoint; null values and times included."""
+    df = _readings(spark, 300).withColumn("vibration_mm_s", F.when(F.col("event_id") % 17 > 0, F.col("vibration_mm_s")))
+    df = df.withColumn("timestamp", F.when(F.col("event_id") != 3, F.col("timestamp")))
+    part = F.floor((F.col("event_id") + F.pmod(F.xxhash64("event_id"), F.lit(20))) / 100)
+    for i in range(4):
+        df.filter(part == i).write.mode("append").parquet(f"{folder}/in")
+        got = _rolled(spark, folder, "2 hours")
     batch = smoothing.rolling_mean(df, {"vibration_mm_s": "m"}, order=["timestamp", "event_id"])
     assert rows(got.select("event_id", F.round("m", 9))) == rows(batch.select("event_id", F.round("m", 9)))
-    assert spark.read.schema(SCHEMA).parquet(f"{folder}/out/late").isEmpty()
-
-
-def test_rolling_sets_late_rows_aside(spark, folder):
-    df = _readings(spark, 60)
-    _land(df, f"{folder}/in", [(30, 60), (0, 5)])
-    jobs.run_rolling_stream(
-        _stream(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/cp", {"vibration_mm_s": "m"},
-        order=("timestamp", "event_id"),
-    ).awaitTermination()
-    late = spark.read.parquet(f"{folder}/out/late").select("event_id")
-    smoothed = spark.read.parquet(f"{folder}/out/smoothed").select("event_id")
-    assert rows(late) == [(i,) for i in range(5)] and smoothed.count() == 30
+    assert got.filter("late").isEmpty() and spark.read.parquet(f"{folder}/out").count() > 300
+
+
+def test_rolling_keeps_rows_that_are_too_late(spark, folder):
+    df = _readings(spark, 120).withColumn("asset_id", F.lit("A"))
+    for low, high in ((60, 120), (0, 60)):
+        df.filter((F.col("event_id") >= low) & (F.col("event_id") < high)).write.mode("append").parquet(f"{folder}/in")
+        got = _rolled(spark, folder, "10 minutes")
+    assert rows(got.filter("late").select("event_id")) == rows(df.filter("event_id < 60").select("event_id")) and got.filter("late AND m IS NOT NULL").isEmpty()
+    alone = smoothing.rolling_mean(df.filter("event_id >= 60"), {"vibration_mm_s": "m"}, order=["timestamp", "event_id"])
+    assert rows(got.filter("NOT late").select("event_id", F.round("m", 9))) == rows(alone.select("event_id", F.round("m", 9)))
+
+
+@pytest.mark.parametrize("forget_after", [None, "20 hours"])
+def test_risk_entries_of_shuffled_deliveries_equal_batch(spark, folder, forget_after):
+    rng = random.Random(4)
+    data = [(i, rng.choice("AAB") if i < 150 else "A", rng.choice(["LOW", "HIGH", "CRITICAL", "UNKNOWN", None])) for i in range(200)] + [(199, "C", "HIGH")]
+    times = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("i") * 3600)
+    df = spark.createDataFrame(data, "i long, asset_id string, risk_level string").withColumn("calculated_at", times)
+    end = spark.createDataFrame([(None, 1_800_000_000, "LOW")], "asset_id string, s long, risk_level string").withColumn("calculated_at", F.timestamp_seconds("s"))
+    part = F.floor((F.col("i") + F.pmod(F.xxhash64("i"), F.lit(8))) / 70)
+    columns = ["asset_id", "calculated_at", "risk_level"]
+    for piece in [df.filter(part == i) for i in range(3)] + [end]:
+        piece.select(*columns).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(df.select(*columns).schema).parquet(f"{folder}/in")
+        jobs.write_stream(state.risk_entries_stream(stream, "9 hours", forget_after), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    assert rows(got.select("asset_id", "calculated_at", "risk_level", "previous_risk")) == rows(
+        serving.risk_changes(df.select(*columns)).select("asset_id", "calculated_at", "risk_level", "previous_risk"))
 
 
 def test_csv_to_silver(spark, folder):
