@@ -110,14 +110,16 @@ def in_groups(arrays: list[np.ndarray], words: int = 1 << 17):
 
 
 def numbered(docs: DataFrame, items) -> DataFrame:
-    """doc_id and the term numbers of every document, written once."""
+    """doc_id, text_id (a hash of the text) and the term numbers of every document, written once."""
 
     def run(batches):
         for batch in batches:
             found = [term_numbers(items.value, t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.binary())], ["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_id").cast(pa.string()), pa.array(found, pa.binary())], ["doc_id", "text_id", "words"])
 
-    return landed(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary"), "term-numbers")
+    texts = docs.select("doc_id", F.sha2("text", 256).alias("text_id"), "text")
+    return landed(texts.mapInArrow(run, "doc_id long, text_id string, words binary"), "term-numbers")
 
 
 def occurrences(texts: DataFrame, size: int, kind: str) -> tuple[np.ndarray, int]:
@@ -271,6 +273,11 @@ class Search:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, covered): documents (doc_id, text) that hold an item of ``benchmark`` (item_id, text), or its paraphrase."""
+    return hits(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text_id, item_id, covered) of every text that holds an item; text_id is the text's SHA-256."""
     spark = docs.sparkSession
     use_python(spark)
     rows = benchmark.select("item_id", "text").distinct()
@@ -278,7 +285,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if n_words > 40 * MOST_TERMS:
         raise ValueError("this benchmark is too large for one broadcast; run it in parts")
     items = Items.of(sorted(map(tuple, rows.collect()), key=repr))
-    shape = "doc_id long, item_id long, covered double"
+    shape = "doc_id long, text_id string, item_id long, covered double"
     if not items.words:
         return spark.createDataFrame([], shape)
     shared = spark.sparkContext.broadcast(items)
@@ -289,16 +296,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def run(batches):
         ids_of, kind = search.value.items.ids, search.value.items.kind
         for batch in batches:
-            ids, found = batch.column("doc_id"), []
+            ids, text_ids, found = batch.column("doc_id"), batch.column("text_id"), []
             for at, group in in_groups(number_arrays(batch.column("words"), kind)):
-                found += [(ids[at + t].as_py(), ids_of[i], c) for (t, i), c in search.value.hits(group).items()]
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "covered"])
+                found += [(ids[at + t].as_py(), text_ids[at + t].as_py(), ids_of[i], c) for (t, i), c in search.value.hits(group).items()]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_id", "item_id", "covered"])
 
-    return texts.mapInArrow(run, shape).groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"))
+    return texts.mapInArrow(run, shape)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs``, with all columns, without the documents that hold a benchmark item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc_id"]), "left_anti")
+    """``docs``, with all columns, without the documents that hold a benchmark item.
+
+    A document is a doc_id with a text: texts that share a number, or have none, are judged each by its own.
+    """
+    bad = hits(docs, benchmark).select(F.col("doc_id").alias("_doc_id"), F.col("text_id").alias("_text_id")).distinct()
+    same = docs["doc_id"].eqNullSafe(bad["_doc_id"]) & F.sha2(docs["text"], 256).eqNullSafe(bad["_text_id"])
+    return docs.join(bad, same, "left_anti")

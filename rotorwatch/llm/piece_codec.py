@@ -11,7 +11,9 @@ decode to spaces there, as with the library; ``round_trip`` is then false.
 """
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +29,51 @@ class StreamingViterbi:
     """``feed`` takes characters and yields settled ids; ``finish`` yields the rest."""
 
     def __init__(self, model: unigram.Unigram):
-        self.model, self.text, self.checked = model, "", 0  # positions count from the window's start
+        self.model, self.text = model, ""  # positions count from the window's start
         self.best, self.back = [0.0], [None]  # back: where the last piece starts, and its id
 
     def feed(self, more: str) -> Iterator[int]:
-        """Positions up to the end less one piece have all their candidates; they can be settled."""
-        self.text += more
+        """``more`` is taken in by small blocks, so that the window stays small."""
         block = 4 * self.model.longest
-        while self.checked + self.model.longest < len(self.text):
-            self._extend(min(self.checked + block, len(self.text) - self.model.longest))
-            if self.checked >= block:
+        for at in range(0, len(more), block):
+            self._extend(more[at:at + block])
+            if len(self.text) >= block:
                 yield from self._settle()
 
     def finish(self) -> Iterator[int]:
-        self._extend(len(self.text))
         yield from self._give(len(self.text))
 
-    def _extend(self, upto: int) -> None:
-        """Offer every piece that starts before ``upto`` to the position where it ends."""
-        model, text, best, back = self.model, self.text, self.best, self.back
-        pieces, prefixes, longest, total = model.pieces, model.prefixes, model.longest, len(text)
-        more = total + 1 - len(best)
-        best += [float("-inf")] * more
-        back += [None] * more
-        for start in range(self.checked, upto):
-            score, alone = best[start], False
-            for end in range(start + 1, min(start + longest, total) + 1):
-                piece = text[start:end]
-                if piece in pieces:
-                    number, gain = pieces[piece]
-                    if end == start + 1:
-                        alone = True
-                    if score + gain > best[end]:
-                        best[end], back[end] = score + gain, (start, number)
-                if piece not in prefixes:
-                    break
-            if not alone and score + model.unknown_score > best[start + 1]:
-                best[start + 1], back[start + 1] = score + model.unknown_score, (start, None)
-        self.checked = upto
+    def _extend(self, more: str) -> None:
+        """Best score and last piece of every new position, from the pieces that end there; of equal scores the longest piece stays."""
+        best, back, unknown = self.best, self.back, self.model.unknown_score
+        overlap = min(len(self.text), self.model.longest - 1)  # a piece may start so far back
+        base = overlap - len(self.text) - 1  # a match that ends with the i-th character searched ends at position i - base
+        open_end, alone = len(best), False  # alone: the character before open_end is a piece
+        best += [float("-inf")] * len(more)
+        back += [None] * len(more)
+        searched = self.text[len(self.text) - overlap:] + more if overlap else more
+        self.text += more
+        for last, (length, score, number) in self.model.matches.iter(searched):
+            end = last - base
+            if end < open_end:
+                continue  # ends in the block before
+            while open_end < end:
+                if not alone and best[open_end - 1] + unknown > best[open_end]:
+                    best[open_end], back[open_end] = best[open_end - 1] + unknown, (open_end - 1, None)
+                open_end, alone = open_end + 1, False
+            offered = best[end - length] + score
+            if offered > best[end]:
+                best[end], back[end] = offered, (end - length, number)
+            if length == 1:
+                alone = True
+        while open_end < len(best):
+            if not alone and best[open_end - 1] + unknown > best[open_end]:
+                best[open_end], back[open_end] = best[open_end - 1] + unknown, (open_end - 1, None)
+            open_end, alone = open_end + 1, False
 
     def _settle(self) -> Iterator[int]:
-        """Give out what lies before the boundary where all open paths meet."""
-        open_ends = {e for e in range(self.checked, len(self.best)) if self.back[e]}
+        """Give out what lies before the boundary where the paths to all positions that a later piece may start at meet."""
+        open_ends = set(range(len(self.text) - self.model.longest + 1, len(self.text) + 1))
         while len(open_ends) > 1:
             last = max(open_ends)
             open_ends.remove(last)
@@ -85,7 +90,7 @@ class StreamingViterbi:
             at = start
         for ids in reversed(path):
             yield from ids
-        self.text, self.best, self.checked = self.text[end:], self.best[end:], self.checked - end
+        self.text, self.best = self.text[end:], self.best[end:]
         self.back = [None, *(b and (b[0] - end, b[1]) for b in self.back[end + 1:])]
 
 
@@ -115,7 +120,7 @@ class PartCache:
             known = cache.get(part)
             if known is None:
                 stream = StreamingViterbi(self.model)
-                known = np.array([*stream.feed(part), *stream.finish()], "<i4").tobytes()
+                known = array("i", chain(stream.feed(part), stream.finish())).tobytes()
                 if len(part) <= 64:
                     if len(cache) >= CACHED_PARTS:
                         cache.clear()

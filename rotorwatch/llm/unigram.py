@@ -8,7 +8,9 @@ of its own costs the lowest score less 10 and becomes its UTF-8 bytes.
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import ahocorasick
 import public_tokenizers
 
 SPACE = "▁"
@@ -25,6 +27,15 @@ class Unigram:
     segments: str  # pattern of the parts between cut points that no piece crosses
     prefixes: frozenset = field(repr=False)
 
+    @cached_property
+    def matches(self) -> ahocorasick.Automaton:
+        """Finds the pieces that end at each position, the longest first: length, score and id."""
+        found = ahocorasick.Automaton()
+        for piece, (number, score) in self.pieces.items():
+            found.add_word(piece, (len(piece), score, number))
+        found.make_automaton()
+        return found
+
 
 def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")

@@ -42,13 +42,15 @@ def test_contaminated(spark):
             changed[at] = "changedword"
         docs.append((1200 + k, prose(40) + "\n" + " ".join(changed) + "\n" + prose(5000), "e"))
         wanted |= {(1000 + k, item), (1100 + k, item), (1200 + k, item)}
-    docs += [(2000, None, "e"), (2001, "", "e"), (None, items[1][1], "e"), (1000, docs[300][1], "e")]
+    clean = prose(80)
+    docs += [(2000, None, "e"), (2001, "", "e"), (None, items[1][1], "e"), (1000, docs[300][1], "e"), (None, clean, "e"), (None, None, "e"), (1000, clean, "e")]
     frame = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     benchmark = spark.createDataFrame([(i, t, "b") for i, t in items + items[:1]], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, benchmark).collect()}
     assert got == wanted | {(None, 1)}
     kept = decontaminate.clean(frame, benchmark)
-    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [*range(300), 2000, 2001]
+    assert kept.columns == frame.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [*range(300), 2000, 2001, None, None, 1000]))
+    assert {r.text for r in kept.filter("doc_id IS NULL OR doc_id = 1000").collect()} == {None, clean}
     assert decontaminate.clean(frame, benchmark.limit(0)).count() == len(docs)
     assert decontaminate.contaminated(frame.limit(0), benchmark).count() == 0
 
@@ -101,7 +103,7 @@ def test_pipeline_of_nothing(spark, corpus):
 
 
 def test_every_operator_is_registered():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries()) and set(ORACLE_SQL) <= set(driver.oracle_sql())
 
 

@@ -69,6 +69,19 @@ def test_window_stays_small():
     assert largest < 20 * MODEL.longest
 
 
+def test_window_stays_small_in_one_long_word(monkeypatch):
+    """A word fed as a whole needs no more than one fed in bits, and time in proportion to its length."""
+    largest, extend = [0], piece_codec.StreamingViterbi._extend
+
+    def watched(self, upto):
+        extend(self, upto)
+        largest[0] = max(largest[0], len(self.text), len(self.best))
+
+    monkeypatch.setattr(piece_codec.StreamingViterbi, "_extend", watched)
+    assert len(piece_codec.PartCache(MODEL).ids("abthe" * 60_000)) > 0
+    assert largest[0] < 20 * MODEL.longest
+
+
 def test_documents(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "a b", "y"), (3, "  ", "z")], "doc_id long, text string, ids string")
     rows = piece_codec.encode_documents(docs).collect()
