@@ -657,6 +657,7 @@ SELECT *, CASE WHEN table_name = 'live' THEN rows_before ELSE 0 END AS rows_afte
     UNION ALL SELECT 'alerts', asset_id, risk_level FROM health WHERE {_AT_RISK}
     UNION ALL SELECT 'recommendations', recs.asset_id, recommendation_text FROM recs JOIN health ON recs.asset_id = health.asset_id)
   GROUP BY ALL)"""),
+    "hourly_trends_incremental": _SQL["hourly_trends"],
     "stream_transitions": _SQL["risk_entries"],
     "sink_upsert_keyed": _SQL["sink_upsert_health"],
     "sink_upsert_keyed_1pct": _sql("assets health now_hour", """

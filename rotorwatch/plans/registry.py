@@ -14,6 +14,7 @@ from rotorwatch.plans import dossier, gold, reports
 from rotorwatch.session import scratch_dir
 from rotorwatch.sources import files
 from rotorwatch.sources.bindings import LOG_ORDER, READING_ORDER, Tables, bind_readings
+from rotorwatch.sources.hourly_table import HourlyTable
 from rotorwatch.sources.serving_log import KeyedTable, ServingLog
 from rotorwatch.sources.snapshots import materialize
 from rotorwatch.streaming import jobs, state
@@ -244,6 +245,16 @@ def hourly_trends_since(t):
     return trends.hourly_trends_since(t.silver(), since, tie_break=("event_id",), rows=t.readings())
 
 
+@query
+def hourly_trends_incremental(t):
+    """The hourly table from two deliveries of readings, shuffled over all times, the second one given twice."""
+    silver = t.silver()
+    table = HourlyTable(t.spark, scratch_dir(t.spark, "hourly"), silver.schema, tie_break=("event_id",))
+    for batch in (0, 1, 1):
+        table.append(silver.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == batch), batch)
+    return table.trends()
+
+
 @query
 def slope_by_type_line(t):
     return _rounded(
