@@ -199,6 +199,7 @@ _PATTERN = """
     CAST(round(downtime_hours, 1) AS VARCHAR), 'h') AS resolution,
   9e-1 AS score"""
 _FAULT_MATCH = "(fault_type ILIKE ? OR fault_type ILIKE '%bearing%' OR fault_type ILIKE '%vibrat%')"
+_QUERY_LIST = "SELECT unnest(['license', 'the ', 'contact', '100%', 'overheat', 'SEAL', 'belt', 's_al', 'e', 'zq%xj'])"
 _CHUNK_MATCH = "(content ILIKE ? OR section ILIKE ?)"
 _COST_PARTS = "CASE WHEN risk_level IN ('CRITICAL', 'HIGH')"
 _AT_RISK = "risk_level IN ('CRITICAL', 'HIGH')"
@@ -557,7 +558,20 @@ FROM (SELECT doc_id, unnest(parts) AS content, generate_subscripts(parts, 1) AS
 SELECT r.rec_id, r.asset_id, r.chunk_id, c.manual_name, c.section, c.content
 FROM (SELECT rec_id, asset_id, unnest(vector_search_sources) AS chunk_id FROM recs) r
 LEFT JOIN chunks c ON r.chunk_id = c.chunk_id"""),
+    "search_manuals_table": _sql("chunks", f"""
+, q AS (SELECT DISTINCT query FROM (SELECT substring(text, 5, 9) AS query FROM documents WHERE doc_id % 50 = 0 UNION ALL {_QUERY_LIST}) WHERE query <> '')
+SELECT * EXCLUDE (n), CAST(n AS INT) AS rank FROM (SELECT chunks.*, query, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS n
+  FROM q JOIN chunks ON {_CHUNK_MATCH.replace("?", "concat('%', query, '%')")}) WHERE n <= 5""").replace(")\n, q AS", "),\nq AS"),
+    "search_failure_patterns_table": _sql("logs", f"""
+, q AS (SELECT DISTINCT query FROM (SELECT substring(text, 5, 2) AS query FROM documents WHERE doc_id % 50 = 0 UNION ALL {_QUERY_LIST}) WHERE query <> '')
+SELECT query, CAST(n AS INT) AS rank, {_PATTERN} FROM (SELECT logs.*, query, row_number() OVER (PARTITION BY query ORDER BY cost_to_fix DESC, work_order_id) AS n
+  FROM q JOIN logs ON {_FAULT_MATCH.replace("?", "concat('%', query, '%')")}) WHERE n <= 5""").replace(")\n, q AS", "),\nq AS"),
+    "pm_due_own_intervals": _due(90, "SELECT * FROM due").replace("to_months(t.months)", """to_months(CASE WHEN t.task = 'Bearing replacement' AND a.asset_type = 'MACHINERY'
+      AND CAST(split_part(a.asset_id, '_', 2) AS INT) % 5 = 0 THEN CAST(split_part(a.asset_id, '_', 2) AS INT) % 7 + 6 ELSE t.months END)"""),
     "chat_requests": """
+SELECT conv_id, count(*) AS message_count, string_agg(concat(coalesce(role, ''), ': ', coalesce(text, '')), chr(10) ORDER BY turn) AS messages,
+  arg_max(text, turn) AS last_reply FROM conversations GROUP BY conv_id""",
+    "chat_last_replies": """
 SELECT conv_id, count(*) AS message_count, arg_max(role, turn) AS last_role, arg_max(text, turn) AS last_reply
 FROM conversations GROUP BY conv_id""",
     "asset_dossier": _sql("cost logs chunks", f"""
@@ -604,9 +618,11 @@ FROM alerts a JOIN health h ON a.asset_id = h.asset_id, now_hour"""),
     "serial_ids": _sql("logs_raw", f"""
 SELECT {_SERIAL} AS rec_id, work_order_id, printf('REC-%05d', {_SERIAL}) AS label FROM logs_raw"""),
     "sink_recommendation": _sql("recs health", """
-SELECT count(*) AS appended, 1::BIGINT AS first_id, count(*) AS last_id, count(*) AS distinct_ids,
-  round(sum(health_score), 2) AS score_sum
-FROM (SELECT DISTINCT asset_id, recommendation_text FROM recs) r JOIN health h ON r.asset_id = h.asset_id"""),
+SELECT id AS rec_id, asset_id, recommendation_text, cost_to_fix, cost_of_downtime, urgency_hours, net_recommendation,
+  array_to_string(vector_search_sources, ',') AS sources, health_score AS health_score_at_time, 's1' AS created_by_session,
+  concat('Recommendation REC-', lpad(CAST(id AS VARCHAR), CAST(greatest(5, length(CAST(id AS VARCHAR))) AS INT), '0'), ' saved for ', asset_id) AS message
+FROM (SELECT r.*, h.health_score, row_number() OVER (ORDER BY r.rec_id % 1024, r.rec_id) AS id
+  FROM recs r JOIN health h ON r.asset_id = h.asset_id)"""),
     "risk_entries": _sql("trends assets", """
 SELECT asset_id, calculated_at, risk_level, previous_risk FROM (
   SELECT *, lag(risk_level) OVER (PARTITION BY asset_id ORDER BY calculated_at) AS previous_risk FROM (

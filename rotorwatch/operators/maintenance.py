@@ -53,13 +53,14 @@ def restart_gate(health: DataFrame, alerts: DataFrame, min_score: float = 50.0)
 
 
 def pm_schedule(
-    assets: DataFrame, logs: DataFrame, intervals: Iterable[tuple] = S.PM_INTERVALS
+    assets: DataFrame, logs: DataFrame, intervals: Iterable[tuple] = S.PM_INTERVALS, own: DataFrame | None = None
 ) -> DataFrame:
     """Next due date of every task of every asset.
 
     A task is due one interval after the last order that replaced its part, or after the
     installation where there is none. The short list of intervals goes into the plan as
-    literals: the orders are aggregated once for all tasks, with no join per task.
+    literals: the orders are aggregated once for all tasks, with no join per task. ``own`` (asset_id, task, months; one
+    row per asset and task) holds intervals of single assets, which go before those of their type and tier.
     """
     intervals = list(intervals)
     parts = list(dict.fromkeys(part for _, _, part, _, _ in intervals))
@@ -79,27 +80,32 @@ def pm_schedule(
         lambda t: (t["kind"] == F.col("asset_type"))
         & (t["tier"].isNull() | (t["tier"] == F.col("criticality_tier"))),
     )
-    start = F.to_date(F.coalesce(F.col("_t.last_done"), F.col("installation_date").cast("timestamp")))
-    return (
+    start = F.to_date(F.coalesce("last_done", F.col("installation_date").cast("timestamp")))
+    tasks_of_assets = (
         assets.select("asset_id", "asset_type", "criticality_tier", "installation_date")
         .join(last_done, "asset_id", "left")
         .select("asset_id", "asset_type", "criticality_tier", "installation_date",
                 F.explode(fits).alias("_t"))
         .select(
-            "asset_id", "asset_type", "criticality_tier", F.col("_t.task").alias("task"),
-            F.to_date("_t.last_done").alias("last_done"),
-            F.add_months(start, F.col("_t.months")).alias("due_date"),
+            "asset_id", "asset_type", "criticality_tier", "installation_date", "_t.task", "_t.last_done", "_t.months"
         )
     )
+    if own is not None:
+        named = own.select("asset_id", "task", F.col("months").alias("_own"))
+        tasks_of_assets = tasks_of_assets.join(named, ["asset_id", "task"], "left").withColumn("months", F.coalesce("_own", "months"))
+    return tasks_of_assets.select(
+        "asset_id", "asset_type", "criticality_tier", "task", F.to_date("last_done").alias("last_done"),
+        F.add_months(start, F.col("months")).alias("due_date"),
+    )
 
 
 def pm_due(
     assets: DataFrame, logs: DataFrame, as_of: Column, days: int = 90,
-    intervals: Iterable[tuple] = S.PM_INTERVALS,
+    intervals: Iterable[tuple] = S.PM_INTERVALS, own: DataFrame | None = None,
 ) -> DataFrame:
     """Tasks due within ``days`` of ``as_of``; overdue tasks count as due."""
     until = F.date_add(F.to_date(as_of), days)
-    return pm_schedule(assets, logs, intervals).filter(F.col("due_date") <= until)
+    return pm_schedule(assets, logs, intervals, own).filter(F.col("due_date") <= until)
 
 
 def pm_combine(due: DataFrame, days: int = 30) -> DataFrame:

@@ -46,7 +46,7 @@ def _per_query(df: DataFrame, matches: dict[str, Column]) -> DataFrame:
     return df.withColumn("query", F.explode(hits))
 
 
-def _top_per_query(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
+def top_per_query(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
     best_first = Window.partitionBy("query").orderBy(*order)
     return df.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
@@ -62,7 +62,7 @@ def search_manuals(chunks: DataFrame, queries: list[str], k: int = 5) -> DataFra
         pattern = F.lower(F.lit(f"%{q}%"))
         matches[q] = F.like(F.col("_content"), pattern) | F.like(F.col("_section"), pattern)
     hits = _per_query(lowered, matches).drop("_content", "_section")
-    return _top_per_query(hits, k, F.desc("score"), "chunk_id")
+    return top_per_query(hits, k, F.desc("score"), "chunk_id")
 
 
 def top_chunks(chunks: DataFrame, k: int = 5) -> DataFrame:
@@ -106,7 +106,7 @@ def search_failure_patterns(logs: DataFrame, queries: list[str], k: int = 5) ->
     """
     fault = F.col("fault_type")
     matches = {q: contains(fault, q) | is_always_relevant(fault) for q in queries}
-    best = _top_per_query(_per_query(logs, matches), k, F.desc("cost_to_fix"), "work_order_id")
+    best = top_per_query(_per_query(logs, matches), k, F.desc("cost_to_fix"), "work_order_id")
     return describe_pattern(best, "query", "rank")
 
 
@@ -137,7 +137,7 @@ def vector_top_k(
         .withColumn("_norm", F.sqrt(dot(F.col("_v"), F.col("_v"))))
         .select(id_col, F.inline(F.array(*scored)))
     )
-    return _top_per_query(rows, k, F.desc_nulls_last("similarity"), id_col)
+    return top_per_query(rows, k, F.desc_nulls_last("similarity"), id_col)
 
 
 def provenance(recs: DataFrame, chunks: DataFrame) -> DataFrame:

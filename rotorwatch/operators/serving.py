@@ -1,6 +1,6 @@
 """Serving tables as pure transforms: keyed upsert, alerts, recommendations, ids.
 
-Writers for these results are in `rotorwatch.sources.snapshots`.
+Writers for these results are in `rotorwatch.sources.serving_log`.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -107,9 +107,13 @@ def with_live_health(recs: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def recommendations_to_append(
-    recs: DataFrame, live: DataFrame, now: Column, start: int = 1, session: str | None = None
+    recs: DataFrame, live: DataFrame, now: Column, start: int = 1, session: str | None = None,
+    order_by: list[str] | None = None, bucket: Column | None = None,
 ) -> DataFrame:
-    """New rows of the recommendations table, ids included; missing source lists become empty."""
+    """New rows of the recommendations table, ids included; missing source lists become empty.
+
+    Ids follow ``order_by`` inside ``bucket``, see `with_serial_id`; by default all that was given, in hash buckets.
+    """
     empty = F.array().cast("array<string>")
     rows = (
         with_live_health(recs, live)
@@ -119,7 +123,7 @@ def recommendations_to_append(
         .withColumn("created_at", now)
     )
     # ordered by all that was given, so that only rows equal in everything can swap their ids
-    numbered = with_serial_id(rows, recs.columns, start, "rec_id")
+    numbered = with_serial_id(rows, order_by or recs.columns, start, "rec_id", bucket)
     return numbered.select(*S.MAINTENANCE_RECOMMENDATIONS.names)
 
 

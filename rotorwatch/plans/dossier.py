@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from rotorwatch.operators import history, search
+from rotorwatch.operators import history, text_index
 from rotorwatch.operators.enrich import at_risk
+from rotorwatch.session import written
 
 
 def _ids(column: str, place: str):
@@ -12,56 +13,35 @@ def _ids(column: str, place: str):
     return F.array_join(F.transform(ranked, lambda r: r[column]), ",")
 
 
-MOST_FAULTS = 1000
-
-
-def _last_faults(cost: DataFrame, logs: DataFrame, order: list[str]) -> tuple[str, ...]:
-    """The distinct faults of the newest orders of all at-risk assets."""
-    newest = history.with_recency(logs, order).filter("recency = 1 AND fault_type IS NOT NULL")
-    found = newest.join(at_risk(cost).select("asset_id"), "asset_id").select("fault_type").distinct()
-    faults = tuple(sorted(r.fault_type for r in found.limit(MOST_FAULTS + 1).collect()))
-    if len(faults) > MOST_FAULTS:
-        raise ValueError("fault_type is free text here; name the faults to search for")
-    return faults
-
-
 def asset_dossier(
     cost: DataFrame, logs: DataFrame, chunks: DataFrame, k: int = 5,
-    faults: tuple[str, ...] | None = None, manual_terms: dict[str, str] | None = None,
-    order: list[str] = history.ORDER,
+    manual_terms: dict[str, str] | None = None, order: list[str] = history.ORDER,
 ) -> DataFrame:
     """Health, cost, recent orders, similar failures and manual chunks of every at-risk asset.
 
-    Similar failures and manuals are searched once per fault type, for the fault of the asset's
-    newest order. ``manual_terms`` maps a fault to the words to look for in the manuals. Without
-    ``faults`` they are those that occur; fault types are categories, so there are few.
+    Similar failures and manuals are searched once per fault, for the faults of the newest orders of at-risk assets,
+    however many there are. ``manual_terms`` maps a fault to the words to look for in the manuals.
     """
-    if faults is None:
-        faults = _last_faults(cost, logs, order)
-    terms = {fault: (manual_terms or {}).get(fault, fault) for fault in faults}
-    patterns = search.search_failure_patterns(logs, list(faults), k)
-    similar = patterns.groupBy(F.col("query").alias("last_fault")).agg(
-        _ids("pattern_id", "rank").alias("similar_failures")
-    )
-    hits = search.search_manuals(chunks, list(dict.fromkeys(terms.values())), k)
-    manuals = hits.groupBy(F.col("query").alias("_term")).agg(
-        _ids("chunk_id", "rank").alias("manual_chunks")
-    )
+    risky = at_risk(cost).select(
+        "asset_id", "production_line_id", "health_score", "risk_level", "estimated_rul_hours",
+        "cost_to_fix_now", "cost_of_unplanned_failure", "net_recommendation")
     orders = history.with_recency(logs, order).filter(F.col("recency") <= k).groupBy("asset_id").agg(
         _ids("work_order_id", "recency").alias("recent_orders"),
         F.max(F.when(F.col("recency") == 1, F.col("fault_type"))).alias("last_fault"),
     )
-    term_of = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair]).cast("map<string,string>")
+    rows = written(risky.join(orders, "asset_id", "left"), "at-risk")  # one row per asset at risk
+    term = F.col("last_fault")
+    if manual_terms:
+        named = F.create_map(*[F.lit(x) for pair in manual_terms.items() for x in pair])
+        term = F.coalesce(F.try_element_at(named, term), term)
+    faults = written(rows.select("last_fault", term.alias("_term")).filter("last_fault IS NOT NULL").distinct(), "faults")
+    patterns = text_index.search_failure_patterns(logs, faults.withColumnRenamed("last_fault", "query"), k)
+    similar = patterns.groupBy(F.col("query").alias("last_fault")).agg(_ids("pattern_id", "rank").alias("similar_failures"))
+    hits = text_index.search_manuals(chunks, faults.withColumnRenamed("_term", "query"), k)
+    manuals = hits.groupBy(F.col("query").alias("_term")).agg(_ids("chunk_id", "rank").alias("manual_chunks"))
     return (
-        at_risk(cost)
-        .select("asset_id", "production_line_id", "health_score", "risk_level", "estimated_rul_hours",
-                "cost_to_fix_now", "cost_of_unplanned_failure", "net_recommendation")
-        .join(orders, "asset_id", "left")
-        .withColumn("_term", F.try_element_at(term_of, F.col("last_fault")))
-        # one row per fault type or term at most, and those are the caller's short lists
-        .join(F.broadcast(similar), "last_fault", "left")
-        .join(F.broadcast(manuals), "_term", "left")
-        .drop("_term")
+        rows.withColumn("_term", term)
+        .join(similar, "last_fault", "left").join(manuals, "_term", "left").drop("_term")
     )
 
 

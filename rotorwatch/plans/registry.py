@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rotorwatch import schemas as S
 from rotorwatch.functions import costs, scores
 from rotorwatch.operators import (
-    enrich, history, ingest, maintenance, quality, runs, search, serving, smoothing, trends,
+    enrich, history, ingest, maintenance, quality, runs, search, serving, smoothing, text_index, trends,
 )
 from rotorwatch.functions.catalog import register_functions
 from rotorwatch.plans import dossier, gold, reports
@@ -623,6 +623,15 @@ def pm_due(t):
     return _due(t, 90)
 
 
+@query
+def pm_due_own_intervals(t):
+    """Tasks due where every fifth machine has a shorter interval of its own."""
+    number = F.substring_index("asset_id", "_", -1).cast("int")
+    own = t.assets().filter((number % 5 == 0) & (F.col("asset_type") == "MACHINERY")).select(
+        "asset_id", F.lit("Bearing replacement").alias("task"), (number % 7 + 6).alias("months"))
+    return maintenance.pm_due(t.assets(), t.logs(), _last_order(t), 90, TEST_INTERVALS, own)
+
+
 @query
 def pm_combine(t):
     return maintenance.pm_combine(_due(t, 365))
@@ -656,6 +665,22 @@ def search_manuals(t):
     return search.search_manuals(t.chunks(), SEARCH_TERMS)
 
 
+def _texts_as_queries(t: Tables, column: str) -> DataFrame:
+    """A table of queries: a few characters out of every fiftieth document, and the short list."""
+    own = t.raw("documents").filter("doc_id % 50 = 0").select(F.expr(f"{column} AS query"))
+    return own.unionAll(t.spark.createDataFrame([(q,) for q in (*SEARCH_TERMS, *FAULT_TERMS, "s_al", "e", "zq%xj")], "query string")).filter("query <> ''")
+
+
+@query
+def search_manuals_table(t):
+    return text_index.search_manuals(t.chunks(), _texts_as_queries(t, "substring(text, 5, 9)"))
+
+
+@query
+def search_failure_patterns_table(t):
+    return text_index.search_failure_patterns(t.logs(), _texts_as_queries(t, "substring(text, 5, 2)"))
+
+
 @query
 def search_failure_patterns(t):
     return search.search_failure_patterns(t.logs(), FAULT_TERMS)
@@ -680,6 +705,14 @@ def asset_dossier(t):
 
 @query
 def chat_requests(t):
+    """The message list of each conversation, as text, and its last reply."""
+    content = F.transform("messages", lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(": "), F.coalesce(m["content"], F.lit(""))))
+    return dossier.chat_requests(t.raw("conversations")).select(
+        "conv_id", F.size("messages").cast("long").alias("message_count"), F.array_join(content, "\n").alias("messages"), "last_reply")
+
+
+@query
+def chat_last_replies(t):
     return dossier.last_replies(t.raw("conversations"))
 
 
@@ -731,17 +764,14 @@ def serial_ids(t):
 
 @query
 def sink_recommendation(t):
-    """What would be appended; ids follow hash buckets, so only their range is compared."""
-    recs = t.recommendations().select(
-        "asset_id", "recommendation_text", "cost_to_fix", "cost_of_downtime", "urgency_hours",
-        "net_recommendation", "vector_search_sources", "manual_references",
-    ).dropDuplicates(["asset_id", "recommendation_text"])
-    rows = serving.recommendations_to_append(recs, t.live(), t.as_of(), 1)
-    return rows.agg(
-        F.count(F.lit(1)).alias("appended"), F.min("rec_id").alias("first_id"),
-        F.max("rec_id").alias("last_id"), F.count_distinct("rec_id").alias("distinct_ids"),
-        F.round(F.sum("health_score_at_time"), 2).alias("score_sum"),
-    )
+    """Every recommendation as it would be appended, with its id and the message that confirms it."""
+    recs = t.recommendations().withColumnRenamed("rec_id", "source_order").drop("created_at")
+    stored = serving.recommendations_to_append(
+        recs, t.live(), t.as_of(), 1, "s1", ["source_order"], F.col("source_order") % serving.ID_BUCKETS)
+    messages = serving.confirmation(stored).select(F.col("rec_id").alias("_rec_id"), "message")
+    return stored.join(messages, F.col("rec_id") == F.col("_rec_id")).select(
+        "rec_id", "asset_id", "recommendation_text", "cost_to_fix", "cost_of_downtime", "urgency_hours", "net_recommendation",
+        F.array_join("vector_search_sources", ",").alias("sources"), "health_score_at_time", "created_by_session", "message")
 
 
 def _risk_history(t: Tables) -> DataFrame:
