@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from rotorwatch.operators import history, text_index
+from rotorwatch.operators import history, search, text_index
 from rotorwatch.operators.enrich import at_risk
 from rotorwatch.session import written
 
@@ -13,6 +13,9 @@ def _ids(column: str, place: str):
     return F.array_join(F.transform(ranked, lambda r: r[column]), ",")
 
 
+FEW_TERMS = 50  # up to so many terms are tested against every chunk; more go through the index, with the same result
+
+
 def asset_dossier(
     cost: DataFrame, logs: DataFrame, chunks: DataFrame, k: int = 5,
     manual_terms: dict[str, str] | None = None, order: list[str] = history.ORDER,
@@ -37,7 +40,11 @@ def asset_dossier(
     faults = written(rows.select("last_fault", term.alias("_term")).filter("last_fault IS NOT NULL").distinct(), "faults")
     patterns = text_index.search_failure_patterns(logs, faults.withColumnRenamed("last_fault", "query"), k)
     similar = patterns.groupBy(F.col("query").alias("last_fault")).agg(_ids("pattern_id", "rank").alias("similar_failures"))
-    hits = text_index.search_manuals(chunks, faults.withColumnRenamed("_term", "query"), k)
+    terms = [r._term for r in faults.select("_term").distinct().limit(FEW_TERMS + 1).collect()]
+    if len(terms) <= FEW_TERMS:  # one scan tests them all
+        hits = search.search_manuals(chunks, terms, k) if terms else chunks.limit(0).withColumns({"query": F.lit(""), "rank": F.lit(1)})
+    else:
+        hits = text_index.search_manuals(chunks, faults.withColumnRenamed("_term", "query"), k)
     manuals = hits.groupBy(F.col("query").alias("_term")).agg(_ids("chunk_id", "rank").alias("manual_chunks"))
     return (
         rows.withColumn("_term", term)

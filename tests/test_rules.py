@@ -1,5 +1,6 @@
 """Hand-worked values of the formulas, gates, rules and searches."""
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from rotorwatch import schemas as S
 from rotorwatch.functions import costs, scores
-from rotorwatch.operators import enrich, history, ingest, maintenance, quality, runs, search, smoothing, trends
+from rotorwatch.operators import enrich, history, ingest, maintenance, quality, runs, search, smoothing, text_index, trends
 from rotorwatch.plans import dossier, gold, reports
 
 AT = datetime(2024, 1, 1)
@@ -339,3 +340,31 @@ def test_thermal_spikes_have_limits(spark, heat, found):
     temps = [50.0] * 14 + [50.0 + h for h in heat] + [50.0] * 3
     df = spark.createDataFrame([(i, "A", t, False) for i, t in enumerate(temps)], "s long, asset_id string, temp_c double, vibration_anomaly_flag boolean")
     assert runs.thermal_spikes(df.withColumn("timestamp", F.timestamp_seconds("s"))).count() == found
+
+
+def test_search_of_a_table_of_queries_equals_the_scan(spark):
+    """Every kind of query: wildcards, short ones, other case, none, one that nothing holds."""
+    words = ["Seal", "license", "Über", "a_b", "100%", "bearing", "x", "日本語", "the the", "tab\tend"]
+    rng = random.Random(3)
+    data = [(f"c{i}", "m", rng.choice(words) if i % 3 else None, " ".join(rng.choices(words, k=rng.randrange(6))), float(i % 4)) for i in range(300)]
+    chunks = spark.createDataFrame(data, S.MANUAL_CHUNKS)
+    queries = ["seal", "LICENSE", "über", "a_b", "a%b", "0%", "x", "日本", "e t", "%", "", "nothing here", "s_al l", "b\te"]
+    table = spark.createDataFrame([(q,) for q in [*queries, "seal", None]], "query string")
+    got = text_index.search_manuals(chunks, table, 4)
+    want = search.search_manuals(chunks, queries, 4)
+    assert rows(got.select("query", "rank", "chunk_id")) == rows(want.select("query", "rank", "chunk_id"))
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert text_index.search_manuals(chunks, table.limit(0)).isEmpty() and text_index.search_manuals(chunks.limit(0), table).isEmpty()
+
+
+def test_failure_patterns_of_a_table_of_queries(spark):
+    rng = random.Random(4)
+    faults = ["Bearing failure", "Overheating", "Seal leak", "belt wear", "VIBRATION", None, "gear belt"]
+    logs = spark.createDataFrame(
+        [(f"WO-{i}", "A", datetime(2024, 1, 1), rng.choice(faults), None, float(rng.randrange(50)), True, 1.0) for i in range(200)],
+        "work_order_id string, asset_id string, timestamp timestamp, fault_type string, part_replaced string, cost_to_fix double, "
+        "first_time_fix boolean, downtime_hours double")
+    queries = ["belt", "seal", "heat", "nothing", "e%r", "bearing"]
+    got = text_index.search_failure_patterns(logs, spark.createDataFrame([(q,) for q in queries], "query string"), 6)
+    assert rows(got) == rows(search.search_failure_patterns(logs, queries, 6).select(*got.columns))
