@@ -112,8 +112,9 @@ def test_queries_cover_their_tables(spark, key):
     """Each query over a whole small table: one row per document (page, line), none lost and none doubled."""
     folder = "/root/testdata/sf0.001"
     rows = QUERIES[key](spark, folder)
-    name = "pages" if key.startswith("op1_") else "documents"
-    ids = {r[0] for r in spark.read.parquet(f"{folder}/{name}.parquet").select(f"{name[:-1] if name == 'pages' else 'doc'}_id").collect()}
+    name, column = {"op1": ("pages", "page_id"), "op11": ("conversations", "conv_id"), "op12": ("embeddings", "vec_id")}.get(
+        key.split("_")[0], ("documents", "doc_id"))
+    ids = {r[0] for r in spark.read.parquet(f"{folder}/{name}.parquet").select(column).collect()}
     got = [r[0] for r in rows.collect()]
     if key.startswith("op5_"):
         assert set(got) < ids
