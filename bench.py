@@ -21,6 +21,7 @@ HEADLINE = [
     "mtbf_by_asset", "days_since_prev", "maintenance_history", "ftf_by_technician", "repair_averages",
     "cost_summary", "health_board", "trend_recent", "search_manuals", "search_failure_patterns",
     "vector_top_k", "chunk_markdown", "provenance_explode", "sink_upsert_health",
+    "sink_upsert_keyed", "sink_upsert_keyed_1pct",
     "sink_insert_disruption", "serial_ids", "pm_due", "asset_dossier",
 ]
 
