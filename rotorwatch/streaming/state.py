@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rotorwatch import schemas as S
+from rotorwatch.session import python_on_workers
 
 KEY = "asset_id"
 NO_TIME = -(2**63)  # rows without a time come first, as in a sort
@@ -21,6 +22,7 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 def with_state(stream: DataFrame, processor: StatefulProcessor, schema: T.StructType, time_mode: str) -> DataFrame:
     """``processor`` over the rows of each asset. Sets the session's state store to the one such processors need."""
+    python_on_workers(stream.sparkSession)
     stream.sparkSession.conf.set(PROVIDER, STORE)
     return stream.groupBy(KEY).transformWithStateInPandas(processor, schema, "Append", time_mode)
 
