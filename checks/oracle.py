@@ -554,6 +554,12 @@ FROM (SELECT doc_id, unnest(parts) AS content, generate_subscripts(parts, 1) AS
     "search_failure_patterns": _sql("logs", f"SELECT query, CAST(rank AS INT) AS rank, {_PATTERN} FROM (" + _search_rows(
         "logs", _FAULT_MATCH, ["overheat", "SEAL", "belt"], "cost_to_fix DESC, work_order_id") + ") WHERE rank <= 5"),
     "vector_top_k": _vector_sql(),
+    "vector_top_k_table": """
+SELECT query, vec_id, round(similarity, 6) AS similarity, CAST(n AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS n FROM (
+    SELECT CAST(q.vec_id AS VARCHAR) AS query, v.vec_id,
+      round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS similarity
+    FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)) WHERE n <= 5""",
     "provenance_explode": _sql("recs chunks", """
 SELECT r.rec_id, r.asset_id, r.chunk_id, c.manual_name, c.section, c.content
 FROM (SELECT rec_id, asset_id, unnest(vector_search_sources) AS chunk_id FROM recs) r

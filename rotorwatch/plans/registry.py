@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rotorwatch import schemas as S
 from rotorwatch.functions import costs, scores
 from rotorwatch.operators import (
-    enrich, history, ingest, maintenance, quality, runs, search, serving, smoothing, text_index, trends,
+    enrich, history, ingest, maintenance, quality, runs, search, serving, smoothing, text_index, trends, vector_search,
 )
 from rotorwatch.functions.catalog import register_functions
 from rotorwatch.plans import dossier, gold, reports
@@ -686,6 +686,14 @@ def search_failure_patterns(t):
     return search.search_failure_patterns(t.logs(), FAULT_TERMS)
 
 
+@query
+def vector_top_k_table(t):
+    """Every fiftieth vector as a query against all vectors."""
+    vectors = t.raw("embeddings")
+    queries = vectors.filter("vec_id % 50 = 0").selectExpr("CAST(vec_id AS STRING) AS query", "embedding AS vector")
+    return _rounded(vector_search.vector_top_k(vectors, queries, 5), 6, "similarity")
+
+
 @query
 def vector_top_k(t):
     return _rounded(search.vector_top_k(t.raw("embeddings"), QUERY_VECTORS, 5), 6, "similarity")
