@@ -425,6 +425,16 @@ FROM (SELECT event_id, vibration_mm_s AS v, avg(vibration_mm_s) OVER w AS m, std
         f"""(SELECT *, median(temp_c) OVER ({ORDERED} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS base FROM silver)""",
         "temp_c - base > 15 AND temp_c - base <= 25 AND NOT vibration_anomaly_flag", "temp_c", "timestamp", "timestamp, event_id",
     ) + ") WHERE run_length BETWEEN 2 AND 3"),
+    "rising_2pct": _sql("trends", "SELECT * REPLACE (round(peak_value, 6) AS peak_value) FROM (" + _runs(
+        """(SELECT *, (vibration_avg - lag(vibration_avg) OVER w) / nullif(lag(vibration_avg) OVER w, 0) * 100 AS growth
+ FROM trends WINDOW w AS (PARTITION BY asset_id ORDER BY hour_window))""",
+        "growth > 2", "growth", "hour_window", "hour_window",
+    ) + ") WHERE run_length >= 2"),
+    "thermal_rate": _sql("silver", "SELECT * FROM (" + _runs(
+        f"""(SELECT *, median(temp_c) OVER ({ORDERED} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS base,
+    (temp_c - lag(temp_c) OVER ({ORDERED})) * 3600 / nullif(floor(epoch(timestamp)) - floor(epoch(lag(timestamp) OVER ({ORDERED}))), 0) AS rate FROM silver)""",
+        "temp_c - base > 15 AND temp_c - base <= 25 AND NOT vibration_anomaly_flag AND rate > 10", "temp_c", "timestamp", "timestamp, event_id",
+    ) + ") WHERE run_length BETWEEN 1 AND 3"),
     # sorts and limits
     "health_board": _sql("health", """
 SELECT asset_id, production_line_id, criticality_tier, round(health_score, 1) AS health_score, risk_level,

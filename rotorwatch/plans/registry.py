@@ -427,6 +427,19 @@ def rising_pct(t):
     return _rounded(runs.rising_pct(t.trends(), 5.0, 3, None, rows=hours), 6, "peak_value")
 
 
+@query
+def rising_2pct(t):
+    """Sustained growth above two percent."""
+    hours = t.readings().withColumnRenamed("timestamp", "hour_window")
+    return _rounded(runs.rising_pct(t.trends(), 2.0, 2, None, rows=hours), 6, "peak_value")
+
+
+@query
+def thermal_rate(t):
+    """Thermal spikes that rose by more than 10 degrees an hour."""
+    return runs.thermal_spikes(t.silver(), order=tuple(READING_ORDER), rows=t.readings(), rate_per_hour=10.0, min_len=1)
+
+
 @query
 def thermal_spike(t):
     return runs.thermal_spikes(t.silver(), order=tuple(READING_ORDER), rows=t.readings())
