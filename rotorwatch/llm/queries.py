@@ -120,5 +120,30 @@ SELECT page_id, host, path, rule,
   template, 1 - share AS purity FROM ruled"""
 
 
+def _codes_sql() -> str:
+    """The rounds as common table expressions, over all pairs of a part and an entry of its codebook."""
+    v = vector_codes
+    near = """n{k} AS MATERIALIZED (SELECT r, p, min({{'d': CAST(list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': e}}) AS m
+  FROM parts JOIN b{k} USING (p) GROUP BY r, p)"""
+    rounds = ",\n".join(near.format(k=k) + f""",
+m{k} AS (SELECT p, e, list(x ORDER BY pos) AS fresh FROM (SELECT p, m.e AS e, pos, CAST(floor(sum(part[pos]) / count(*)) AS BIGINT) AS x
+  FROM n{k} JOIN parts USING (r, p), places GROUP BY ALL) GROUP BY p, e),
+b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(fresh, entry) AS entry FROM b{k} LEFT JOIN m{k} USING (p, e))""" for k in range(v.ROUNDS))
+    return f"""
+WITH rows AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor({v.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS whole
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+wide AS (SELECT CAST(max(len(whole)) // {v.PARTS} AS BIGINT) AS w FROM rows),
+places AS (SELECT unnest(range(1, (SELECT w FROM wide) + 1)) AS pos),
+parts AS MATERIALIZED (SELECT r, p, whole[p * w + 1:(p + 1) * w] AS part FROM rows, wide, range({v.PARTS}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, part AS entry FROM parts WHERE r <= {v.ENTRIES}),
+{rounds},
+{near.format(k=v.ROUNDS)},
+coded AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM n{v.ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM b{v.ROUNDS}) AS codebooks_sha256
+FROM rows JOIN coded USING (r)"""
+
+
 # The others have hashes, fitted models or iterations that SQL does not express; their tests compare with brute force.
-ORACLE_SQL = {"op1_path_template_tree": _url_sql()}
+ORACLE_SQL = {"op1_path_template_tree": _url_sql(), "op12_value_dictionary_codes": _codes_sql()}
