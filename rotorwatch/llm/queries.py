@@ -145,5 +145,58 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM rows JOIN coded USING (r)"""
 
 
+def _repair_sql() -> str:
+    """Damage, faults, and the dynamic program backward over rows; a state holds its cost, nine digits wide, and its edits as one text."""
+    r = conversation_repair
+
+    def plus(state, cost, edit):
+        return f"concat(lpad(CAST(CAST(left({state}, 9) AS INT) + {cost} AS VARCHAR), 9, '0'), '{edit}', substr({state}, 10))"
+
+    def base(q):
+        extra = f"CASE fault WHEN 1 THEN {r.TRUNCATED} ELSE 0 END"
+        options, n = [f"WHEN fault >= 2 THEN {plus(f's{q}', r.DELETE, 'D')}"], r.NEXT[q]
+        common = f"{plus(f's{q}', r.DELETE, 'D')}, {plus(f's{n}', f'{r.REROLE} + {extra}', 'R')}"
+        for (state, initial), after in r.KEPT.items():
+            if state == q:
+                options.append(f"WHEN initial = '{initial}' THEN least({common}, {plus(f's{after}', extra, 'K')})")
+        return f"CASE {' '.join(options)} ELSE least({common}) END AS b{q}"
+
+    user, assistant = f"least(b2, {plus('b3', r.INSERT, 'I')})", f"least(b3, {plus('b2', r.INSERT, 'I')})"
+    return f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+  FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 20 AS kind FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, LATERAL (SELECT unnest(CASE kind WHEN 3 THEN [0, 1] WHEN 0 THEN [] ELSE [0] END)) copies),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+lines AS MATERIALIZED (SELECT conv_id, turn, role, text, i, left(role, 1) AS initial,
+    CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 2
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3
+      WHEN right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+    concat(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i), left(role, 1)) AS pair FROM placed),
+states AS (SELECT conv_id, max(i) AS i, '000000000' AS s0, '000000010II' AS s1, '000000005I' AS s2, '000000000' AS s3 FROM lines GROUP BY conv_id
+  UNION ALL SELECT conv_id, i - 1, least(b0, {plus(user, r.INSERT, 'I')}), least(b1, {plus(user, r.INSERT, 'I')}), {user}, {assistant}
+  FROM (SELECT s.conv_id, s.i, {', '.join(map(base, range(4)))} FROM states s JOIN lines l ON l.conv_id IS NOT DISTINCT FROM s.conv_id AND l.i = s.i)),
+plans AS MATERIALIZED (SELECT conv_id, CAST(left(s0, 9) AS BIGINT) AS cost, substr(s0, 10) AS audit FROM states WHERE i = 0),
+edits AS (SELECT *, sum(CASE edit WHEN 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY j) AS i
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(len(audit))) AS j FROM plans)),
+given AS (SELECT e.conv_id, edit, role, text, initial, row_number() OVER (PARTITION BY e.conv_id ORDER BY j) AS k
+  FROM edits e LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM e.conv_id AND l.i = e.i AND edit <> 'I' WHERE edit <> 'D'),
+roles AS (SELECT *, (k + max(CASE WHEN k = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id)) % 2 = 1 AS is_user FROM given),
+hashes AS (SELECT conv_id, sha256(string_agg(concat(CASE WHEN edit = 'K' THEN role WHEN is_user THEN 'user' ELSE 'assistant' END, ':', coalesce(text, '')), chr(10) ORDER BY k))
+  AS repaired_sha256 FROM roles GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 2) AS blank,
+    count(*) FILTER (WHERE fault = 3) AS duplicate, count(*) FILTER (WHERE fault = 1) AS truncated,
+    count(*) FILTER (WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM lines GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN plans p ON p.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 # The others have hashes, fitted models or iterations that SQL does not express; their tests compare with brute force.
-ORACLE_SQL = {"op1_path_template_tree": _url_sql(), "op12_value_dictionary_codes": _codes_sql()}
+ORACLE_SQL = {"op1_path_template_tree": _url_sql(), "op11_checkpointed_repair": _repair_sql(), "op12_value_dictionary_codes": _codes_sql()}
