@@ -313,6 +313,13 @@ SELECT event_id,
     WHEN vibration_mm_s < 25e-1 THEN 'Normal' END AS alarm_level,
   CASE WHEN temp_c < 65e0 THEN 'Normal' WHEN temp_c <= 80e0 THEN 'Warning' WHEN temp_c > 85e0 THEN 'Alarm' END AS temp_alarm
 FROM readings"""),
+    "band_lookup_by_asset": _sql("readings", """
+SELECT event_id, CASE WHEN v < a + (b - a) * 25e-2 THEN 'Quiet'
+  WHEN v BETWEEN a + (b - a) * 25e-2 AND a + (b - a) * 5e-1 THEN 'Normal'
+  WHEN v BETWEEN a + (b - a) * 625e-3 AND a + (b - a) * 75e-2 THEN 'Raised'
+  WHEN v > a + (b - a) * 75e-2 THEN 'Extreme' END AS alarm_level
+FROM (SELECT event_id, vibration_mm_s AS v, min(vibration_mm_s) OVER (PARTITION BY asset_id) AS a,
+  max(vibration_mm_s) OVER (PARTITION BY asset_id) AS b FROM readings)"""),
     "signal_to_asset": _sql("assets", """
 SELECT s.signal_id, s.severity, s.production_line_id, m.asset_id AS mapped_asset_id
 FROM (SELECT event_id AS signal_id, value AS severity, concat('Line_', CAST(user_id % 25 AS VARCHAR)) AS production_line_id
@@ -405,6 +412,12 @@ WHERE rn <= 5"""),
     ) + f"), 6) AS ewma FROM readings WINDOW w AS ({ORDERED})"),
     "rolling_median": _sql("readings", f"""
 SELECT event_id, round(median(vibration_mm_s) OVER ({ORDERED} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6)
+  AS rolling_median FROM readings"""),
+    "rolling_median_long": _sql("readings", f"""
+SELECT event_id, round(median(vibration_mm_s) OVER ({ORDERED} ROWS BETWEEN 1000 PRECEDING AND CURRENT ROW), 6)
+  AS rolling_median FROM readings"""),
+    "rolling_median_long_sliced": _sql("readings", f"""
+SELECT event_id, round(median(vibration_mm_s) OVER ({ORDERED} ROWS BETWEEN 100 PRECEDING AND CURRENT ROW), 6)
   AS rolling_median FROM readings"""),
     "clip_outliers": _sql("readings", f"""
 SELECT event_id, round(CASE WHEN v > m + 2 * s THEN m + 2 * s WHEN v < m - 2 * s THEN m - 2 * s ELSE v END, 6) AS clipped

@@ -109,6 +109,43 @@ def band_lookup(df: DataFrame, column: str, bands, label: str = "alarm_level") -
     return df.withColumn(label, result)
 
 
+# Halvings of a list of bands: enough for 2 ** BAND_HALVINGS bands of one class.
+BAND_HALVINGS = 17
+
+
+def band_table_lookup(
+    df: DataFrame, column: str, bands: DataFrame, key: str = "asset_id", label: str = "alarm_level",
+) -> DataFrame:
+    """Label a value from the bands of its class: ``bands`` holds ``key``, band, low and high; a null low or high is an open end.
+
+    The edges are as in ``band_lookup``: a band with two ends holds both, an open one only what lies beyond its limit, and of two
+    bands that share an edge the lower one has it. The bands of a class must not overlap otherwise; there may be gaps between them.
+    A value in a gap, a null value and a class without bands get NULL. A null class is a class like any other.
+
+    The bands of a class become one sorted list, joined once on the class; the place of a value is a binary search inside
+    its row. So rows never multiply, and no range is joined, however many classes and bands there are.
+    """
+    once = bands.select(F.col(key).alias("_class"), F.struct(
+        F.col("low").cast("double").alias("low"), F.col("high").isNull().alias("top"), F.col("high").cast("double").alias("high"),
+        F.col("band").alias("band"),
+    ).alias("_band"))
+    # an open low end sorts first, as null; an open high end last among bands of one low end
+    lists = once.groupBy("_class").agg(F.sort_array(F.collect_list("_band")).alias("_bands"))
+    value = f"CAST(`{column}` AS DOUBLE)"
+    steps = ", ".join(str(1 << b) for b in reversed(range(BAND_HALVINGS)))
+    at = "get(_bands, passed + jump - 1)"
+    beyond = f"NOT {at}.top AND (value > {at}.high OR (value = {at}.high AND {at}.low IS NULL))"
+    search = f"aggregate(array({steps}), 0, (passed, jump) -> if(passed + jump <= size(_bands) AND {beyond}, passed + jump, passed))"
+    # names inside the lambda must not clash with columns of df, so the value travels in a struct of its own
+    search = f"transform(array({value}), value -> get(_bands, {search}))[0]"
+    joined = df.join(lists, F.col(key).eqNullSafe(F.col("_class")), "left").withColumn("_found", F.expr(search))
+    over = f"(_found.low IS NULL OR {value} > _found.low OR ({value} = _found.low AND NOT _found.top))"
+    # a band without any end holds all values
+    return joined.withColumn("_label", F.expr(f"if({value} IS NOT NULL AND {over}, _found.band, NULL)")).select(
+        *[F.col(f"`{c}`") for c in df.columns if c != label], F.col("_label").alias(label)
+    )
+
+
 def map_signals(signals: DataFrame, assets: DataFrame, on: list[str]) -> DataFrame:
     """Assign each outside signal to one asset: the most critical one of its line or zone.
 

@@ -62,15 +62,16 @@ def hot_keys(rows: DataFrame, key: str, order: list[str], min_hot_rows: int = MI
     )
 
 
-def with_slices(
+def cut_table(
     df: DataFrame, key: str, order: list[str], rows: DataFrame | None = None, min_hot_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
-    """Add the slice number: 0 for an ordinary key, 1 and up in order for a hot one.
-
-    ``rows`` may name a cheaper frame with the same keys and order columns to find the cuts from.
-    """
+    """Hot keys of ``df`` and their cuts; ``rows`` may name a cheaper frame with the same keys and order columns."""
     cheaper = rows is not None and {key, *order} <= set(rows.columns)
-    hot = hot_keys(rows if cheaper else df, key, order, min_hot_rows)
+    return hot_keys(rows if cheaper else df, key, order, min_hot_rows)
+
+
+def numbered_slices(df: DataFrame, key: str, order: list[str], hot: DataFrame) -> DataFrame:
+    """Add the slice number: 0 for an ordinary key, 1 and up in order for a hot one."""
     # how many cuts are at or before the row: a binary search, comparing all order columns
     steps = ", ".join(str(1 << b) for b in reversed(range(HALVINGS)))
     passed = f"get(_cuts, low + jump - 1) <= {_place(order)}"
@@ -81,6 +82,24 @@ def with_slices(
     )
 
 
+def with_slices(
+    df: DataFrame, key: str, order: list[str], rows: DataFrame | None = None, min_hot_rows: int = MIN_HOT_ROWS,
+) -> DataFrame:
+    """Add the slice number; the cuts are found from ``rows`` if it is given (see cut_table)."""
+    return numbered_slices(df, key, order, cut_table(df, key, order, rows, min_hot_rows))
+
+
+def of_hot_keys(df: DataFrame, key: str, hot: DataFrame, number: str) -> DataFrame:
+    """The rows of hot keys, by a join and not by a filter on the slice.
+
+    A filter would be pushed below the shuffle, which then could not be shared with the other rows. The join
+    also takes the whole branch out at run time if no key is hot. That ``number`` is one of the key's slices always holds; it
+    keeps the broadcast table equal to that of ``numbered_slices``, so it is built once.
+    """
+    same = F.expr(f"{key} <=> _hot_key AND {number} <= size(_cuts) + 1")
+    return df.join(F.broadcast(hot), same).select(*df.columns)
+
+
 def carried_rows(
     sliced: DataFrame, key: str, order: list[str], values: list[str], depth: int
 ) -> DataFrame:

@@ -2,31 +2,33 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from rotorwatch.operators.history_slices import CARRIED, SLICE, by_slice, carried_rows, with_slices
+from rotorwatch.operators.history_slices import SLICE, by_slice, cut_table, numbered_slices, of_hot_keys
 
 
 _RUN = ["run_start", "run_end", "run_length", "peak_value"]
 
 
-def _pieces(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Runs inside each slice; ``_continues`` marks one that goes on from the slice before."""
+def _pieces(rows: DataFrame, key: str, order: list[str], part: int) -> DataFrame:
+    """The runs inside each slice, and its number of misses: the ``_island`` of its ``_last`` piece."""
     in_order = f"PARTITION BY {key}, {SLICE} ORDER BY {', '.join(order)}"
-    own = f"NOT {CARRIED}"
     # all hits between two misses share the count of misses before them
     return (
-        rows.selectExpr("*", f"count_if(NOT _hit) OVER ({in_order}) AS _island")
-        .filter("_hit")
+        rows.selectExpr(
+            "*", f"count_if(NOT _hit) OVER ({in_order}) AS _island", f"lead(true) OVER ({in_order}) IS NULL AS _end"
+        )
+        .filter("_hit OR _end")
         .groupBy(key, SLICE, "_island")
         .agg(
-            F.expr(f"min({order[0]}) FILTER (WHERE {own}) AS run_start"),
-            F.expr(f"max({order[0]}) FILTER (WHERE {own}) AS run_end"),
-            F.expr(f"count_if({own}) AS run_length"),
-            F.expr(f"max(_value) FILTER (WHERE {own}) AS peak_value"),
-            F.expr(f"bool_or({CARRIED}) AS _continues"),
+            F.expr(f"min({order[0]}) FILTER (WHERE _hit) AS run_start"),
+            F.expr(f"max({order[0]}) FILTER (WHERE _hit) AS run_end"),
+            F.expr("count_if(_hit) AS run_length"),
+            F.expr("max(_value) FILTER (WHERE _hit) AS peak_value"),
+            F.expr("bool_or(_end) AS _last"),
+            F.expr(f"max({SLICE}) AS _number"),
         )
-        .filter("run_length > 0")
+        .withColumn("_part", F.lit(part))
     )
 
 
@@ -37,48 +39,53 @@ def runs(
 ) -> DataFrame:
     """One row per unbroken run of consecutive rows that meet the condition.
 
-    Gives the first and last time, the number of rows and the greatest value. Ordinary keys
-    take the plain way. Rows of hot keys are handled slice by slice; of their runs only those
-    that touch the edge of a slice are then joined up, at most two per slice.
+    Gives the first and last time, the number of rows and the greatest value. The rows are read and shuffled once, by
+    key and slice. A slice is summed up by the run it begins with, the run it ends with and its number of misses; these
+    summaries are merged in order, and all other runs are done inside their slice.
 
     The condition and value may use ``derive`` columns: functions of the ordered window that
-    look back over ``reach`` rows. ``needs`` names the columns those and the condition read.
+    look back over ``reach`` rows. ``needs`` names the columns those and the condition read. The first ``reach`` rows
+    of a slice (its head) look back into the slice before, so they are judged beside that slice's last ``reach`` rows and
+    take part as a slice of their own.
     """
     order = list(order)
     hit = F.coalesce(condition, F.lit(False)).alias("_hit")
     if derive:
-        lean, carry = df.select(*dict.fromkeys([key, *order, *needs])), list(needs)
+        lean = df.select(*dict.fromkeys([key, *order, *needs]))
     else:
-        lean, carry = df.select(key, *order, F.col(value).alias("_value"), hit), ["_hit"]
-
-    def marked(part: DataFrame) -> DataFrame:
-        if not derive:
-            return part
+        lean = df.select(key, *order, F.col(value).alias("_value"), hit)
+    hot = cut_table(lean, key, order, rows, **options)
+    sliced, heads = numbered_slices(lean, key, order, hot), None
+    if derive:
+        judged = [key, *order, SLICE, F.col(value).alias("_value"), hit]
         window = by_slice(key, order)
-        derived = part.withColumns({name: make(window) for name, make in derive.items()})
-        return derived.select(key, *order, SLICE, CARRIED, F.col(value).alias("_value"), hit)
-
-    sliced = with_slices(lean, key, order, rows, **options).selectExpr("*", f"false AS {CARRIED}")
-    ordinary = _pieces(marked(sliced.filter(f"{SLICE} = 0")), key, order).select(key, *_RUN)
-
-    # the row before a slice must know its own mark, so it needs its own look-back as well
-    carried = carried_rows(sliced, key, order, carry, reach + 1)
-    hot = sliced.filter(f"{SLICE} > 0").unionByName(carried, allowMissingColumns=True)
-    pieces = _pieces(marked(hot), key, order).selectExpr(
-        "*", f"_continues OR _island = max(_island) OVER (PARTITION BY {key}, {SLICE}) AS _at_edge"
-    )
-    inside = pieces.filter("NOT _at_edge").select(key, *_RUN)
+        placed = sliced.withColumns({"_at": F.row_number().over(window), "_tail": F.lead(F.lit(True), reach).over(window).isNull()})
+        head = f"{SLICE} > 1 AND _at <= {reach}"
+        # the rows around the cuts: at most 2 * reach per slice, and none between those that a head row looks back on
+        around = of_hot_keys(placed.filter(f"_tail OR ({head})"), key, hot, SLICE)
+        over_cuts = Window.partitionBy(key).orderBy(SLICE, *order)
+        heads = around.withColumns({name: make(over_cuts) for name, make in derive.items()}).filter(head).select(*judged)
+        sliced = placed.withColumns({name: make(window) for name, make in derive.items()}).filter(f"NOT ({head})").select(*judged)
+
+    pieces = _pieces(sliced, key, order, 1)
+    at_edge = "_island = 0 OR _last"
+    inside = pieces.filter(f"run_length > 0 AND (_number = 0 OR NOT ({at_edge}))").select(key, *_RUN)
+    edges = of_hot_keys(pieces.filter(at_edge), key, hot, "_number")
+    if heads is not None:
+        edges = edges.unionByName(_pieces(heads, key, order, 0))
+    # a run goes on over a cut if no miss lies between: count the misses of all slices before
+    before = f"PARTITION BY {key} ORDER BY {SLICE}, _part, _island ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     joined = (
-        pieces.filter("_at_edge")
-        .selectExpr("*", f"count_if(NOT _continues) OVER (PARTITION BY {key} ORDER BY {SLICE}, _island) AS _run")
+        edges.selectExpr("*", f"_island + coalesce(sum(if(_last, _island, 0)) OVER ({before}), 0) AS _run")
         .groupBy(key, "_run")
         .agg(
             F.expr("min(run_start) AS run_start"), F.expr("max(run_end) AS run_end"),
             F.expr("sum(run_length) AS run_length"), F.expr("max(peak_value) AS peak_value"),
         )
+        .filter("run_length > 0")
         .select(key, *_RUN)
     )
-    return ordinary.union(inside).union(joined)
+    return inside.union(joined)
 
 
 def sustained_over(

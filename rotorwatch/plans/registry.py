@@ -225,6 +225,18 @@ def band_lookup(t):
     return labelled.select("event_id", "alarm_level", "temp_alarm")
 
 
+@query
+def band_lookup_by_asset(t):
+    """Readings by the bands of their own asset: quarters of the way from its least to its greatest value."""
+    span = t.readings().groupBy("asset_id").agg(F.min("vibration_mm_s").alias("a"), F.max("vibration_mm_s").alias("b"))
+    bands = span.selectExpr("asset_id", """inline(array(
+        struct('Quiet' AS band, CAST(NULL AS DOUBLE) AS low, a + (b - a) * 0.25D AS high),
+        struct('Normal' AS band, a + (b - a) * 0.25D AS low, a + (b - a) * 0.5D AS high),
+        struct('Raised' AS band, a + (b - a) * 0.625D AS low, a + (b - a) * 0.75D AS high),
+        struct('Extreme' AS band, a + (b - a) * 0.75D AS low, CAST(NULL AS DOUBLE) AS high)))""")
+    return enrich.band_table_lookup(t.readings(), "vibration_mm_s", bands).select("event_id", "alarm_level")
+
+
 @query
 def signal_to_asset(t):
     return enrich.map_signals(t.signals(), t.assets(), ["production_line_id"])
@@ -403,6 +415,14 @@ def rolling_median(t):
     )
 
 
+@query
+def rolling_median_long(t):
+    """The trailing median over 1,001 readings."""
+    return smoothing.rolling_median(t.readings(), "vibration_mm_s", 1001, **_SMOOTH).select(
+        "event_id", F.round("rolling_median", 6).alias("rolling_median")
+    )
+
+
 @query
 def clip_outliers(t):
     smooth = smoothing.clip_outliers(t.readings(), "vibration_mm_s", 10, 2.0, **_SMOOTH)
@@ -467,6 +487,12 @@ def consecutive_over_sliced(t):
     return runs.consecutive_over(t.silver(), "temp_c", over, 2, order=tuple(READING_ORDER), rows=t.readings(), **_SLICED)
 
 
+@query
+def rolling_median_long_sliced(t):
+    smooth = smoothing.rolling_median(t.readings(), "vibration_mm_s", 101, **_SMOOTH, **_SLICED)
+    return _rounded(smooth, 6, "rolling_median").select("event_id", "rolling_median")
+
+
 @query
 def thermal_spike_sliced(t):
     return runs.thermal_spikes(t.silver(), order=tuple(READING_ORDER), rows=t.readings(), **_SLICED)

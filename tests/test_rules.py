@@ -329,6 +329,42 @@ def test_alarm_bands(spark, value, vibration, heat):
     assert (got.alarm_level, got.heat) == (vibration, heat)
 
 
+BANDS = [("Low", None, 1.0), ("Fair", 1.0, 2.0), ("Good", 2.0, 3.0), ("High", 5.0, 8.0), ("Top", 8.0, None)]
+
+
+def test_bands_from_a_table(spark):
+    labels = [
+        (None, None), (-1e300, "Low"), (0.9, "Low"), (1.0, "Fair"), (2.0, "Fair"), (2.1, "Good"), (3.0, "Good"), (4.0, None), (5.0, "High"),
+        (8.0, "High"), (8.1, "Top"), (float("inf"), "Top"), (float("nan"), "Top"),
+    ]
+    schema = "asset_id string, band string, low double, high double"
+    bands = spark.createDataFrame([(key, *band) for key in ("A", None) for band in reversed(BANDS)] + [("Z", "all", None, None)], schema)
+    df = spark.createDataFrame([(key, value, i, "x") for key in ("A", None, "B", "Z") for i, (value, _) in enumerate(labels)],
+                               "asset_id string, value double, passed int, band string")
+    got = {(r.asset_id, r.passed): r.alarm_level for r in enrich.band_table_lookup(df, "value", bands).collect()}
+    for i, (value, label) in enumerate(labels):
+        assert [got[key, i] for key in ("A", None, "B", "Z")] == [label, label, None, None if value is None else "all"]
+    assert {r.passed: r.alarm_level for r in enrich.band_lookup(df, "value", BANDS).collect()} == {i: label for i, (_, label) in enumerate(labels)}
+    assert enrich.band_table_lookup(df, "value", bands.limit(0)).filter("alarm_level IS NULL").count() == df.count()
+
+
+def test_many_classes_of_bands(spark):
+    """100,000 classes of three bands, and one class of 50,000; no range join."""
+    bands = spark.range(100_000).selectExpr("id AS asset_id", """inline(array(
+        struct('low' AS band, CAST(NULL AS DOUBLE) AS low, CAST(id AS DOUBLE) AS high),
+        struct('mid' AS band, CAST(id AS DOUBLE) AS low, id + 1D AS high), struct('top' AS band, id + 1D AS low, CAST(NULL AS DOUBLE) AS high)))""")
+    fine = spark.range(50_000).selectExpr("-1L AS asset_id", "CAST(id AS STRING) AS band", "id * 2D AS low", "id * 2 + 1D AS high")
+    df = spark.range(100_000).selectExpr("id AS asset_id", "id + (id % 3 - 1) * 2D AS v").union(
+        spark.range(100_000).selectExpr("-1L AS asset_id", "id + 0.5D AS v"))
+    got = enrich.band_table_lookup(df, "v", bands.union(fine))
+    wrong = got.filter(
+        "NOT alarm_level <=> if(asset_id >= 0, element_at(array('low', 'mid', 'top'), CAST(asset_id % 3 + 1 AS INT)),"
+        " if(floor(v) % 2 = 0, CAST(CAST(floor(v) / 2 AS BIGINT) AS STRING), NULL))")
+    assert got.count() == 200_000 and wrong.isEmpty()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_no_fix_rate_without_flags(spark):
     logs = spark.createDataFrame([("A", None), ("B", True), ("B", None)], "asset_id string, first_time_fix boolean").selectExpr(
         "*", "1.0D AS cost_to_fix", "1.0D AS downtime_hours", "1.0D AS labor_hours")

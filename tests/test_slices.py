@@ -1,6 +1,8 @@
 """Operators cut into slices must give what they give over whole histories."""
 
 import random
+import statistics
+import time
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -105,6 +107,51 @@ def test_long_runs_over_many_slices(spark):
     assert [r.run_length for r in found.collect()] == [49] * 8
 
 
+def test_runs_read_and_shuffle_the_rows_once(spark, readings, folder):
+    """One scan and one exchange of the rows, though inner runs, edges and heads of slices go apart."""
+    readings.write.parquet(f"{folder}/all")
+    readings.select("asset_id", *ORDER).write.parquet(f"{folder}/cuts")
+    whole, cuts = spark.read.parquet(f"{folder}/all"), spark.read.parquet(f"{folder}/cuts")
+    for make in (lambda o: runs.consecutive_over(whole, "temp_c", 55.0, 2, order=tuple(ORDER), rows=cuts, **o),
+                 lambda o: runs.thermal_spikes(whole, 10.0, 3, 5, tuple(ORDER), rows=cuts, **o)):
+        for options in (HOT, PLAIN):
+            found = make(options)
+            assert found.collect()
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert sum("FileScan" in line and "/all" in line for line in plan.splitlines()) == 1
+            assert ("ReusedExchange" in plan) == (options is HOT)
+
+
+@pytest.mark.parametrize("reach, share", [(1, 3), (4, 20), (30, 3), (30, 200)])
+def test_heads_of_slices_look_back(readings, reach, share):
+    """Slices shorter than the look-back too."""
+    mean = {"m": lambda w: F.avg("temp_c").over(w.rowsBetween(-reach, -1))}
+    found = [rows(runs.runs(readings, F.col("temp_c") > F.col("m"), "temp_c", order=tuple(ORDER), derive=mean, reach=reach,
+                            needs=("temp_c",), min_hot_rows=n)) for n in (share, 10**9)]
+    assert found[0] == found[1] and len(found[1]) > 100
+
+
+@pytest.mark.parametrize("points", [26, 101, 2000])
+def test_long_medians_equal_the_window(readings, points):
+    value = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("temp_c"))
+    df = readings.withColumns({"v": value, "_median": F.lit("kept")})
+    w = Window.partitionBy("asset_id").orderBy(*ORDER).rowsBetween(1 - points, 0)
+    plain = rows(df.select("event_id", "_median", F.percentile("v", F.lit(0.5)).over(w)))
+    for options in (PLAIN, HOT):
+        got = smoothing.rolling_median(df, "v", points, order=ORDER, **options)
+        assert got.columns == [*df.columns, "rolling_median"]
+        assert repr(rows(got.select("event_id", "_median", "rolling_median"))) == repr(plain)
+    assert rows(smoothing.rolling_median(df.limit(0), "v", points, order=ORDER)) == []
+
+
+def test_a_long_median_costs_little_per_row():
+    frame, values = smoothing.SortedFrame(1001), [float(i * 7919 % 100_003) for i in range(200_000)]
+    start = time.process_time()
+    got = [frame.push(v) for v in values]
+    assert time.process_time() - start < 10
+    assert all(got[i] == statistics.median(values[max(0, i - 1000):i + 1]) for i in range(0, 200_000, 9973))
+
+
 def test_history_and_transitions_equal_whole(readings):
     logs = readings.filter("timestamp IS NOT NULL").select(
         "asset_id", "timestamp", F.col("event_id").cast("string").alias("work_order_id"),
