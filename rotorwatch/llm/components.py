@@ -46,44 +46,59 @@ def components(edges: DataFrame) -> DataFrame:
 HUB_ROUNDS = 2
 
 
-def _hub(turn: int) -> Column:
-    """The member next to a target that depends on the cell and the round, by the bits of the ids (longs)."""
-    target = F.xxhash64("cell", F.lit(turn))
+def _hub(target: Column) -> Column:
+    """The member next to a target, by the bits of the ids (longs)."""
     return F.min(F.col("id").bitwiseXOR(target)).bitwiseXOR(target)
 
 
 def linked(
     members: DataFrame,
     close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-    marks: Callable[[DataFrame], DataFrame] | None = None,
+    marks: DataFrame | None = None,
+    confirm: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(id, root) of all ids that some link ties to another one.
 
-    ``members`` (cell, id): ids (longs) that share a cell are candidates. ``close`` is the exact test of two members, made while
-    they are joined, by id and the further columns that ``marks`` gives for a table of ids; so pairs that are no links
-    never leave the join.
+    ``members`` (cell, id): ids (longs) that share a cell are candidates. ``close`` is a test of two members by id and the further
+    columns that ``marks`` gives for an id. It is the exact test, unless ``confirm`` is given: then it may pass pairs that are no
+    links, and ``confirm`` keeps the links among pairs (a, b).
+
+    Without ``confirm`` the test is made while members are joined, so pairs that are no links never leave the join. With it, marks do
+    not travel with every member of every cell: a round has one target for all cells, so that cells of nearly the same
+    members have the same hub and give the same pairs of ids, and each pair is tested once. Only members that are compared in
+    pairs at the end carry their marks.
     """
 
     def shared(rows: DataFrame) -> DataFrame:
-        held = rows.groupBy("cell").agg(F.min("id").alias("_first"), F.max("id").alias("_last"), F.count("*").alias("_n"))
-        return rows.join(held.filter("_first < _last").select("cell", "_n"), "cell")
+        held = rows.groupBy("cell").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
+        return rows.join(held.filter("_first < _last").select("cell"), "cell")
 
-    def pairs(left: DataFrame, right: DataFrame, where: Column) -> DataFrame:
+    def pairs(left: DataFrame, right: DataFrame, where: Column, test: bool) -> DataFrame:
         """Distinct pairs of members of one cell and different labels."""
-        if known is not None:
-            left, right = left.join(known, "id"), right.join(known, "id")
+        if test and marks is not None:
+            left, right = left.join(marks, "id"), right.join(marks, "id")
         x = left.select("cell", *[F.col(c).alias(f"x_{c}") for c in left.columns if c != "cell"])
         y = right.select("cell", *[F.col(c).alias(f"y_{c}") for c in right.columns if c != "cell"])
-        near = close(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
+        near = close(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")) if test else F.lit(True)
         found = x.join(y, (x["cell"] == y["cell"]) & (F.col("x_label") != F.col("y_label")) & where & near)
         return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
+    def tested(found: DataFrame) -> DataFrame:
+        """The links among distinct pairs (a, b): by marks, then by ``confirm``."""
+        if marks is not None:
+            for end in ("a", "b"):
+                found = found.join(marks.select(*[F.col(c).alias(end if c == "id" else f"{end}_{c}") for c in marks.columns]), end)
+        near = found.filter(close(lambda c: F.col("a" if c == "id" else f"a_{c}"), lambda c: F.col("b" if c == "id" else f"b_{c}")))
+        return confirm(landed(near.select("a", "b"), "near"))
+
     inside = landed(shared(members), "cells")
-    known = landed(marks(landed(inside.select("id").distinct(), "candidates")), "marks") if marks else None
     open_cells, links, roots = inside.withColumn("label", F.col("id")), None, None
     for turn in range(HUB_ROUNDS):
-        hubs = open_cells.groupBy("cell").agg(_hub(turn).alias("id"))
-        found = pairs(open_cells, open_cells.join(hubs, ["cell", "id"]), F.lit(True))
+        target = F.xxhash64(F.lit(turn)) if confirm else F.xxhash64("cell", F.lit(turn))
+        hubs = open_cells.groupBy("cell").agg(_hub(target).alias("id"))
+        found = pairs(open_cells, open_cells.join(hubs, ["cell", "id"]), F.lit(True), not confirm)
+        if confirm:
+            found = tested(found)
         links = landed(found if links is None else links.union(found), "links")
         roots = components(links)
         # cells whose members are all tied together need no more comparisons
@@ -97,5 +112,7 @@ def linked(
     mains = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     mixed = open_cells.join(mains, "cell")
     once = (F.col("y_label") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
-    rest = pairs(mixed.filter("label <> main"), mixed, once)
+    rest = pairs(mixed.filter("label <> main"), mixed, once, True)
+    if confirm:
+        rest = confirm(landed(rest, "near"))
     return components(links.union(landed(rest, "links")))

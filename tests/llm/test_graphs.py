@@ -7,6 +7,8 @@ from itertools import combinations
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from rotorwatch.llm import line_dedup, simhash_dedup
 from rotorwatch.llm.components import components, linked
 
@@ -220,3 +222,19 @@ def test_four_shingles_against_five(spark):
     lines = [line for s in short for line in (s, s + rnd.choice("0123456789"))]
     got = same_class(spark, *lines)
     assert sum(got[i] == i - i % 2 for i in range(len(lines))) >= 0.98 * len(lines)
+
+
+def test_shingles_by_chunks(spark):
+    """Every run of five characters once, wherever the cuts fall."""
+    rnd = random.Random(5)
+    lines = ["".join(rnd.choice("abcXYZ \U0001F600é") for _ in range(n)) for n in [1, 4, 5, 6, 59, 60, 61, 63, 64, 65, 119, 120, 124, 125, 3001]]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    cut = df.select("line", F.explode(line_dedup.chunks(F.col("line"))).alias("c")).select(
+        "line", "c", F.explode(line_dedup.positions(F.col("c"))).alias("at")).selectExpr("line", "substring(c, at, 5) AS s")
+    got = {}
+    for r in cut.collect():
+        got.setdefault(r.line, []).append(r.s)
+    low = {x: x.lower() for x in lines}
+    assert {x: sorted(v) for x, v in got.items()} == {x: sorted([low[x][i:i + 5] for i in range(len(x) - 4)] or [low[x]]) for x in lines}
+    sizes = {r.line: r.n for r in df.select("line", F.size(line_dedup.shingle_set(F.col("line"))).alias("n")).collect()}
+    assert sizes == {x: len(character_shingles(x)) for x in lines}
