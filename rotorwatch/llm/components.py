@@ -65,13 +65,12 @@ def linked(
 
     Without ``confirm`` the test is made while members are joined, so pairs that are no links never leave the join. With it, marks do
     not travel with every member of every cell: a round has one target for all cells, so that cells of nearly the same
-    members have the same hub and give the same pairs of ids, and each pair is tested once. Only members that are compared in
-    pairs at the end carry their marks.
+    members have the same hub and give the same pairs of ids. Each pair is tested once in all rounds, and a cell of two members is
+    one pair and takes no part in them. Only members that are compared in pairs at the end carry their marks.
     """
 
-    def shared(rows: DataFrame) -> DataFrame:
-        held = rows.groupBy("cell").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
-        return rows.join(held.filter("_first < _last").select("cell"), "cell")
+    def held(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("cell").agg(F.min("id").alias("_first"), F.max("id").alias("_last"), F.count("*").alias("_n")).filter("_first < _last")
 
     def pairs(left: DataFrame, right: DataFrame, where: Column, test: bool) -> DataFrame:
         """Distinct pairs of members of one cell and different labels."""
@@ -91,14 +90,25 @@ def linked(
         near = found.filter(close(lambda c: F.col("a" if c == "id" else f"a_{c}"), lambda c: F.col("b" if c == "id" else f"b_{c}")))
         return confirm(landed(near.select("a", "b"), "near"))
 
-    inside = landed(shared(members), "cells")
+    def unseen(found: DataFrame) -> DataFrame:
+        return found if seen is None else found.join(seen, ["a", "b"], "left_anti")
+
+    seen = twos = None
+    if confirm:
+        cells = landed(held(members), "shared")
+        twos = cells.filter("_n = 2").select(F.col("_first").alias("a"), F.col("_last").alias("b"))
+        inside = landed(members.join(cells.filter("_n > 2").select("cell"), "cell"), "cells")
+    else:
+        inside = landed(members.join(held(members).select("cell"), "cell"), "cells")
     open_cells, links, roots = inside.withColumn("label", F.col("id")), None, None
     for turn in range(HUB_ROUNDS):
         target = F.xxhash64(F.lit(turn)) if confirm else F.xxhash64("cell", F.lit(turn))
         hubs = open_cells.groupBy("cell").agg(_hub(target).alias("id"))
         found = pairs(open_cells, open_cells.join(hubs, ["cell", "id"]), F.lit(True), not confirm)
         if confirm:
-            found = tested(found)
+            fresh = landed(found.union(twos).distinct() if seen is None else unseen(found), "pairs")
+            seen = fresh if seen is None else seen.union(fresh)
+            found = tested(fresh)
         links = landed(found if links is None else links.union(found), "links")
         roots = components(links)
         # cells whose members are all tied together need no more comparisons
@@ -114,5 +124,5 @@ def linked(
     once = (F.col("y_label") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
     rest = pairs(mixed.filter("label <> main"), mixed, once, True)
     if confirm:
-        rest = confirm(landed(rest, "near"))
+        rest = confirm(landed(unseen(rest), "near"))
     return components(links.union(landed(rest, "links")))
