@@ -394,6 +394,32 @@ def test_search_of_a_table_of_queries_equals_the_scan(spark):
     assert text_index.search_manuals(chunks, table.limit(0)).isEmpty() and text_index.search_manuals(chunks.limit(0), table).isEmpty()
 
 
+@pytest.mark.parametrize("few", [500, 2])
+def test_table_search_makes_no_row_per_run_of_a_text(spark, monkeypatch, few):
+    """Probes at every place of a text, short ones one by one or by runs; what leaves the scan is near the hits."""
+    monkeypatch.setattr(text_index, "FEW", few)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcÄ 日", k=rng.randrange(400))) for _ in range(60)] + ["abcabcabc", "abcabcab", "\U0001f600bcabcabc"]
+    chunks = spark.createDataFrame([(f"c{i}", "m", rng.choice(["ab", None]), t, float(i % 3)) for i, t in enumerate(texts)], S.MANUAL_CHUNKS)
+    cut = [t[i:i + n] for t in texts[:25] for n in (1, 2, 3, 4, 5, 8, 9, 10, 13, 20) if (i := rng.randrange(len(t) + 1)) + n <= len(t)]
+    queries = sorted({*cut, *texts[-3:], "abcabc_bc", "a%c 日a", "\uffffabcabcab", "\uffff\uffffabc"})
+    table = spark.createDataFrame([(q,) for q in queries], "query string")
+    got, want = text_index.search_manuals(chunks, table, 4), search.search_manuals(chunks, queries, 4)
+    assert rows(got.select("query", "rank", "chunk_id")) == rows(want.select("query", "rank", "chunk_id"))
+    long = table.filter("length(query) = 9 AND query NOT LIKE '%\\_%'")
+    found = text_index._hits(chunks, "chunk_id", ["content", "section"], long).count()
+    assert found <= 2 * text_index.gram_pairs(chunks, "chunk_id", ["content", "section"], long).count()
+
+
+def test_wildcards_of_a_table_of_queries_end_on_long_texts(spark):
+    """LIKE would try every place of a part with every place of the others."""
+    texts = ["or, x_y\\ " * 6000, "or, " * 3000 + "or,a fr", "fr or,", "5% off"]
+    chunks = spark.createDataFrame([(f"c{i}", "m", None, t, 1.0) for i, t in enumerate(texts)], S.MANUAL_CHUNKS)
+    want = {"or,%%% fr": [1], "o%r%o%r%_%a": [1], "%_%_%zz%": [], "fr%or": [2], "5\\%": [3], "x\\_y\\\\": [0], "or,_ fr": [1], ",_ fr": [1], ",a_fr": [1], "r,%[a-z]": []}
+    got = text_index.gram_pairs(chunks, "chunk_id", ["content", "section"], spark.createDataFrame([(q,) for q in want], "query string"))
+    assert rows(got) == sorted((q, f"c{i}") for q, found in want.items() for i in found)
+
+
 def test_failure_patterns_of_a_table_of_queries(spark):
     rng = random.Random(4)
     faults = ["Bearing failure", "Overheating", "Seal leak", "belt wear", "VIBRATION", None, "gear belt"]
