@@ -11,7 +11,7 @@ from rotorwatch.operators import (
 )
 from rotorwatch.functions.catalog import register_functions
 from rotorwatch.plans import dossier, gold, reports
-from rotorwatch.session import scratch_dir
+from rotorwatch.session import scratch_dir, written
 from rotorwatch.sources import files
 from rotorwatch.sources.bindings import LOG_ORDER, READING_ORDER, Tables, bind_readings
 from rotorwatch.sources.hourly_table import HourlyTable
@@ -199,9 +199,15 @@ def join_cost(t):
     return _rounded(joined, 6, "avg_cost_to_fix", "avg_downtime_hours", "avg_labor_hours", "first_time_fix_rate")
 
 
+def _records(t: Tables) -> DataFrame:
+    """Health with cost, as the serving tables take it. Both sides of that join need health, so it is written once."""
+    health = written(t.health(), "health")
+    return gold.health_with_cost(health, gold.gold_cost_impact(health, t.logs(), t.production()))
+
+
 @query
 def join_sync(t):
-    return gold.health_with_cost(t.health(), t.cost())
+    return _records(t)
 
 
 @query
@@ -982,7 +988,7 @@ def stream_rolling5(t):
 def stream_sync(t):
     """Gold records as a file stream into the serving tables; the live table that results."""
     folder = scratch_dir(t.spark, "sync")
-    records = gold.health_with_cost(t.health(), t.cost())
+    records = _records(t)
     records.write.parquet(f"{folder}/gold")
     stream = t.spark.readStream.schema(records.schema).parquet(f"{folder}/gold")
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
@@ -998,7 +1004,7 @@ def stream_sync(t):
 def _twice_synced(t, between) -> ServingLog:
     """Sync, a change by ``between``, and the same records again a day later, as batches 0 and 1."""
     tables = ServingLog(t.spark, scratch_dir(t.spark, "serving"))
-    records = gold.health_with_cost(t.health(), t.cost())
+    records = written(_records(t), "records")  # every sync reads them twice
     tables.sync(records, F.lit("2024-02-01 00:00:00").cast("timestamp"), 0)
     between(tables)
     tables.sync(records, F.lit("2024-02-02 00:00:00").cast("timestamp"), 1)
@@ -1032,7 +1038,7 @@ def reset_serving(t):
     """The rows of all three serving tables as written, and whether a reset leaves them."""
     tables = ServingLog(t.spark, scratch_dir(t.spark, "reset"))
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    tables.sync(gold.health_with_cost(t.health(), t.cost()), now)
+    tables.sync(written(_records(t), "records"), now)
     tables.recommend(t.recommendations().drop("rec_id", "created_at"), now)
 
     def contents():

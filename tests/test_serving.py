@@ -9,6 +9,7 @@ from conftest import rows
 from rotorwatch import schemas as S
 from rotorwatch.functions.catalog import register_functions
 from rotorwatch.operators import search, serving
+from rotorwatch.plans import gold, registry
 from rotorwatch.sources import files
 from rotorwatch.sources.serving_log import KeyedTable, ServingLog
 from rotorwatch.sources.snapshots import Snapshot, materialize, replace_days
@@ -267,3 +268,17 @@ def test_only_touched_days_are_replaced(spark, folder):
 def test_missing_tables(spark):
     with pytest.raises(LookupError, match="no_such_table"):
         files.require_tables(spark, ["no_such_table"])
+
+
+def test_records_for_serving_make_health_once(spark, folder):
+    """Health is a file to both sides of its join with cost; assets without orders keep empty figures."""
+    spark.sql("SELECT id AS c_custkey, 'n' AS c_name, CAST(id % 2 AS INT) AS c_nationkey, 90.0D AS c_acctbal, 'MACHINERY' AS c_mktsegment FROM range(4)").write.parquet(f"{folder}/customer.parquet")
+    spark.sql("SELECT id AS event_id, timestamp_seconds(1700000000 + id * 600)::timestamp_ntz AS ts, id % 4 AS user_id, 'view' AS event_type, 2.0D + id % 3 AS value, '{\"k\": 7}' AS props FROM range(40)").write.parquet(f"{folder}/events.parquet")
+    spark.sql("SELECT id AS o_orderkey, id % 3 AS o_custkey, 'F' AS o_orderstatus, 100.0D AS o_totalprice, timestamp_ntz'2023-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(9)").write.parquet(f"{folder}/orders.parquet")
+    spark.sql("SELECT CAST(id AS INT) AS n_nationkey FROM range(2)").write.parquet(f"{folder}/nation.parquet")
+    tables = registry.Tables(spark, folder)
+    records = registry._records(tables)
+    want = rows(gold.health_with_cost(tables.health(), tables.cost()))
+    assert rows(records) == want and len(want) == 4
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "hour_window" not in plan
