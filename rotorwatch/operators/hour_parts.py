@@ -38,20 +38,26 @@ def hour_parts(silver: DataFrame, points: int = S.SMOOTHING_POINTS, tie_break: t
 
 
 def _mean(readings: Column, value: str) -> Column:
-    known = F.filter(F.transform(readings, lambda r: r[value]), lambda v: v.isNotNull())
-    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, b: a + b) / F.size(known))
+    """One pass over the readings: a lambda makes an argument anew wherever it stands."""
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("known"))
+    return F.aggregate(
+        readings, start,
+        lambda a, r: F.when(r[value].isNull(), a).otherwise(F.struct((a["total"] + r[value]).alias("total"), (a["known"] + 1).alias("known"))),
+        lambda a: F.try_divide(a["total"], a["known"]))
 
 
 def trends_of_parts(parts: DataFrame, points: int = S.SMOOTHING_POINTS) -> DataFrame:
     """`trends.hourly_trends` from summaries. An asset's hours meet in one task, a few readings each."""
     back = points - 1
-    ends = parts.groupBy(*HOUR).agg(*[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("first", "last")])
+    ends = parts.groupBy(*HOUR).agg(*[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("first", "last")])
     before = F.flatten(F.collect_list("last").over(Window.partitionBy("asset_id").orderBy("hour_window").rowsBetween(-back, -1)))
     carried = ends.withColumn("_before", before).withColumn("_before", F.slice("_before", F.greatest(F.size("_before") - back, F.lit(0)) + 1, back))
 
+    carried = carried.withColumns({"_rows": F.concat("_before", "first"), "_past": F.size("_before")})
+
     def frame(i: Column) -> Column:
-        up_to = F.concat("_before", F.slice("first", F.lit(1), i + 1))
-        return F.slice(up_to, F.greatest(F.size(up_to) - points, F.lit(0)) + 1, points)
+        start = F.greatest(F.col("_past") + i + 1 - points, F.lit(0))
+        return F.slice("_rows", start + 1, F.col("_past") + i + 1 - start)
 
     first = F.transform("first", lambda r, i: F.struct(
         r["production_line_id"].alias("production_line_id"), r["criticality_tier"].alias("criticality_tier"),

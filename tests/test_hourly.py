@@ -61,3 +61,12 @@ def test_only_touched_days_are_read_and_written(spark, folder):
     assert len(scans) >= 3 and all("PartitionFilters: [" in s and "PartitionFilters: []" not in s for s in scans)
     _same(table.trends(), trends.hourly_trends(silver.unionByName(late), tie_break=("event_id",)))
     assert rows(table.readings().groupBy("batch").count()) == [(0, silver.count()), (1, 3)]
+
+
+def test_mean_of_a_frame_reads_it_once(spark):
+    """An argument of a lambda is made anew wherever it stands, so the frame must stand in one place."""
+    mean = hour_parts._mean(F.col("frame"), "v")
+    df = spark.sql("SELECT * FROM VALUES (array(named_struct('v', 1.0D), named_struct('v', CAST(NULL AS DOUBLE)), named_struct('v', 4.0D))), "
+                   "(array(named_struct('v', CAST(NULL AS DOUBLE)))), (CAST(array() AS ARRAY<STRUCT<v: DOUBLE>>)) AS t(frame)")
+    assert rows(df.select(mean)) == [(2.5,), (None,), (None,)]
+    assert str(mean).count("frame") == 1
