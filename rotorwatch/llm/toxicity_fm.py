@@ -77,7 +77,7 @@ def paired(y: np.ndarray, owner: np.ndarray, where: np.ndarray, df: np.ndarray,
     share = np.clip(bad / np.maximum(df, 1), 1e-9, 1 - 1e-9)
     most = np.maximum(-bad * np.log(share), -(df - bad) * np.log(1 - share))
     chosen = np.flatnonzero(most >= limit)
-    place = np.full(len(df), -1)
+    place = np.full(len(df), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     column, row = place[where], owner
     order = np.flatnonzero(column >= 0)
@@ -107,6 +107,17 @@ def paired(y: np.ndarray, owner: np.ndarray, where: np.ndarray, df: np.ndarray,
     return out
 
 
+def places(every: np.ndarray, terms: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Where each term stands in the sorted ``every``, -1 if nowhere; block by block, in 32 bits."""
+    out = np.full(len(terms), -1, np.int32)
+    for at in range(0, len(terms) if len(every) else 0, block):
+        part = terms[at:at + block]
+        found = np.minimum(np.searchsorted(every, part), len(every) - 1)
+        same = every[found] == part
+        out[at:at + block][same] = found[same]
+    return out
+
+
 def fit(labels: np.ndarray, rows: list[np.ndarray]) -> Machine:
     """AdaGrad on logistic loss over the terms that differ between the classes, alone or in a pair."""
     y = np.asarray(labels, np.float32)
@@ -115,17 +126,19 @@ def fit(labels: np.ndarray, rows: list[np.ndarray]) -> Machine:
         share = (n_bad + 1) / (n + 2) if n else 0.0
         return Machine(np.log(share / (1 - share)) if n else -50.0)
     counts = np.array([len(r) for r in rows])
-    every, where = np.unique(np.concatenate(rows) if counts.sum() else np.empty(0, np.int64), return_inverse=True)
-    owner = np.repeat(np.arange(n), counts)
-    df, bad = np.bincount(where, minlength=len(every)), np.bincount(where, y[owner], minlength=len(every))
+    terms = np.concatenate(rows) if counts.sum() else np.empty(0, np.int64)
+    del rows  # the caller's only reference, if it gave its own away
+    every, df = np.unique(terms, return_counts=True)
+    every, df = every[df >= LEAST_DOCS], df[df >= LEAST_DOCS]  # rarer ones are never used
+    where = places(every, terms)
+    held = where >= 0
+    owner, where = np.repeat(np.arange(n, dtype=np.int32), counts)[held], where[held]
+    del terms, held
+    bad = np.bincount(where, y[owner], minlength=len(every))
     p = df / n
     z = (bad / n_bad - (df - bad) / (n - n_bad)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_bad + 1 / (n - n_bad)))
-    used = (df >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    often = np.flatnonzero(df >= LEAST_DOCS)
-    rank = np.full(len(every), -1)
-    rank[often] = np.arange(len(often))
-    held = rank[where] >= 0
-    used[often[paired(y, owner[held], rank[where[held]], df[often], bad[often])]] = True
+    used = np.abs(z) >= LEAST_Z
+    used[paired(y, owner, where, df, bad)] = True
     place = np.cumsum(used) - 1
     keep = used[where]
     owner, where = owner[keep], place[where[keep]]
@@ -155,9 +168,14 @@ def fit(labels: np.ndarray, rows: list[np.ndarray]) -> Machine:
 
 def fit_frames(frames):
     """One task: the bounded sample comes in, the machine goes out as rows (term, weight, vector); term -1 holds the bias."""
-    got = [f for f in frames if len(f)]  # none: a machine that scores nothing as toxic
-    labels = np.concatenate([f["toxic"].to_numpy() for f in got]) if got else np.empty(0)
-    machine = fit(labels, [np.asarray(t, np.int64) for f in got for t in f["terms"]])
+    labels, rows = [np.empty(0)], []
+    for f in frames:  # none: a machine that scores nothing as toxic
+        if len(f):
+            labels.append(f["toxic"].to_numpy())
+            rows += [np.asarray(t, np.uint32) for t in f["terms"]]  # hashes of 32 bits; the frames go
+    given = [rows]
+    del rows
+    machine = fit(np.concatenate(labels), given.pop())
     yield pd.DataFrame({
         "term": [-1, *machine.terms.tolist()], "weight": [machine.bias, *machine.weights.tolist()],
         "vector": [[], *machine.vectors.tolist()],

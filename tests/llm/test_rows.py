@@ -6,6 +6,8 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -194,3 +196,19 @@ def test_toxicity_of_a_pair_of_neutral_terms():
     machine = toxicity_fm.fit([y for y, _ in rows[:1200]], [toxicity_fm.text_terms(t) for _, t in rows[:1200]])
     assert {zlib.crc32(b"alpha"), zlib.crc32(b"bravo")} <= set(machine.terms.tolist())
     assert sum((machine.score(t) >= 0.5) == y for y, t in rows[1200:]) >= 0.98 * 400
+
+
+def test_fit_holds_few_bytes_a_term():
+    """Terms of 32 bits, places of 32 bits, no sorting by index: a fit fits beside the others on an executor."""
+    import tracemalloc
+
+    draw, n, size = np.random.default_rng(3), 1000, 400
+    frame = pd.DataFrame({"toxic": np.arange(n) % 2, "terms": [np.unique(draw.integers(0, 1 << 32, size)) for _ in range(n)]})
+    tracemalloc.start()
+    (got,) = toxicity_fm.fit_frames(iter([frame]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1 and peak < 50 * n * size
+    every, terms = np.array([3, 5, 9], np.uint32), np.array([1, 3, 4, 5, 9, 10, 5], np.uint32)
+    assert toxicity_fm.places(every, terms, 2).tolist() == [-1, 0, -1, 1, 2, -1, 1]
+    assert toxicity_fm.places(every[:0], terms).tolist() == [-1] * 7
