@@ -12,8 +12,9 @@ executors and combined by aggregation. Null and empty texts hold nothing; items
 """
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ COPIED, PARAPHRASED, ANSWERED, STRETCH = 0.8, 0.6, 0.8, 1.3
 MOST_TERMS = 1_000_000
 ENDINGS = ("", ".", ",", ";", ":", "!", "?")
 SEED = 11
+# Longer runs are added one by one; most frequent terms that are counted no more often than the item holds them.
+LONG_RUN, EVERYDAY = 64, 128
 
 
 @dataclass
@@ -66,6 +69,29 @@ def term_numbers(items: Items, text: str | None) -> np.ndarray:
     return np.fromiter(map(items.terms.get, found, repeat(-1)), items.kind, len(found))
 
 
+def run_sums(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """For each of ``size`` numbers the sum of ``rows[at]`` where ``keys``, which are sorted, hold that number.
+
+    The first elements of all runs are added at once, then the second ones, and so on; a long run is added by itself.
+    """
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    begins = np.flatnonzero(np.diff(keys, prepend=-1))
+    lengths = np.diff(begins, append=len(keys))
+    order = np.argsort(-lengths, kind="stable")
+    n_long = int((lengths > LONG_RUN).sum())
+    for b, n in zip(begins[order[:n_long]], lengths[order[:n_long]]):
+        out[keys[b]] = rows[at[b:b + n]].sum(0)
+    order = order[n_long:]
+    if len(order):
+        begins, lengths = begins[order], lengths[order]
+        sums = rows[at[begins]]
+        for j in range(1, lengths[0]):
+            k = np.searchsorted(-lengths, -j)  # runs with more than j elements
+            sums[:k] += rows[at[begins[:k] + j]]
+        out[keys[begins]] = sums
+    return out
+
+
 class Blocks:
     """The weighted words of many texts, in blocks that never span two texts."""
 
@@ -81,13 +107,17 @@ class Blocks:
         text_of = np.searchsorted(starts, known, "right") - 1
         self.block = self.first[text_of] + (known - starts[text_of]) // BLOCK  # block of each weighted word
         self.term = words[known]
+        self.place = (known - starts[text_of]) % BLOCK  # of each weighted word in its block
 
     def project(self, rows: np.ndarray) -> np.ndarray:
         """Sum of the ``rows`` of the words of each block."""
-        out = np.zeros((self.first[-1], rows.shape[1]), np.float32)
-        if len(self.block):
-            begins = np.flatnonzero(np.diff(self.block, prepend=-1))
-            out[self.block[begins]] = np.add.reduceat(rows[self.term], begins, axis=0)
+        return run_sums(self.block, rows, self.term, self.first[-1])
+
+    def windows(self, counts: np.ndarray, length: int) -> np.ndarray:
+        """Sums of ``counts`` (a row per block, at most BLOCK each) over ``length`` blocks from each block on, those of the next text included."""
+        out = counts.astype(np.min_scalar_type(length * BLOCK))
+        for j in range(1, min(length, len(counts))):
+            out[:-j] += counts[j:]
         return out
 
 
@@ -165,9 +195,7 @@ def latent_space(texts: DataFrame, weights: np.ndarray, kind: str, rank: int = R
                     continue
                 y = b.project(scaled)
                 order = np.argsort(b.term, kind="stable")
-                term = b.term[order]
-                begins = np.flatnonzero(np.diff(term, prepend=-1))
-                sketch[term[begins]] += np.add.reduceat(y[b.block[order]], begins, axis=0)
+                sketch += run_sums(b.term[order], y, b.block[order], len(sketch))
         used = np.flatnonzero(np.abs(sketch).sum(1))
         for k in range(sketch.shape[1]):
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([k] * len(used), pa.int32()), pa.array(sketch[used, k])], ["term", "k", "v"])
@@ -203,17 +231,29 @@ class Matcher:
                 row = ((row + hit) | (row - hit)) & full
         return n - row.bit_count()
 
+    @property
+    def stretch(self) -> tuple[int, int]:
+        """Words of a stretch and between the starts of stretches."""
+        return int(np.ceil(STRETCH * self.n)) + self.n // 4 + 1, max(1, self.n // 4)
+
     def verdict(self, words: list) -> tuple[float, bool]:
-        """(largest share of the item that a stretch covers, contaminated). Stretches start at every fourth of the item's length."""
+        """(largest share of the item that a stretch covers, contaminated). Stretches start at every fourth of the item's length.
+
+        Stretches with too few words of the item to cover PARAPHRASED of it are passed over.
+        """
         n, masks, least = self.n, self.masks, PARAPHRASED * self.n
         there = [w for w in words if w in masks]
         most = min(len(there), self.common(there)) if len(there) >= least else 0
         if most < least:  # bounds what any stretch can cover
             return most / n, False
-        size, step = int(np.ceil(STRETCH * n)) + n // 4 + 1, max(1, n // 4)
+        before = [0, *accumulate(w in masks for w in words)]  # words of the item in front of each word
+        size, step = self.stretch
         best, found = 0.0, False
         for start in range(0, max(1, len(words) - size + step), step):
-            part = words[start:start + size]
+            first, last = before[start], before[min(start + size, len(words))]
+            if last - first < least:
+                continue
+            part = there[first:last]
             covered = self.common(part) / n
             best = max(best, covered)
             answered = covered >= PARAPHRASED and self.common(part, self.answer) >= ANSWERED * (n - self.answer)
@@ -222,52 +262,115 @@ class Matcher:
 
 
 class Search:
-    """Cosine search of items over texts, with the check of each candidate."""
+    """Cosine search of items over texts, with the check of each candidate.
+
+    Before the check of a candidate, words are counted: a stretch must hold PARAPHRASED of the item's words, each as often as the item does.
+    """
 
     def __init__(self, items: Items, weights: np.ndarray, space: np.ndarray):
         self.items, self.weights, self.rows = items, weights, space * weights[:, None]
-        self.by_length = {}
-        for i, words in enumerate(items.words):
-            m = -(-len(words) // BLOCK) + 1
-            self.by_length.setdefault(m, []).append(i)
         self.matchers = [Matcher(w, a) for w, a in zip(items.words, items.answers)]
+        # by blocks of a passage, and blocks that a stretch of the check lies in at most
+        shape = [(-(-x.n // BLOCK) + 1, -(-(x.stretch[0] - 1) // BLOCK) + 1) for x in self.matchers]
+        order = sorted(range(len(shape)), key=shape.__getitem__)
+        self.parts = []
+        for at in range(0, len(order), 512):
+            numbers, cut = order[at:at + 512], [shape[i] for i in order[at:at + 512]]
+            self.parts.append((np.array(numbers), [(*key, bisect_left(cut, key), bisect_right(cut, key)) for key in sorted(set(cut))]))
         queries = np.stack([self.rows[w].sum(0) for w in items.words])
         self.queries = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-
-    def candidates(self, blocks: Blocks):
-        """(item, text, first block, block behind the last) of passages whose cosine reaches the bound."""
+        self.everyday = np.argsort(weights, kind="stable")[:EVERYDAY]
+
+    def wanted(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each term among those of the items ``numbers`` (else -1), and how often each item (a column) holds them.
+
+        Both have a last element for the words of no item.
+        """
+        words = [self.items.words[i] for i in numbers]
+        terms, row = np.unique(np.concatenate(words), return_inverse=True)
+        counts = np.zeros((len(terms) + 1, len(words)), np.int16)
+        np.add.at(counts, (row, np.repeat(np.arange(len(words)), [len(w) for w in words])), 1)
+        place = np.full(len(self.weights) + 1, -1)
+        place[terms] = np.arange(len(terms))
+        return place, counts
+
+    def countable(self, blocks: Blocks, length: int, numbers: np.ndarray, counts: np.ndarray, held: np.ndarray, everyday: tuple, grid: np.ndarray) -> list:
+        """(text, place in ``numbers``) where some stretch of the check holds enough words of the item.
+
+        By block: ``held`` words of each item, ``everyday`` terms (their places, counts), ``grid`` of places of all words.
+        """
+        n, own = len(held), counts > 0
+        ends = blocks.first[blocks.owner + 1]
+        least = np.ceil(PARAPHRASED * counts.sum(0)).astype(np.int64)
+        sizes = np.array([self.matchers[i].stretch[0] for i in numbers])
+        sums = blocks.windows(held, length)
+        row, col = np.nonzero(sums >= least.astype(sums.dtype))
+        # everyday words count no more often than the item holds them
+        spare = np.where(own[everyday[0]], counts[everyday[0]], np.iinfo(np.int16).max).T
+        often, pairs = blocks.windows(everyday[1], length), set()
+        batch = max(1, (1 << 20) // (length * BLOCK))
+        for at in range(0, len(row), batch):
+            r, c = row[at:at + batch], col[at:at + batch]
+            over = np.maximum(often[r].astype(np.int32) - spare[c], 0).sum(1)
+            left = sums[r, c] >= least[c] + over
+            r, c = r[left], c[left]
+            # then word by word, in stretches as long as those of the check
+            inside = r[:, None] + np.arange(length)
+            there = own[grid[np.minimum(inside, n - 1)], c[:, None, None]] & (inside < ends[r][:, None])[:, :, None]
+            before = np.zeros((len(r), length * BLOCK + 1), np.int32)
+            np.cumsum(there.reshape(len(r), length * BLOCK), axis=1, out=before[:, 1:])
+            for size in np.unique(sizes[c]).tolist():
+                k = np.flatnonzero(sizes[c] == size)
+                k = k[(before[k, size:] - before[k, :-size]).max(1) >= least[c[k]]]
+                pairs.update(zip(blocks.owner[r[k]].tolist(), c[k].tolist()))
+        return sorted(pairs)
+
+    def spans(self, blocks: Blocks):
+        """(item, text, first block, block behind the last), inside the text, of passages whose cosine reaches the bound; overlapping ones are one."""
         own = blocks.project(self.rows)
         n = len(own)
         sums = np.zeros((n + 1, own.shape[1]), np.float32)
         np.cumsum(own, axis=0, out=sums[1:])
         begins, ends = blocks.first[blocks.owner], blocks.first[blocks.owner + 1]
-        for m, numbers in self.by_length.items():
-            # a window that would pass the end of its text is needed only if it starts the text
-            start = np.flatnonzero((np.arange(n) + m <= ends) | (np.arange(n) == begins))
-            stop = np.minimum(start + m, ends[start])
-            passages = sums[stop] - sums[start]
-            bound = CANDIDATE_FROM * np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-6)
-            for at in range(0, len(numbers), 512):
-                part = numbers[at:at + 512]
-                row, col = np.nonzero(passages @ self.queries[part].T >= bound)
-                yield from zip((part[c] for c in col), blocks.owner[start[row]].tolist(), start[row].tolist(), stop[row].tolist())
+        column = np.full(len(self.weights), -1)
+        column[self.everyday] = np.arange(len(self.everyday))
+        used = np.flatnonzero(column[blocks.term] >= 0)
+        at = blocks.block[used] * len(self.everyday) + column[blocks.term[used]]
+        everyday = np.bincount(at, minlength=n * len(self.everyday)).reshape(n, len(self.everyday)).astype(np.uint8)
+        for numbers, groups in self.parts:
+            place, counts = self.wanted(numbers)
+            held = run_sums(blocks.block, (counts > 0).astype(np.uint8), place[blocks.term], n)
+            grid = np.full((n, BLOCK), -1)
+            grid[blocks.block, blocks.place] = place[blocks.term]
+            known = np.flatnonzero(place[self.everyday] >= 0)
+            often = place[self.everyday[known]], everyday[:, known]
+            for m, length, a, b in groups:
+                pairs = self.countable(blocks, length, numbers[a:b], counts[:, a:b], held[:, a:b], often, grid)
+                if not pairs:
+                    continue
+                # a window that would pass the end of its text is needed only if it starts the text
+                asked = np.zeros(len(blocks.first), bool)
+                asked[[text for text, _ in pairs]] = True
+                start = np.flatnonzero(((np.arange(n) + m <= ends) | (np.arange(n) == begins)) & asked[blocks.owner])
+                stop = np.minimum(start + m, ends[start])
+                passages = sums[stop] - sums[start]
+                bound = CANDIDATE_FROM * np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-6)
+                near = passages @ self.queries[numbers[a:b]].T >= bound
+                first = np.searchsorted(start, blocks.first)
+                for text, k in pairs:
+                    rows = np.flatnonzero(near[first[text]:first[text + 1], k]) + first[text]
+                    if len(rows):
+                        cuts = np.flatnonzero(start[rows[1:]] > stop[rows[:-1]])
+                        for x, y in zip(rows[[0, *(cuts + 1)]], rows[[*cuts, -1]]):
+                            yield int(numbers[a + k]), text, int(start[x] - blocks.first[text]), int(stop[y] - blocks.first[text])
 
     def hits(self, texts: list[np.ndarray]) -> dict:
         """(text, item number): share covered, of contaminated texts. Overlapping candidates are checked as one stretch."""
-        blocks, spans, out = Blocks(texts, self.weights), {}, {}
-        for i, text, start, stop in self.candidates(blocks):
-            own = spans.setdefault((text, i), [])
-            first = start - blocks.first[text]
-            last = stop - blocks.first[text]
-            if own and first <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], last)
-            else:
-                own.append([first, last])
-        for (text, i), own in spans.items():
-            for first, last in own:
-                covered, found = self.matchers[i].verdict(texts[text][max(0, first - 1) * BLOCK:(last + 1) * BLOCK].tolist())
-                if found:
-                    out[text, i] = max(out.get((text, i), 0.0), covered)
+        out = {}
+        for i, text, first, last in self.spans(Blocks(texts, self.weights)):
+            covered, found = self.matchers[i].verdict(texts[text][max(0, first - 1) * BLOCK:(last + 1) * BLOCK].tolist())
+            if found:
+                out[text, i] = max(out.get((text, i), 0.0), covered)
         return out
 
 

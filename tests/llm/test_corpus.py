@@ -146,3 +146,61 @@ def test_contaminated_without_the_rare_words(spark):
     frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, benchmark).collect()}
     assert got == {(1000 + k, k) for k in range(5)}
+
+
+def plain_hits(search, texts):
+    """Every candidate of the cosine, overlapping ones as one stretch, checked over all stretches without any bound."""
+    blocks, out = decontaminate.Blocks(texts, search.weights), {}
+    own = np.stack([np.zeros(search.rows.shape[1], np.float32), *[sum((search.rows[w] for w in t[at:at + decontaminate.BLOCK] if w >= 0), np.zeros(search.rows.shape[1], np.float32))
+                                                                   for t in texts for at in range(0, len(t), decontaminate.BLOCK)]])[1:]
+    for i, matcher in enumerate(search.matchers):
+        m = -(-matcher.n // decontaminate.BLOCK) + 1
+        for text, words in enumerate(texts):
+            first, end, spans = blocks.first[text], blocks.first[text + 1], []
+            for start in range(first, max(first, end - m) + 1 if end > first else first):
+                stop = min(start + m, end)
+                passage = own[start:stop].sum(0)
+                if passage @ search.queries[i] >= decontaminate.CANDIDATE_FROM * max(np.linalg.norm(passage), 1e-6):
+                    if spans and start - first <= spans[-1][1]:
+                        spans[-1][1] = stop - first
+                    else:
+                        spans.append([start - first, stop - first])
+            for a, b in spans:
+                part = words[max(0, a - 1) * decontaminate.BLOCK:(b + 1) * decontaminate.BLOCK].tolist()
+                size, step = matcher.stretch
+                for at in range(0, max(1, len(part) - size + step), step):
+                    covered = matcher.common(part[at:at + size]) / matcher.n
+                    answered = matcher.common(part[at:at + size], matcher.answer) >= decontaminate.ANSWERED * (matcher.n - matcher.answer)
+                    if covered >= decontaminate.COPIED or covered >= decontaminate.PARAPHRASED and answered:
+                        out[text, i] = max(out.get((text, i), 0.0), covered)
+    return out
+
+
+def test_counts_before_the_check_lose_nothing(monkeypatch):
+    """Texts of few, very frequent words: counting finds what the check of every candidate finds, and leaves most candidates unchecked."""
+    rnd = random.Random(23)
+    few = [f"w{i}" for i in range(300)]
+    line = lambda n: [rnd.choice(few[:8]) if rnd.random() < 0.5 else rnd.choice(few) for _ in range(n)]
+    rows = [(i, " ".join(line(n)) + ". " + " ".join(line(6)) + ".") for i, n in enumerate([1, 3, 9, 14, 20, 26, 33, 42, 53, 90, 300])]
+    items = decontaminate.Items.of(rows)
+    texts = [" ".join(line(n)) for n in [0, 1, 15, 16, 17, 47, 48, 49, 130, 700, 2000]]
+    for _, text in rows:
+        words = text.split()
+        texts += [" ".join([*line(37), *(w if rnd.random() < keep else "other" for w in words), *line(59)]) for keep in (1, 0.85, 0.7, 0.6)]
+    texts = [decontaminate.term_numbers(items, t) for t in texts]
+    weights = np.linspace(1, 2, items.size, dtype=np.float32)
+    search = decontaminate.Search(items, weights, np.eye(items.size, dtype=np.float32))
+    checked, verdict = [], decontaminate.Matcher.verdict
+    monkeypatch.setattr(decontaminate.Matcher, "verdict", lambda self, words: checked.append(self.n) or verdict(self, words))
+    got, wanted = search.hits(texts), plain_hits(search, texts)
+    assert got == wanted and len(wanted) > 20
+    assert len(checked) < 0.5 * len(items.words) * len(texts)
+
+
+def test_sums_of_runs():
+    rnd = np.random.default_rng(3)
+    for n, size in [(0, 4), (1, 1), (500, 7), (300, 200)]:
+        keys, rows, at = np.sort(rnd.integers(0, size, n)), rnd.integers(0, 9, (30, 5)), rnd.integers(0, 30, n)
+        wanted = np.zeros((size, 5), int)
+        np.add.at(wanted, keys, rows[at])
+        assert (decontaminate.run_sums(keys, rows, at, size) == wanted).all()
