@@ -238,3 +238,19 @@ def test_shingles_by_chunks(spark):
     assert {x: sorted(v) for x, v in got.items()} == {x: sorted([low[x][i:i + 5] for i in range(len(x) - 4)] or [low[x]]) for x in lines}
     sizes = {r.line: r.n for r in df.select("line", F.size(line_dedup.shingle_set(F.col("line"))).alias("n")).collect()}
     assert sizes == {x: len(character_shingles(x)) for x in lines}
+
+
+def test_shingles_by_slices(spark):
+    """The slices of a line's code points are its runs of five characters, and nothing of the text is walked again for each of them."""
+    rnd = random.Random(6)
+    lines = ["".join(rnd.choice("abcXYZ \U0001F600\u00e9\u4e00") for _ in range(n)) for n in [1, 4, 5, 6, 60, 3001]] + ["", "\u0130\u00df" * 9]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("low", F.lower("line")).withColumn("points", line_dedup.code_points(F.col("line")))
+    cut = df.select("line", "low", "points", F.explode(line_dedup.starts(F.col("points"))).alias("at"))
+    got, low = {x: [] for x in lines}, {}
+    for r in cut.select("line", "low", line_dedup.shingle(F.col("points"), F.col("at")).alias("s")).collect():
+        got[r.line].append(bytes(r.s).decode("utf-32-be"))
+        low[r.line] = r.low
+    assert got == {x: [low[x][i:i + 5] for i in range(len(low[x]) - 4)] or [low[x]] for x in lines}
+    # bands of a line come from these slices; case makes no difference, other lines share none
+    bands = {r.id: r["keys"] for r in line_dedup.bands(spark.createDataFrame([(1, "Some words \U0001F600 of a line"), (2, "sOME WORDS \U0001F600 OF A LINE"), (3, "quite another")], "id long, line string")).collect()}
+    assert bands[1] == bands[2] and not set(bands[1]) & set(bands[3])
