@@ -254,3 +254,35 @@ def test_shingles_by_slices(spark):
     # bands of a line come from these slices; case makes no difference, other lines share none
     bands = {r.id: r["keys"] for r in line_dedup.bands(spark.createDataFrame([(1, "Some words \U0001F600 of a line"), (2, "sOME WORDS \U0001F600 OF A LINE"), (3, "quite another")], "id long, line string")).collect()}
     assert bands[1] == bands[2] and not set(bands[1]) & set(bands[3])
+
+
+def test_bands_of_lines_of_one_language(spark):
+    """Lines made of the same syllables have many shingles in common; few of them share a band, and lines of similarity 0.8 do."""
+    rnd = random.Random(31)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"][:14]
+    lines = ["".join(rnd.choice(syllables) + rnd.choice(["", "", " "]) for _ in range(450)) for _ in range(150)]
+    low, near = [character_shingles(x) for x in lines], []
+    three = sum(1 - (1 - (len(a & b) / len(a | b)) ** 3) ** 8 for a, b in combinations(low, 2))  # pairs expected of 8 bands of three hashes
+    assert three > 50
+    for line, own in zip(lines, low):  # its end is changed for as long as it stays similar
+        at = len(line)
+        while len(own & (new := character_shingles(line[:at - 4] + "Z" * (len(line) - at + 4)))) >= 0.8 * len(own | new):
+            at -= 4
+        near.append(line[:at] + "Z" * (len(line) - at))
+    rows = spark.createDataFrame(list(enumerate(lines + near)), "id long, line string")
+    keys = {r.id: set(r["keys"]) for r in line_dedup.bands(rows).collect()}
+    n = len(lines)
+    assert sum(bool(keys[i] & keys[i + n]) for i in range(n)) >= 0.98 * n
+    assert sum(bool(keys[a] & keys[b]) for a, b in combinations(range(n), 2)) < 0.4 * three
+
+
+def test_bitmaps_of_lines_that_repeat_themselves(spark):
+    """The bound of a line that repeats itself is its number of distinct shingles, not of positions, so that unlike ones are told apart."""
+    rnd = random.Random(32)
+    plain = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(700))
+    lines = ["of " * 200, "it " * 200, plain, "abc", "x" * 30000]
+    rows = {r.id: r for r in line_dedup.bitmaps(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
+    assert [rows[i].n for i in range(5)] == [3, 3, 700, 3, 1]
+    marks = spark.createDataFrame([rows[0]]).select(
+        *[F.col(c).alias(f"a_{c}") for c in rows[0].asDict()]).crossJoin(spark.createDataFrame([rows[1]]).select(*[F.col(c).alias(f"b_{c}") for c in rows[1].asDict()]))
+    assert marks.filter(line_dedup.possible(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).count() == 0
