@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from itertools import combinations
 
 import pytest
@@ -9,7 +10,8 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from rotorwatch.llm import line_dedup, simhash_dedup
+from rotorwatch.llm import common, line_dedup, simhash_dedup
+from rotorwatch.llm import components as link_search
 from rotorwatch.llm.components import components, linked
 
 
@@ -286,3 +288,50 @@ def test_bitmaps_of_lines_that_repeat_themselves(spark):
     marks = spark.createDataFrame([rows[0]]).select(
         *[F.col(c).alias(f"a_{c}") for c in rows[0].asDict()]).crossJoin(spark.createDataFrame([rows[1]]).select(*[F.col(c).alias(f"b_{c}") for c in rows[1].asDict()]))
     assert marks.filter(line_dedup.possible(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).count() == 0
+
+
+def test_bitmaps_tell_long_unlike_lines_apart(spark):
+    """Unlike lines of 1,200 characters never reach the exact test; similar ones do."""
+    rnd = random.Random(33)
+    lines = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1200)) for _ in range(12)]
+    lines += [line[:1100] + "Z" * 100 for line in lines]
+    marks = line_dedup.bitmaps(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    a, b = (marks.select(*[F.col(c).alias(f"{end}_{c}") for c in marks.columns]) for end in "ab")
+    near = a.crossJoin(b).filter("a_id < b_id").filter(line_dedup.possible(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
+    assert sorted((r.a_id, r.b_id) for r in near.collect()) == [(i, i + 12) for i in range(12)]
+
+
+def test_links_in_slices(spark, monkeypatch):
+    """Links that need the comparison of all members, a few rows at a time, with and without a second test; a pair is confirmed once."""
+    monkeypatch.setattr(link_search, "SLICE_ROWS", 30)
+    rnd = random.Random(9)
+    members = sorted({(rnd.randrange(4), n) for n in rnd.sample(range(60), 30) for _ in range(2)})
+    links = [(a, b) for (c, a), (d, b) in combinations(members, 2) if c == d and abs(a - b) == 1]
+    rows, near, asked = spark.createDataFrame(members, "cell int, id long"), lambda a, b: F.abs(a("id") - b("id")) <= 2, []
+
+    def confirm(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.filter("abs(a - b) = 1")
+
+    want = classes({n for e in links for n in e}, links)
+    assert {r.id: r.root for r in linked(rows, near, None, confirm).collect()} == want
+    assert len(asked) == len(set(asked))
+    assert {r.id: r.root for r in linked(rows, lambda a, b: F.abs(a("id") - b("id")) == 1).collect()} == want
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        return sum("shuffle_" in f.getName() for f in list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())))
+
+    before = shuffled()
+    table = common.landed(spark.range(1000).groupBy(F.xxhash64("id")).count(), "counts")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert table.count() == 1000
+    common.dropped(table, None)
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(table.inputFiles()[0]).count()
