@@ -411,6 +411,24 @@ def test_table_search_makes_no_row_per_run_of_a_text(spark, monkeypatch, few):
     assert found <= 2 * text_index.gram_pairs(chunks, "chunk_id", ["content", "section"], long).count()
 
 
+def test_table_search_keeps_the_best_only(spark):
+    """Of thousands of texts that hold a query, k of each task leave the scan; a text that holds it twice, or twice in the table, has one place."""
+    chunks = spark.createDataFrame([(f"c{i % 900}", "m", None if i % 2 else "pump seal", f"pump seal no {i % 900} is a pump seal", float(i % 900 % 3)) for i in range(1800)], S.MANUAL_CHUNKS)
+    queries = ["pump seal", "seal", "p%seal", "%", "pump seal no 17 is", "nothing"]
+    table = spark.createDataFrame([(q,) for q in queries], "query string")
+    best = text_index.gram_pairs(chunks, "chunk_id", ["content", "section"], table, (4, "score"))
+    assert sorted(c for c, in rows(best.filter("query = 'seal'").select("chunk_id"))) == ["c101", "c104", "c107", "c11"]
+    assert best.count() == 17
+    got, want = text_index.search_manuals(chunks, table, 4), search.search_manuals(chunks.distinct(), queries, 4)
+    assert {(r.query, r.chunk_id) for r in got.collect()} <= {(r.query, r.chunk_id) for r in want.collect()}
+
+
+def test_table_search_of_texts_that_are_null(spark):
+    chunks = spark.createDataFrame([("c0", "m", None, None, 1.0), ("c1", "m", None, "", 1.0), ("c2", "m", "a", None, 1.0)], S.MANUAL_CHUNKS)
+    got = text_index.gram_pairs(chunks, "chunk_id", ["content", "section"], spark.createDataFrame([("%",), ("a",)], "query string"))
+    assert rows(got) == [("%", "c1"), ("%", "c2"), ("a", "c2")]
+
+
 def test_wildcards_of_a_table_of_queries_end_on_long_texts(spark):
     """LIKE would try every place of a part with every place of the others."""
     texts = ["or, x_y\\ " * 6000, "or, " * 3000 + "or,a fr", "fr or,", "5% off"]
